@@ -15,6 +15,7 @@ doc_ids are packed as separate documents; an empty table gives no rows; other co
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .words import SegmentCache
+from .words import Encoded, segments
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SPECIAL = "<|endoftext|>"
@@ -37,7 +38,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 def _worker(path: str) -> tuple:
-    """(cache, whole-text encoder) for a vocabulary file, once per Python worker.
+    """(encoder of plain texts, of any text) for a vocabulary file, once per Python worker.
 
     The ids are those of the tokenizers library on this file. Distinct segments go through the
     tiktoken merger loaded with the file's own vocabulary, which is several times quicker on short
@@ -56,19 +57,22 @@ def _worker(path: str) -> tuple:
         ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token != SPECIAL}
         quick = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         whole = Tokenizer.from_file(path)
-        cache = SegmentCache(lambda new: [np.array(quick.encode_ordinary(s), "<u4").tobytes() for s in new])
-        _workers[path] = cache, lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        heads, tails = (Encoded(lambda s: array("I", quick.encode_ordinary(s)).tobytes(), lead) for lead in ("", " "))
+
+        def plain(text: str) -> bytes:
+            first, *rest = segments(text)
+            return heads[first] + b"".join(map(tails.__getitem__, rest))
+
+        _workers[path] = plain, lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     return _workers[path]
 
 
 def token_ids(texts: list[str | None], path: str, end_id: int = 0) -> list[np.ndarray]:
     """Each text's ids and the end id, as unsigned 32-bit arrays."""
-    cache, whole = _worker(path)
-    texts = [t if isinstance(t, str) else "" for t in texts]
-    odd = {i: whole(t) for i, t in enumerate(texts) if SPECIAL in t}
-    plain = iter([b"".join(s) for s in cache.batch([t for i, t in enumerate(texts) if i not in odd])])
+    plain, whole = _worker(path)
     tail = np.array([end_id], "<u4").tobytes()
-    return [np.frombuffer((odd[i] if i in odd else next(plain)) + tail, "<u4") for i in range(len(texts))]
+    texts = [t if isinstance(t, str) else "" for t in texts]
+    return [np.frombuffer((whole if SPECIAL in t else plain)(t) + tail, "<u4") for t in texts]
 
 
 def assign(lengths: list[int], size: int, quadratic_at: float) -> list[tuple[int, int, int, int, int]]:

@@ -46,3 +46,17 @@ class SegmentCache:
         if len(known) > self.limit:
             for w in new:
                 del known[w]
+
+
+class Encoded(dict):
+    """Segments encoded when first met, kept up to a limit; later new ones are encoded each time."""
+
+    def __init__(self, encode: Callable[[str], bytes], lead: str, limit: int = 1_000_000):
+        super().__init__()
+        self.encode, self.lead, self.limit = encode, lead, limit
+
+    def __missing__(self, segment: str) -> bytes:
+        value = self.encode(self.lead + segment)
+        if len(self) < self.limit:
+            self[segment] = value
+        return value
