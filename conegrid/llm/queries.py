@@ -29,6 +29,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _remainder(m: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % m
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ftrl import classify
+
+    ship_package(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classify(table(spark, sf_dir, "documents"), labels, _remainder(3) == 1)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .target_llr import judge
 
@@ -37,6 +49,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pagediff import main_text
+
+    ship_package(spark)
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_langid import identify
+
+    ship_package(spark)
+    return identify(table(spark, sf_dir, "documents"), _remainder(4) == 2)
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_hist import exact_top_k, integer_vectors
 
@@ -68,7 +94,7 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op5_quality_rules, op9_topk, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op4_quality_classifier, op5_quality_rules, op7_page_text, op8_language_id, op9_topk, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
