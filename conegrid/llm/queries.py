@@ -49,6 +49,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import train_and_score
+
+    ship_package(spark)
+    return train_and_score(table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pagediff import main_text
 
@@ -94,7 +101,7 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op4_quality_classifier, op5_quality_rules, op7_page_text, op8_language_id, op9_topk, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
