@@ -14,11 +14,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_bpe_path() -> str:
+    """The vocabulary of the packing operator."""
+    return _tokenizer("byte_bpe_50k.json")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     ship_package(spark)
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), size=1024, end_id=0)
+    return pack(table(spark, sf_dir, "documents"), byte_bpe_path(), size=1024, end_id=0)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +34,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preference import format_pairs, pair_by_opening
+
+    done = format_pairs(pair_by_opening(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.to_json(c)
+    return done.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
 def _remainder(m: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % m
 
@@ -100,9 +113,46 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """
 
 
+OP3_SQL = """
+WITH conv AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns,
+           sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) AS said
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY turns[1], floor(conv_id / 64) ORDER BY conv_id) - 1 AS i FROM conv),
+pairs AS (
+    SELECT CASE WHEN a.said >= b.said THEN a.conv_id ELSE b.conv_id END AS chosen_id,
+           CASE WHEN a.said >= b.said THEN b.conv_id ELSE a.conv_id END AS rejected_id,
+           CASE WHEN a.said >= b.said THEN a.turns ELSE b.turns END AS c,
+           CASE WHEN a.said >= b.said THEN b.turns ELSE a.turns END AS r
+    FROM ranked a JOIN ranked b ON a.turns[1] IS NOT DISTINCT FROM b.turns[1]
+     AND floor(a.conv_id / 64) = floor(b.conv_id / 64) AND a.i % 2 = 0 AND b.i = a.i + 1),
+cut AS (
+    SELECT *, (SELECT coalesce(min(i), least(len(c), len(r)) + 1) FROM range(1, least(len(c), len(r)) + 1) t(i)
+               WHERE c[i] IS DISTINCT FROM r[i]) - 1 AS k FROM pairs),
+turn AS (
+    SELECT chosen_id, side, i, t.role AS role, '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) AS piece
+    FROM (SELECT chosen_id, 'p' AS side, unnest(c[1:k]) AS t, generate_subscripts(c[1:k], 1) AS i FROM cut
+          UNION ALL SELECT chosen_id, 'c', unnest(c[k + 1:]), generate_subscripts(c[k + 1:], 1) FROM cut
+          UNION ALL SELECT chosen_id, 'r', unnest(r[k + 1:]), generate_subscripts(r[k + 1:], 1) FROM cut)),
+placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY chosen_id, side ORDER BY i) AS stop FROM turn),
+text AS (
+    SELECT chosen_id, side, string_agg(piece, '' ORDER BY i) AS body,
+           '[' || coalesce(string_agg('[' || (stop - length(piece) + length(coalesce(role, '')) + 5)::BIGINT || ',' || (stop - 1)::BIGINT || ']', ',' ORDER BY i)
+               FILTER (WHERE role = 'assistant'), '') || ']' AS mask
+    FROM placed GROUP BY chosen_id, side)
+SELECT cut.chosen_id, cut.rejected_id, k::BIGINT AS prefix_turns, coalesce(p.body, '') AS prompt,
+       coalesce(c.body, '') AS chosen_completion, coalesce(c.mask, '[]') AS chosen_mask,
+       coalesce(r.body, '') AS rejected_completion, coalesce(r.mask, '[]') AS rejected_mask
+FROM cut LEFT JOIN text p ON p.chosen_id = cut.chosen_id AND p.side = 'p'
+LEFT JOIN text c ON c.chosen_id = cut.chosen_id AND c.side = 'c'
+LEFT JOIN text r ON r.chosen_id = cut.chosen_id AND r.side = 'r'
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_preference, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    return {"op3_preference": OP3_SQL, "op9_topk": OP9_SQL}

@@ -31,6 +31,8 @@ from .components import connected_components
 from .words import ascii_words
 
 LIMIT = 20_000
+BANDS, ROWS = 8, 3
+_MULTIPLY = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, k: int, seed: int = 42) -> np.ndarray:
@@ -192,3 +194,90 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, limit: int = L
     parts = connected_components(links(nodes.where("node is not null"), radius, limit))
     named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_links(shards: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) between members of each shard of (shard, node, fp, text): the BK-tree proposes
+    fingerprints within the radius, and the shingle sets' Jaccard similarity decides."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a: list[int] = []
+        b: list[int] = []
+        for g in _runs(batches, "shard"):
+            if len(g) < 2:
+                continue
+            node, fps = g["node"].tolist(), [f & 0xFFFFFFFFFFFFFFFF for f in g["fp"].tolist()]
+            sets = [np.unique(shingle_hashes(t, k)) for t in g["text"]]
+            tree, forest = BKTree(), Forest(len(g))
+            for i in range(len(g)):
+                for at in tree.within(fps[i], radius):
+                    x, y = sets[at], sets[i]
+                    if forest.root(at) == forest.root(i) or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                        continue
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    if both >= similarity * (len(x) + len(y) - both) and forest.join(at, i):
+                        a.append(node[at])
+                        b.append(node[i])
+                tree.add(fps[i])
+        yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 26, limit: int = LIMIT, levels: int = 3) -> DataFrame:
+    """doc_id, component_id: groups linked by Jaccard similarity of k-word shingle sets.
+
+    At 0.8 fingerprints differ in up to about twenty bits, too many for blocks of equal bits; so a
+    shard here is a band of minimum hashes that two such texts share with a chance of over 0.99 in
+    some band (1 - (1 - 0.8**3)**8 = 0.997). Equal texts are one node. A shard over the limit is
+    dealt out again by six further minimum hashes at once, up to `levels` times.
+    """
+    schema = "doc_id long, content long, fp long, mins array<long>"
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+                h = shingle_hashes(t, k)
+                content = xxhash.xxh64_intdigest(b" ".join(ascii_words(t)), 7)
+                mins = (np.unique(h) * _MULTIPLY[:, None]).min(1) if len(h) else np.zeros(len(_MULTIPLY), np.uint64)
+                rows.append((int(i), np.uint64(content).astype(np.int64), np.uint64(majority_bits(h)).astype(np.int64), mins.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "fp", "mins"])
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = materialize(named.mapInPandas(sketch, schema))
+    nodes = sketches.groupBy("content").agg(F.min_by(F.struct("doc_id", "fp", "mins"), "doc_id").alias("x")).select("content", F.col("x.doc_id").alias("node"), "x.fp", "x.mins")
+    nodes = materialize(nodes)
+    bands = [F.xxhash64(F.lit(b), *[F.get("mins", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
+    shards = nodes.select("node", "fp", "mins", F.explode(F.array(*bands)).alias("shard"))
+    chosen = None
+    for level in range(levels + 1):
+        sizes = materialize(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+        last = level == levels or sizes.where(F.col("n") > limit).isEmpty()
+        here = shards.join(sizes if last else sizes.where(F.col("n") <= limit), "shard").select("shard", "node", "fp")
+        chosen = here if chosen is None else chosen.unionAll(here)
+        if last:
+            break
+        more = [F.xxhash64("shard", F.get("mins", F.lit((level * 6 + j) * 5 % len(_MULTIPLY)))) for j in range(6)]
+        hot = shards.join(sizes.where(F.col("n") > limit), "shard", "left_semi")
+        shards = materialize(hot.select("node", "fp", "mins", F.explode(F.array(*more)).alias("shard")).dropDuplicates(["shard", "node"]))
+    chosen = materialize(chosen)
+    # only the texts of nodes that share a shard travel, once a node; then once a shard
+    texts = named.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    parts = connected_components(similar_links(chosen.join(texts, chosen["node"] == texts["doc_id"]).select("shard", "node", "fp", "text"), k, similarity, radius))
+    groups = nodes.join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
+    return sketches.join(groups, "content").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document, that of the least doc_id, of each similar group; rows without a
+    doc_id cannot be named by a group and stay."""
+    first = similar_groups(docs, k, similarity).where("doc_id = component_id").select("doc_id")
+    counts = first.groupBy("doc_id").agg(F.count("*").alias("n"))
+    counts = materialize(counts)
+    stay = docs.join(counts.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = counts.where("n > 1")
+    if repeated.isEmpty():
+        return stay
+    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.join(repeated, "doc_id", "left_anti").unionByName(again)
