@@ -31,9 +31,9 @@ def _spans(turns: str) -> str:
     return f"""transform(filter(aggregate({turns},
         cast(array() AS array<struct<keep:boolean,start:bigint,end:bigint,next:bigint>>),
         (a, x) -> concat(a, array(struct(coalesce(x.role = 'assistant', false) AS keep,
-            coalesce(element_at(a, -1).next, 0L) + length(coalesce(x.role, '')) + 5 AS start,
-            coalesce(element_at(a, -1).next, 0L) + {length} - 1 AS end,
-            coalesce(element_at(a, -1).next, 0L) + {length} AS next)))), s -> s.keep), s -> array(s.start, s.end))"""
+            coalesce(try_element_at(a, -1).next, 0L) + length(coalesce(x.role, '')) + 5 AS start,
+            coalesce(try_element_at(a, -1).next, 0L) + {length} - 1 AS end,
+            coalesce(try_element_at(a, -1).next, 0L) + {length} AS next)))), s -> s.keep), s -> array(s.start, s.end))"""
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
@@ -49,14 +49,13 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_by_opening(turns: DataFrame, span: int = 64) -> DataFrame:
-    """Pairs of conversations with the same first turn: within each opening and stretch of `span`
-    conversation ids, neighbours in id order (1st with 2nd, 3rd with 4th); the one with more
-    assistant text is chosen, on a tie the smaller id. A stretch bounds a group, however common its opening."""
+def pair_neighbours(turns: DataFrame, span: int = 64) -> DataFrame:
+    """Pairs of conversations: within each stretch of `span` conversation ids, neighbours (1st with
+    2nd, 3rd with 4th) in order of first turn and id, so that equal openings meet; the one with more
+    assistant text is chosen, on a tie the first. A stretch bounds a group, however common an opening."""
     said = F.aggregate("turns", F.lit(0).cast("long"), lambda a, x: a + F.when(x["role"] == "assistant", F.length(F.coalesce(x["text"], F.lit("")))).otherwise(0))
-    conv = conversations(turns).withColumn("said", said)
-    first = F.get("turns", F.lit(0))
-    groups = conv.groupBy(first.alias("opening"), F.floor(F.col("conv_id") / span).alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("conv_id", "said", "turns"))).alias("c"))
+    conv = conversations(turns).select(F.get("turns", F.lit(0)).alias("opening"), "conv_id", said.alias("said"), "turns")
+    groups = conv.groupBy(F.floor(F.col("conv_id") / span).alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("opening", "conv_id", "said", "turns"))).alias("c"))
     pairs = groups.where("size(c) > 1").select(F.explode(F.expr("transform(sequence(0, size(c) DIV 2 - 1), i -> struct(c[2 * i] AS a, c[2 * i + 1] AS b))")).alias("p"))
     win = F.col("p.a.said") >= F.col("p.b.said")
     pick = lambda f, first: F.when(win if first else ~win, F.col(f"p.a.{f}")).otherwise(F.col(f"p.b.{f}"))

@@ -35,9 +35,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .preference import format_pairs, pair_by_opening
+    from .preference import format_pairs, pair_neighbours
 
-    done = format_pairs(pair_by_opening(table(spark, sf_dir, "conversations")))
+    done = format_pairs(pair_neighbours(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.to_json(c)
     return done.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
 
@@ -119,14 +119,13 @@ WITH conv AS (
            sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) AS said
     FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY turns[1], floor(conv_id / 64) ORDER BY conv_id) - 1 AS i FROM conv),
+    SELECT *, row_number() OVER (PARTITION BY floor(conv_id / 64) ORDER BY turns[1].role NULLS FIRST, turns[1].text NULLS FIRST, conv_id) - 1 AS i FROM conv),
 pairs AS (
     SELECT CASE WHEN a.said >= b.said THEN a.conv_id ELSE b.conv_id END AS chosen_id,
            CASE WHEN a.said >= b.said THEN b.conv_id ELSE a.conv_id END AS rejected_id,
            CASE WHEN a.said >= b.said THEN a.turns ELSE b.turns END AS c,
            CASE WHEN a.said >= b.said THEN b.turns ELSE a.turns END AS r
-    FROM ranked a JOIN ranked b ON a.turns[1] IS NOT DISTINCT FROM b.turns[1]
-     AND floor(a.conv_id / 64) = floor(b.conv_id / 64) AND a.i % 2 = 0 AND b.i = a.i + 1),
+    FROM ranked a JOIN ranked b ON floor(a.conv_id / 64) = floor(b.conv_id / 64) AND a.i % 2 = 0 AND b.i = a.i + 1),
 cut AS (
     SELECT *, (SELECT coalesce(min(i), least(len(c), len(r)) + 1) FROM range(1, least(len(c), len(r)) + 1) t(i)
                WHERE c[i] IS DISTINCT FROM r[i]) - 1 AS k FROM pairs),
