@@ -1,9 +1,149 @@
-"""Registered queries of the category engine over the standard tables."""
+"""Registered queries of the category engine over the standard tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.values import contains, dominates, overlaps, period
+from .operators import canonical, queries as q, traversal
+from .plans.graph import EDGES_SQL, LINES_SQL, edges
+from .session import table
+from .sources.text import projection_edges
+
+_E = f"WITH RECURSIVE e AS ({EDGES_SQL})"
+_EL = f"WITH RECURSIVE e AS ({EDGES_SQL}{LINES_SQL})"
+
+
+def _cone(name: str, *terms: str) -> str:
+    seeds = ", ".join(f"'{t}'" for t in terms)
+    return f"{name} AS (SELECT parent AS term, child AS name FROM e WHERE parent IN ({seeds}) UNION SELECT c.term, e.child FROM {name} c JOIN e ON e.parent = c.name)"
+
+
+_CLOSURE = "p AS (SELECT parent AS a, child AS d FROM e UNION SELECT p.a, e.child FROM p JOIN e ON e.parent = p.d)"
+
+
+def cone(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.descendants(edges(spark, d, lines=True), "region:ASIA").select("name")
+
+
+def conjunction(spark: SparkSession, d: str) -> DataFrame:
+    return q.get(edges(spark, d, lines=True), ["region:ASIA", "segment:BUILDING"])
+
+
+def union_of_conjunctions(spark: SparkSession, d: str) -> DataFrame:
+    return q.get_any(edges(spark, d), [["region:ASIA", "segment:BUILDING"], ["nation:NATION_7"], ["nation:NATION_7", "segment:BUILDING"]])
+
+
+def ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.ancestors(edges(spark, d), "order:1", "order:2").select("term", "name")
+
+
+def closure(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.closure(edges(spark, d))
+
+
+def is_below(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("sub"), F.lit("region:EUROPE").alias("sup")).distinct()
+    return q.is_below(edges(spark, d), pairs)
+
+
+def transitive_reduction(spark: SparkSession, d: str) -> DataFrame:
+    extra = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    shortcut = extra.select(F.concat(F.lit("region:"), "r_name").alias("parent"), F.concat(F.lit("cust:"), "c_custkey").alias("child"))
+    return canonical.merge(edges(spark, d), shortcut)
+
+
+def descendant_counts(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.descendant_counts(edges(spark, d))
+
+
+def refinements(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return q.refinements(e, q.get(e, ["segment:BUILDING"]), "*")
+
+
+def name_completion(spark: SparkSession, d: str) -> DataFrame:
+    return q.complete(edges(spark, d), "Nation:")
+
+
+def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.neighbourhood(edges(spark, d), "nation:NATION_7", 2)
+
+
+def compare_graphs(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return canonical.compare(e.where("child NOT LIKE 'order:%'"), e.where("parent NOT LIKE 'region:%'"))
+
+
+def entailed_claims(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return canonical.entailed(e, q.names(e).where("name NOT LIKE 'order:%'"))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    done = canonical.records(edges(spark, d))
+    return done.select("name", F.array_join("up", "|").alias("up"), F.array_join("down", "|").alias("down"))
+
+
+def interval_containment(spark: SparkSession, d: str) -> DataFrame:
+    lo = F.col("o_totalprice").cast("decimal(18,2)")
+    return table(spark, d, "orders").where(contains(F.lit(1000).cast("decimal(18,2)"), F.lit(50000).cast("decimal(18,2)"), lo, lo)).select("o_orderkey")
+
+
+def calendar_overlap(spark: SparkSession, d: str) -> DataFrame:
+    lo, hi = period(F.lit("1995-03"))
+    day = F.col("o_orderdate")
+    return table(spark, d, "orders").where(overlaps(lo, hi, day, day + F.expr("INTERVAL 10 DAYS"))).select("o_orderkey")
+
+
+def dominance(spark: SparkSession, d: str) -> DataFrame:
+    box = F.array(F.col("p_size"), F.lit(20), F.lit(10))
+    return table(spark, d, "part").where(dominates(F.array(F.lit(30), F.lit(25), F.lit(10)), box)).select("p_partkey")
+
+
+def projection_ingest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.concat(F.lit("doc:"), "doc_id").alias("item"), F.array(F.concat(F.lit("sys:lang:"), "lang"), F.concat(F.lit("sys:src:"), "source")).alias("supercategories"))
+    return projection_edges(rows)
+
+
+def implications(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    obj = F.concat(F.lit("cust:"), "o_custkey")
+    rows = orders.select(obj.alias("obj"), F.concat(F.lit("status:"), "o_orderstatus").alias("attr")).union(orders.select(obj, F.concat(F.lit("priority:"), "o_orderpriority")))
+    people = table(spark, d, "customer").select(F.concat(F.lit("cust:"), "c_custkey"), F.concat(F.lit("segment:"), "c_mktsegment"))
+    return canonical.implications(rows.union(people))
+
+
+SQL = {
+    "cone": f"{_EL}, {_cone('c', 'region:ASIA')} SELECT DISTINCT name FROM c",
+    "conjunction": f"{_EL}, {_cone('c', 'region:ASIA', 'segment:BUILDING')} SELECT name FROM c GROUP BY name HAVING count(*) = 2",
+    "union_of_conjunctions": f"{_E}, {_cone('c', 'region:ASIA', 'segment:BUILDING', 'nation:NATION_7')} SELECT name FROM c GROUP BY name HAVING bool_or(term = 'nation:NATION_7') OR bool_or(term = 'region:ASIA') AND bool_or(term = 'segment:BUILDING')",
+    "ancestors": f"{_E}, c AS (SELECT child AS term, parent AS name FROM e WHERE child IN ('order:1', 'order:2') UNION SELECT c.term, e.parent FROM c JOIN e ON e.child = c.name) SELECT term, name FROM c",
+    "closure": f"{_E}, {_CLOSURE} SELECT a AS ancestor, d AS descendant FROM p",
+    "is_below": f"{_E}, {_cone('c', 'region:EUROPE')} SELECT DISTINCT 'order:' || o_orderkey AS sub, 'region:EUROPE' AS sup, ('order:' || o_orderkey) IN (SELECT name FROM c) AS below FROM orders",
+    "transitive_reduction": f"{_E} SELECT parent, child FROM e",
+    "descendant_counts": f"{_E}, {_CLOSURE} SELECT a AS name, count(*) AS n FROM p GROUP BY a",
+    "refinements": f"{_E}, {_CLOSURE} SELECT a AS term, count(*) AS n FROM p WHERE a IN (SELECT child FROM e WHERE parent = '*') AND d IN (SELECT d FROM p WHERE a = 'segment:BUILDING') GROUP BY a",
+    "name_completion": f"{_E} SELECT DISTINCT child AS name FROM e WHERE lower(child) LIKE 'nation:%' ORDER BY 1 LIMIT 40",
+    "neighbourhood": f"{_E}, b AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e), n AS (SELECT 'nation:NATION_7' AS name, 0 AS hops UNION SELECT y, hops + 1 FROM n JOIN b ON x = name WHERE hops < 2) SELECT name, min(hops)::INTEGER AS hops FROM n GROUP BY name",
+    "compare_graphs": f"{_E} SELECT parent, child, 'left' AS side FROM e WHERE child NOT LIKE 'order:%' AND parent LIKE 'region:%' UNION ALL SELECT parent, child, 'right' FROM e WHERE parent NOT LIKE 'region:%' AND child LIKE 'order:%'",
+    "entailed_claims": f"{_E}, {_CLOSURE} SELECT a AS sup, d AS sub FROM p WHERE a <> '*' AND a NOT LIKE 'order:%' AND d NOT LIKE 'order:%'",
+    "records": f"{_E}, u AS (SELECT child AS name, string_agg(parent, '|' ORDER BY parent) AS up FROM e GROUP BY child), w AS (SELECT parent AS name, string_agg(child, '|' ORDER BY child) AS down FROM e GROUP BY parent) SELECT coalesce(u.name, w.name) AS name, coalesce(up, '') AS up, coalesce(down, '') AS down FROM u FULL JOIN w ON u.name = w.name",
+    "interval_containment": "SELECT o_orderkey FROM orders WHERE o_totalprice::DECIMAL(18,2) BETWEEN 1000 AND 50000",
+    "calendar_overlap": "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-03-31 23:59:59' AND o_orderdate + INTERVAL 10 DAY >= TIMESTAMP '1995-03-01'",
+    "dominance": "SELECT p_partkey FROM part WHERE p_size <= 30 AND 25 >= CASE WHEN p_size <= 20 THEN greatest(p_size, 10) ELSE 20 END AND 10 >= least(p_size, 10)",
+    "projection_ingest": "SELECT DISTINCT unnest(['sys:lang:' || lang, 'sys:src:' || source]) AS parent, 'doc:' || doc_id AS child FROM documents",
+    "implications": """WITH i AS (SELECT 'cust:' || o_custkey AS obj, 'status:' || o_orderstatus AS attr FROM orders UNION SELECT 'cust:' || o_custkey, 'priority:' || o_orderpriority FROM orders UNION SELECT 'cust:' || c_custkey, 'segment:' || c_mktsegment FROM customer),
+        s AS (SELECT attr, count(*) AS support FROM i GROUP BY attr)
+        SELECT a.attr AS premise, b.attr AS conclusion, any_value(support) AS support FROM i a JOIN i b ON a.obj = b.obj AND a.attr <> b.attr JOIN s ON s.attr = a.attr GROUP BY a.attr, b.attr HAVING count(*) = any_value(support)""",
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: globals()[name] for name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
