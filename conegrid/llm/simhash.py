@@ -170,18 +170,19 @@ def links(nodes: DataFrame, radius: int = 2, limit: int = LIMIT) -> DataFrame:
     shards = nodes.select(F.explode(F.array(*keys)).alias("shard"), "fp", "node").withColumn("visitor", F.lit(False))
     out = None
     while True:
-        sizes = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.when(~F.col("visitor"), F.col("fp"))).alias("pivot"))
+        members = F.count(F.when(~F.col("visitor"), 1))
+        sizes = shards.groupBy("shard").agg(F.count("*").alias("n"), members.alias("members"), F.min(F.when(~F.col("visitor"), F.col("fp"))).alias("pivot"))
         sizes = materialize(sizes.where("n > 1 and pivot is not null"))
-        here = _search(shards.join(sizes.where(F.col("n") <= limit).select("shard"), "shard", "left_semi"), radius)
+        here = _search(shards.join(sizes.where(F.col("members") <= limit).select("shard"), "shard", "left_semi"), radius)
         out = here if out is None else out.unionAll(here)
-        hot = sizes.where(F.col("n") > limit)
+        hot = sizes.where(F.col("members") > limit)
         if hot.isEmpty():
             return out
         # one BK level: members go to the child of their distance, and as visitors to the farther
-        # children a search follows (the nearer ones visit them)
+        # children a search follows (the nearer ones visit them); visitors search on both sides
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot")))
         down = shards.join(F.broadcast(hot), "shard").withColumn("d", d)  # hot shards: at most all rows / limit
-        down = down.select("shard", "fp", "node", "visitor", "pivot", F.explode(F.sequence("d", F.col("d") + radius)).alias("child"), "d")
+        down = down.select("shard", "fp", "node", "visitor", "pivot", F.explode(F.sequence(F.when(F.col("visitor"), F.col("d") - radius).otherwise(F.col("d")), F.col("d") + radius)).alias("child"), "d")
         own = F.col("child") == F.col("d")
         shards = materialize(down.select(F.xxhash64("shard", "pivot", "child").alias("shard"), "fp", "node", (F.col("visitor") | ~own).alias("visitor")))
         shards = shards.dropDuplicates(["shard", "fp", "visitor"])
