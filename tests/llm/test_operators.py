@@ -128,7 +128,10 @@ def test_language_model_base_and_mass(spark):
         tokens = [*(t or "").encode().split(), b""]
         assert got.n_tokens[i] == len(tokens) and got.n_known[i] == sum(c[w] > 0 for w in tokens) and got.train_tokens[i] == n
         assert got.base_score[i] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
-    assert (got.score < 0).all() and got.score.sum() > got.base_score.sum()
+    assert (got.score < 0).all()
+    model = hpylm.fit(docs(spark, texts).withColumn("held", F.lit(False)))
+    mass = model.words.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "lp"))).first()[0] + 10**model.unknown
+    assert mass == pytest.approx(1, abs=0.05)  # all known words and the unknown one
 
 
 def test_page_text(spark):
