@@ -17,7 +17,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,8 @@ from .components import connected_components
 from .words import ascii_words
 
 LIMIT = 20_000
+#: Values of a BK subtree that are compared at once, without a tree.
+LEAF = 256
 BANDS, ROWS = 8, 3
 _MULTIPLY = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,63 +69,53 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 class BKTree:
-    """Integers under Hamming distance; children keyed by the distance to their parent."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        new = len(self.values)
-        self.values.append(value)
-        self.children.append({})
-        at = 0
-        while new:
-            d = (value ^ self.values[at]).bit_count()
-            if d not in self.children[at]:
-                self.children[at][d] = new
-                return
-            at = self.children[at][d]
-
-    def within(self, value: int, radius: int) -> Iterator[int]:
+    """64-bit fingerprints under Hamming distance: a subtree's children are keyed by their integer
+    distance to its pivot; a subtree of at most LEAF values is kept flat and compared at once."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.top = self._grow(np.arange(len(values)))
+
+    def _grow(self, places: np.ndarray) -> np.ndarray | tuple[np.uint64, dict]:
+        if len(places) <= LEAF:
+            return places
+        pivot = self.values[places[0]]
+        d = np.bitwise_count(self.values[places] ^ pivot)
+        # the pivot and its equals are a leaf of their own: every other child is smaller than its parent
+        return pivot, {int(x): places[d == 0] if x == 0 else self._grow(places[d == x]) for x in np.unique(d)}
+
+    def within(self, value: np.uint64, radius: int) -> np.ndarray:
         """Places of all values within the radius."""
-        stack = [0] if self.values else []
+        stack, found = [self.top], []
         while stack:
             at = stack.pop()
-            d = (value ^ self.values[at]).bit_count()
-            if d <= radius:
-                yield at
-            stack += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]
-
-
-class Forest:
-    """Union-find over places, to report only links that join something."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def shard_links(fps: list[int], visitor: list[bool], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between a shard's members, and of visitors to members."""
-    tree, forest, places, out = BKTree(), Forest(len(fps)), [], []
-    for i in sorted(range(len(fps)), key=lambda i: visitor[i]):
-        for at in tree.within(fps[i], radius):
-            if forest.join(places[at], i):
-                out.append((places[at], i))
-        if not visitor[i]:
-            tree.add(fps[i])
-            places.append(i)
+            if isinstance(at, tuple):
+                d = int(np.bitwise_count(at[0] ^ value))
+                stack += [c for e, c in at[1].items() if d - radius <= e <= d + radius]
+            else:
+                found.append(at[np.bitwise_count(self.values[at] ^ value) <= radius])
+        return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def spanning_links(fps: np.ndarray, members: int, radius: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the first `members` fingerprints, and of the visitors
+    after them to members. agree(i, places), if given, tells which of those places i is linked to.
+
+    A place whose component i has joined is not looked at again, so a shard of mutual copies costs a
+    comparison of each with the others' fingerprints, and no more than a link a copy."""
+    tree, part, out = BKTree(fps[:members]), np.arange(len(fps)), []
+    for i in range(1, len(fps)):
+        near = tree.within(fps[i], radius)
+        near = near[(near < i) & (part[near] != part[i])]
+        step = 1
+        while len(near):
+            head, near = near[:step], near[step:]
+            for j in (head if agree is None else head[agree(i, head)]).tolist():
+                if part[j] != part[i]:
+                    out.append((j, i))
+                    part[part == part[j]] = part[i]
+            near = near[part[near] != part[i]]
+            step *= 8
     return out
 
 
@@ -151,8 +143,8 @@ def _search(shards: DataFrame, radius: int) -> DataFrame:
         a: list[int] = []
         b: list[int] = []
         for g in _runs(batches, "shard"):
-            node = g["node"].tolist()
-            for x, y in shard_links([f & 0xFFFFFFFFFFFFFFFF for f in g["fp"].tolist()], g["visitor"].tolist(), radius):
+            node, visitor = g["node"].tolist(), g["visitor"].to_numpy(bool)  # sorted: members first
+            for x, y in spanning_links(g["fp"].to_numpy(np.int64).view(np.uint64), int((~visitor).sum()), radius):
                 a.append(node[x])
                 b.append(node[y])
         yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
@@ -197,6 +189,34 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, limit: int = L
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+class ShingleSets:
+    """The shingle sets of one shard's texts, and which of them are similar."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float) -> None:
+        self.n = np.array([len(x) for x in sets], np.int64)
+        self.start, self.least = np.cumsum(self.n) - self.n, similarity
+        _, self.ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        order = np.argsort(self.ids, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.n)[order]
+        self.first = np.searchsorted(self.ids[order], np.arange(self.ids.max() + 2 if len(self.ids) else 1))
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether the Jaccard similarity of i with each of the others reaches the least one."""
+        mine = self.ids[self.start[i] : self.start[i] + self.n[i]]
+        both = np.zeros(len(others), np.int64)
+        fit = np.flatnonzero(np.minimum(self.n[others], self.n[i]) >= self.least * np.maximum(self.n[others], self.n[i]))
+        if len(fit) <= 16:
+            for x in fit.tolist():
+                j = others[x]
+                both[x] = len(np.intersect1d(mine, self.ids[self.start[j] : self.start[j] + self.n[j]], assume_unique=True))
+        else:  # the owners of each of i's shingles, counted
+            size = self.first[mine + 1] - self.first[mine]
+            at = np.arange(size.sum()) + np.repeat(self.first[mine] - (np.cumsum(size) - size), size)
+            both[fit] = np.bincount(self.owner[at], minlength=len(self.n))[others[fit]]
+        union = self.n[others] + self.n[i] - both
+        return (both >= self.least * union) & (union > 0)
+
+
 def similar_links(shards: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     """Links (a, b) between members of each shard of (shard, node, fp, text): the BK-tree proposes
     fingerprints within the radius, and the shingle sets' Jaccard similarity decides."""
@@ -205,21 +225,11 @@ def similar_links(shards: DataFrame, k: int, similarity: float, radius: int) ->
         a: list[int] = []
         b: list[int] = []
         for g in _runs(batches, "shard"):
-            if len(g) < 2:
-                continue
-            node, fps = g["node"].tolist(), [f & 0xFFFFFFFFFFFFFFFF for f in g["fp"].tolist()]
-            sets = [np.unique(shingle_hashes(t, k)) for t in g["text"]]
-            tree, forest = BKTree(), Forest(len(g))
-            for i in range(len(g)):
-                for at in tree.within(fps[i], radius):
-                    x, y = sets[at], sets[i]
-                    if forest.root(at) == forest.root(i) or min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                        continue
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    if both >= similarity * (len(x) + len(y) - both) and forest.join(at, i):
-                        a.append(node[at])
-                        b.append(node[i])
-                tree.add(fps[i])
+            node = g["node"].tolist()
+            sets = ShingleSets([np.unique(shingle_hashes(t, k)) for t in g["text"]], similarity)
+            for x, y in spanning_links(g["fp"].to_numpy(np.int64).view(np.uint64), len(g), radius, sets.similar):
+                a.append(node[x])
+                b.append(node[y])
         yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(run, "a long, b long")
@@ -253,7 +263,9 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     shards = nodes.select("node", "fp", "mins", F.explode(F.array(*bands)).alias("shard"))
     chosen = None
     for level in range(levels + 1):
-        sizes = materialize(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+        # shards of just the same members (copies that share every band) are searched once
+        members = shards.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+        sizes = materialize(members.where("n > 1").groupBy("n", "s", "x").agg(F.min("shard").alias("shard")).select("shard", "n"))
         last = level == levels or sizes.where(F.col("n") > limit).isEmpty()
         here = shards.join(sizes if last else sizes.where(F.col("n") <= limit), "shard").select("shard", "node", "fp")
         chosen = here if chosen is None else chosen.unionAll(here)

@@ -85,6 +85,25 @@ def test_similar_groups_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
 
 
+@pytest.mark.parametrize("leaf", [256, 2])
+def test_shard_search_matches_brute_force(monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(60, 30)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.permutation(sets[i % 4])[: rng.integers(20, 30)], rng.choice(200, rng.integers(0, 4))])).astype("u8") for i in range(150)] + [np.zeros(0, "u8")] * 2
+    fps = np.array([simhash.majority_bits(s * np.uint64(0x9E3779B97F4A7C15)) for s in sets], np.uint64)
+    got = simhash.spanning_links(fps, len(sets), 26, simhash.ShingleSets(sets, 0.8).similar)
+    part, want = list(range(len(sets))), list(range(len(sets)))
+    for x, y in got:
+        part = [part[x] if p == part[y] else p for p in part]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b, both = sets[j], len(np.intersect1d(a, sets[j]))
+            if (int(fps[i]) ^ int(fps[j])).bit_count() <= 26 and both and both >= 0.8 * (len(a) + len(b) - both):
+                want = [want[j] if p == want[i] else p for p in want]
+    assert len(set(want)) == len(set(part)) == len({*zip(part, want, strict=True)}) < 140
+
+
 def test_preference_prefix_and_mask(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (2, 1, "assistant", "go"), (3, 0, None, None), (4, 0, None, None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
