@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import contains, dominates, overlaps, period
-from .operators import canonical, queries as q, traversal
+from .operators import canonical, mutation, queries as q, traversal, versions
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
 from .session import table
-from .sources.text import projection_edges
+from .sources.text import dot, manchester_frames, projection_edges
 
 _E = f"WITH RECURSIVE e AS ({EDGES_SQL})"
 _EL = f"WITH RECURSIVE e AS ({EDGES_SQL}{LINES_SQL})"
@@ -116,6 +116,118 @@ def implications(spark: SparkSession, d: str) -> DataFrame:
     return canonical.implications(rows.union(people))
 
 
+def _named(df: DataFrame, pattern: str) -> DataFrame:
+    return q.names(df).where(F.col("name").like(pattern))
+
+
+def _wealthy(spark: SparkSession, d: str) -> DataFrame:
+    """A batch to place: a new category over the customers with a balance above 5000."""
+    rich = table(spark, d, "customer").where("c_acctbal > 5000")
+    return rich.select(F.lit("wealthy").alias("parent"), F.concat(F.lit("cust:"), "c_custkey").alias("child"))
+
+
+def put_batch(spark: SparkSession, d: str) -> DataFrame:
+    return mutation.put(edges(spark, d), _wealthy(spark, d))
+
+
+def contraction(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return mutation.remove(e, _named(e, "nation:%").unionByName(_named(e, "cust:%")))
+
+
+def cone_removal_plan(spark: SparkSession, d: str) -> DataFrame:
+    return mutation.cone_removal_plan(edges(spark, d), "region:ASIA", "segment:BUILDING")
+
+
+def remove_cone(spark: SparkSession, d: str) -> DataFrame:
+    return mutation.remove_cone(edges(spark, d), "region:ASIA", "segment:BUILDING")
+
+
+def move(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return mutation.reclassify(e, e.where("parent = 'segment:BUILDING'").select(F.col("child").alias("name")), ["segment:MACHINERY"], ["segment:BUILDING"])
+
+
+def excerpt(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return mutation.excerpt(e, q.get(e, ["region:ASIA", "segment:BUILDING"]))
+
+
+def excerpt_with_context(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return mutation.excerpt(e, q.get(e, ["region:ASIA", "segment:BUILDING"]), context=True)
+
+
+def copy_below(spark: SparkSession, d: str) -> DataFrame:
+    return mutation.copy_below(edges(spark, d), "region:ASIA", "nation:NATION_7")
+
+
+def prune_to_common(spark: SparkSession, d: str) -> DataFrame:
+    return mutation.prune_to_common(edges(spark, d), "region:ASIA", "segment:BUILDING")
+
+
+def contested(spark: SparkSession, d: str) -> DataFrame:
+    return q.contested(edges(spark, d), "region:ASIA", "segment:BUILDING")
+
+
+def focus(spark: SparkSession, d: str) -> DataFrame:
+    return q.focus(edges(spark, d), "nation:NATION_7")
+
+
+def narrowing(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return q.narrowing(e, q.get(e, ["segment:BUILDING", "region:ASIA"]), ["segment:BUILDING", "region:ASIA"])
+
+
+def cone_index(spark: SparkSession, d: str) -> DataFrame:
+    return q.broad_cones(edges(spark, d), 64)
+
+
+def topological_levels(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.levels(edges(spark, d, lines=True))
+
+
+def ancestor_codes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.codes(edges(spark, d)).select("name", F.array_join("code", "|").alias("code"))
+
+
+def code_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.cover_edges(canonical.codes(edges(spark, d)))
+
+
+def record_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return versions.record_hashes(edges(spark, d)).select("name", "hash")
+
+
+def changed_records(spark: SparkSession, d: str) -> DataFrame:
+    before = edges(spark, d)
+    return versions.changed(versions.record_hashes(before.where("parent <> 'segment:BUILDING'")), versions.record_hashes(before.where("child NOT LIKE 'nation:%'")))
+
+
+def reclassified(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return versions.reclassified(traversal.closure(e), traversal.closure(e.where("parent <> 'segment:BUILDING'")))
+
+
+def provenance_standing(spark: SparkSession, d: str) -> DataFrame:
+    act = F.when(F.col("event_type") == "refund", "retract").otherwise("assert")
+    acts = table(spark, d, "events").select(F.col("event_type").alias("subject"), F.col("user_id").cast("string").alias("author"), act.alias("act"))
+    return versions.standing(acts, ["1", "2", "3"])
+
+
+def manchester(spark: SparkSession, d: str) -> DataFrame:
+    return manchester_frames(edges(spark, d))
+
+
+def dot_lines(spark: SparkSession, d: str) -> DataFrame:
+    return dot(edges(spark, d))
+
+
+_ANSWER = f"{_cone('c', 'region:ASIA', 'segment:BUILDING')}, x AS (SELECT name FROM c GROUP BY name HAVING count(*) = 2)"
+_GONE = f"""{_cone('c', 'region:ASIA', 'segment:BUILDING')}, r AS (SELECT '*' AS name UNION SELECT e.child FROM r JOIN e ON e.parent = r.name WHERE e.child NOT IN ('region:ASIA', 'segment:BUILDING')),
+    g AS (SELECT name FROM (SELECT name FROM c UNION SELECT unnest(['region:ASIA', 'segment:BUILDING'])) WHERE name NOT IN (SELECT name FROM r))"""
+_RECORD = "SELECT child AS name, sha256(child || chr(10) || to_json(list(parent ORDER BY parent))::VARCHAR) AS hash FROM"
+
 SQL = {
     "cone": f"{_EL}, {_cone('c', 'region:ASIA')} SELECT DISTINCT name FROM c",
     "conjunction": f"{_EL}, {_cone('c', 'region:ASIA', 'segment:BUILDING')} SELECT name FROM c GROUP BY name HAVING count(*) = 2",
@@ -138,6 +250,28 @@ SQL = {
     "implications": """WITH i AS (SELECT 'cust:' || o_custkey AS obj, 'status:' || o_orderstatus AS attr FROM orders UNION SELECT 'cust:' || o_custkey, 'priority:' || o_orderpriority FROM orders UNION SELECT 'cust:' || c_custkey, 'segment:' || c_mktsegment FROM customer),
         s AS (SELECT attr, count(*) AS support FROM i GROUP BY attr)
         SELECT a.attr AS premise, b.attr AS conclusion, any_value(support) AS support FROM i a JOIN i b ON a.obj = b.obj AND a.attr <> b.attr JOIN s ON s.attr = a.attr GROUP BY a.attr, b.attr HAVING count(*) = any_value(support)""",
+    "put_batch": f"{_E} SELECT parent, child FROM e UNION SELECT '*', 'wealthy' UNION SELECT 'wealthy', 'cust:' || c_custkey FROM customer WHERE c_acctbal > 5000",
+    "contraction": f"{_E} SELECT parent, child FROM e WHERE child LIKE 'region:%' OR child LIKE 'segment:%' UNION SELECT 'region:' || r_name, 'order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION SELECT 'segment:' || c_mktsegment, 'order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey",
+    "cone_removal_plan": f"{_E}, {_GONE} SELECT name FROM g",
+    "remove_cone": f"{_E}, {_GONE} SELECT parent, child FROM e WHERE parent NOT IN (SELECT name FROM g) AND child NOT IN (SELECT name FROM g)",
+    "move": f"{_E} SELECT DISTINCT CASE WHEN parent = 'segment:BUILDING' THEN 'segment:MACHINERY' ELSE parent END AS parent, child FROM e",
+    "excerpt": f"{_E}, {_ANSWER}, i AS (SELECT parent, child FROM e WHERE parent IN (SELECT name FROM x) AND child IN (SELECT name FROM x)) SELECT parent, child FROM i UNION SELECT '*', name FROM x WHERE name NOT IN (SELECT child FROM i)",
+    "excerpt_with_context": f"{_E}, {_ANSWER}, u AS (SELECT name FROM x UNION SELECT e.parent FROM u JOIN e ON e.child = u.name) SELECT parent, child FROM e WHERE parent IN (SELECT name FROM u) AND child IN (SELECT name FROM u)",
+    "copy_below": f"{_E}, {_cone('c', 'region:ASIA', 'nation:NATION_7')}, x AS (SELECT name FROM c UNION SELECT unnest(['region:ASIA', 'nation:NATION_7'])) SELECT parent, child FROM e WHERE parent IN (SELECT name FROM x) AND child IN (SELECT name FROM x)",
+    "prune_to_common": f"{_E}, {_ANSWER} SELECT parent, child FROM e WHERE parent IN (SELECT name FROM x) AND child IN (SELECT name FROM x) UNION SELECT '*', unnest(['region:ASIA', 'segment:BUILDING']) UNION SELECT t, name FROM x, (SELECT unnest(['region:ASIA', 'segment:BUILDING']) AS t) WHERE name LIKE 'cust:%'",
+    "contested": f"{_E}, {_ANSWER} SELECT name FROM x",
+    "focus": f"{_E} SELECT 'above' AS side, parent AS name FROM e WHERE child = 'nation:NATION_7' UNION ALL SELECT 'below', child FROM e WHERE parent = 'nation:NATION_7'",
+    "narrowing": f"{_E}, {_ANSWER}, u AS (SELECT name AS m, name AS a FROM x UNION SELECT u.m, e.parent FROM u JOIN e ON e.child = u.a) SELECT a AS term, count(*) AS n FROM u WHERE m <> a AND a NOT IN ('*', 'region:ASIA', 'segment:BUILDING') GROUP BY a HAVING count(*) < (SELECT count(*) FROM x)",
+    "cone_index": f"{_E}, {_CLOSURE} SELECT a AS term, d AS name FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) >= 64)",
+    "topological_levels": f"{_EL}, l AS (SELECT '*' AS name, 0 AS level UNION SELECT e.child, level + 1 FROM l JOIN e ON e.parent = l.name) SELECT name, max(level)::BIGINT AS level FROM l WHERE name <> '*' GROUP BY name",
+    "ancestor_codes": f"{_E}, {_CLOSURE} SELECT d AS name, string_agg(a, '|' ORDER BY a) AS code FROM (SELECT a, d FROM p UNION SELECT d, d FROM p) GROUP BY d",
+    "code_round_trip": f"{_E} SELECT parent, child FROM e",
+    "record_hashes": f"{_E} {_RECORD} e GROUP BY child",
+    "changed_records": f"{_E}, a AS ({_RECORD} e WHERE parent <> 'segment:BUILDING' GROUP BY child), b AS ({_RECORD} e WHERE child NOT LIKE 'nation:%' GROUP BY child) SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.hash IS DISTINCT FROM b.hash",
+    "reclassified": f"{_E}, {_cone('c', 'segment:BUILDING')} SELECT DISTINCT name FROM c",
+    "provenance_standing": "WITH t AS (SELECT event_type AS subject, user_id, bool_or(event_type = 'refund') AS back FROM events WHERE user_id IN (1, 2, 3) GROUP BY ALL) SELECT subject, coalesce(bool_or(NOT back), false) AS accepted FROM (SELECT DISTINCT event_type AS subject FROM events) LEFT JOIN t USING (subject) GROUP BY subject",
+    "manchester": f"{_E} SELECT child AS name, 'Class: <' || child || '>' || coalesce(chr(10) || '    SubClassOf: ' || string_agg('<' || parent || '>', ', ' ORDER BY parent) FILTER (WHERE parent <> '*'), '') AS frame FROM e GROUP BY child",
+    "dot_lines": f"""{_E} SELECT '"' || child || '" -> "' || parent || '";' AS value FROM e""",
 }
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .traversal import closure, cones
 
 
-def reduce_edges(edges: DataFrame) -> DataFrame:
-    """The unique transitive reduction: edges that no longer path implies."""
-    pairs = closure(edges)
+def reduce_edges(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """The unique transitive reduction: edges that no longer path implies. pairs: the closure, if known."""
+    pairs = closure(edges) if pairs is None else pairs
     via = edges.withColumnRenamed("child", "mid").join(pairs, F.col("mid") == F.col("ancestor")).select("parent", F.col("descendant").alias("child")).distinct()
     return edges.join(via, ["parent", "child"], "left_anti")
 
@@ -53,3 +53,15 @@ def implications(incidence: DataFrame) -> DataFrame:
     other = own.withColumnRenamed("attr", "conclusion")
     both = own.join(other, "obj").where("attr <> conclusion").groupBy("attr", "conclusion").agg(F.count("*").alias("n"))
     return both.join(support, "attr").where("n = support").select(F.col("attr").alias("premise"), "conclusion", "support")
+
+
+def codes(edges: DataFrame) -> DataFrame:
+    """(name, code): each name's reflexive set of ancestors, sorted; the root has none above it."""
+    up = closure(edges).groupBy(F.col("descendant").alias("name")).agg(F.collect_set("ancestor").alias("up"))
+    return up.select("name", F.array_sort(F.array_append("up", F.col("name"))).alias("code"))
+
+
+def cover_edges(coded: DataFrame) -> DataFrame:
+    """The graph back from its codes: the covering relation of their containment."""
+    claims = coded.select(F.explode("code").alias("parent"), F.col("name").alias("child")).where("parent <> child")
+    return reduce_edges(claims, claims.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")))

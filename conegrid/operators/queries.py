@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .traversal import cones, descendants
+from .traversal import ancestors_of, cones, descendants
 
 
 def names(edges: DataFrame) -> DataFrame:
@@ -66,3 +66,33 @@ def refinements(edges: DataFrame, members: DataFrame, category: str) -> DataFram
 def complete(edges: DataFrame, prefix: str, most: int = 40) -> DataFrame:
     """The first names that begin with `prefix`, whatever the case."""
     return names(edges).where(F.lower("name").startswith(prefix.lower())).orderBy("name").limit(most)
+
+
+def narrowing(edges: DataFrame, members: DataFrame, asked: list[str]) -> DataFrame:
+    """(term, n): every category above some but not all of `members` (name), the root and the asked
+    terms left out; most first, then by name. Fewer than two members cannot be narrowed."""
+    up = ancestors_of(edges, members.select(F.col("name").alias("term")).distinct())
+    total = members.select(F.countDistinct("name").alias("total"))
+    counts = up.where(~F.col("name").isin(["*", *asked])).groupBy(F.col("name").alias("term")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(total), F.col("n") < F.col("total")).select("term", "n").orderBy(F.desc("n"), "term")  # total: one row
+
+
+def contested(edges: DataFrame, first: str, second: str) -> DataFrame:
+    """(name) below both terms, unless one of them is below the other: then there is no contest."""
+    pairs = edges.sparkSession.createDataFrame([(first, second), (second, first)], "sub string, sup string")
+    entailed = is_below(edges, pairs).where("below").select(F.lit(1).alias("x")).limit(1)
+    return get(edges, [first, second]).join(entailed, F.col("x").isNotNull(), "left_anti")
+
+
+def focus(edges: DataFrame, name: str) -> DataFrame:
+    """(side, name): the parents and children of one name."""
+    above = edges.where(F.col("child") == name).select(F.lit("above").alias("side"), F.col("parent").alias("name"))
+    return above.unionByName(edges.where(F.col("parent") == name).select(F.lit("below").alias("side"), F.col("child").alias("name")))
+
+
+def broad_cones(edges: DataFrame, threshold: int = 64) -> DataFrame:
+    """(term, name): the cones of all categories with at least `threshold` names below them: the
+    table to publish as an index, so that queries on broad terms need no traversal."""
+    found = cones(edges, edges.select(F.col("parent").alias("term")))
+    broad = found.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    return found.join(broad, "term", "left_semi").select("term", "name")

@@ -36,6 +36,26 @@ def ancestors(edges: DataFrame, *terms: str) -> DataFrame:
     return descendants(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), *terms)
 
 
+def ancestors_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(term, name): the strict ancestors of every term of `starts` (term)."""
+    return cones(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts)
+
+
+def levels(edges: DataFrame, root: str = "*") -> DataFrame:
+    """(name, level): the longest path from the root; sorted by level and name, a topological order.
+    The graph must have no cycle; names that the root does not reach are left out."""
+    frontier, found, at = edges.sparkSession.createDataFrame([(root,)], "name string"), None, 0
+    while True:
+        at += 1
+        frontier = materialize(frontier.join(edges, frontier["name"] == edges["parent"]).select(F.col("child").alias("name")).distinct())
+        if frontier.isEmpty():
+            break
+        step = frontier.withColumn("level", F.lit(at).cast("long"))
+        found = step if found is None else found.unionByName(step)
+    found = edges.sparkSession.createDataFrame([], "name string, level long") if found is None else found
+    return found.groupBy("name").agg(F.max("level").alias("level"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, descendant): every pair of the strict order."""
     return cones(edges, edges.select(F.col("parent").alias("term"))).select(F.col("term").alias("ancestor"), F.col("name").alias("descendant"))

@@ -40,3 +40,27 @@ def write_native(edges: DataFrame, path: str) -> None:
     lines = edges.groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("up"))
     text = F.array_join(F.concat(F.array(quote(F.col("child"))), F.transform(F.filter("up", lambda p: p != "*"), quote)), " ")
     lines.orderBy("child").select(text.alias("value")).write.text(path)
+
+
+def manchester_frames(edges: DataFrame) -> DataFrame:
+    """(name, frame): a class frame of the Manchester syntax for every name; refuses names with a quote."""
+    iri = lambda c: F.concat(F.lit("<"), F.when(c.contains('"'), F.raise_error(F.concat(F.lit("not an IRI: "), c))).otherwise(c), F.lit(">"))
+    up = edges.groupBy(F.col("child").alias("name")).agg(F.array_sort(F.collect_set("parent")).alias("up"))
+    listed = F.filter("up", lambda p: p != "*")
+    body = F.when(F.size(listed) > 0, F.concat(F.lit("\n    SubClassOf: "), F.array_join(F.transform(listed, iri), ", "))).otherwise("")
+    return up.select("name", F.concat(F.lit("Class: "), iri(F.col("name")), body).alias("frame"))
+
+
+def read_owl_classes(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of the classes of an OWL RDF/XML file; a class without a named superclass is under the root."""
+    about = "_rdf:about string, `rdfs:subClassOf` array<struct<`_rdf:resource`: string, `_VALUE`: string>>"
+    rows = spark.read.format("xml").option("rowTag", "owl:Class").schema(about.replace("_rdf:about", "`_rdf:about`")).load(path)
+    local = lambda c: F.regexp_extract(c, "([^#]*)$", 1)
+    ups = F.filter(F.transform(F.coalesce("`rdfs:subClassOf`", F.array()), lambda x: x["_rdf:resource"]), lambda x: x.isNotNull())
+    return projection_edges(rows.select(local(F.col("`_rdf:about`")).alias("item"), F.transform(ups, local).alias("supercategories")))
+
+
+def dot(edges: DataFrame) -> DataFrame:
+    """(value): the lines of a DOT drawing of the graph, without its braces."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return edges.select(F.concat(quote(F.col("child")), F.lit(" -> "), quote(F.col("parent")), F.lit(";")).alias("value"))
