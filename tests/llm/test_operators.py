@@ -169,6 +169,16 @@ def test_page_text(spark):
     assert pagediff.shared_places(list("abcxd"), list("bcyd")) == {1, 2, 4}
 
 
+def test_page_text_differences_inside_articles():
+    main = lambda *x: [(pagediff.MAIN, t) for t in x]
+    a = main("Share this page", "Own words of the first page", "Read more here", "More of its words", "All rights reserved.")
+    b = main("Share this page", "Other words of the second page", "Read more here", "All rights reserved.")
+    assert pagediff.difference(a, b) == "Own words of the first page\nMore of its words"
+    assert pagediff.difference(a, None) == "\n".join(t for _, t in a)
+    version = [*a[:3], (pagediff.MAIN, "A changed end"), a[4]]
+    assert pagediff.difference(version, a) == "\n".join(t for _, t in version)  # the same article, one line changed
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(0)
     word = lambda a: "".join(rng.choice(list(a), 5))
