@@ -171,12 +171,32 @@ def test_page_text(spark):
 
 def test_page_text_differences_inside_articles():
     main = lambda *x: [(pagediff.MAIN, t) for t in x]
+    difference = lambda x, y: pagediff.difference(x, y and pagediff.line_hashes(y))
     a = main("Share this page", "Own words of the first page", "Read more here", "More of its words", "All rights reserved.")
     b = main("Share this page", "Other words of the second page", "Read more here", "All rights reserved.")
-    assert pagediff.difference(a, b) == "Own words of the first page\nMore of its words"
-    assert pagediff.difference(a, None) == "\n".join(t for _, t in a)
+    assert difference(a, b) == "Own words of the first page\nMore of its words"
+    assert difference(a, None) == "\n".join(t for _, t in a)
     version = [*a[:3], (pagediff.MAIN, "A changed end"), a[4]]
-    assert pagediff.difference(version, a) == "\n".join(t for _, t in version)  # the same article, one line changed
+    assert difference(version, a) == "\n".join(t for _, t in version)  # the same article, one line changed
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_page_text_is_differenced_in_any_range(spark, parts):
+    page = lambda own: f"<div>Shared top</div><div>{own}</div><div>Shared end</div>"
+    own = ["one", *["copy"] * 5, "two", "three", *["last"] * 4]
+    rows = [(i, f"http://h.x/a/{i:02}", page(x)) for i, x in enumerate(own)] + [(90, "http://a.x/1", page("alone")), (91, "http://h.x/a/02", None)]
+    rows += [(i, "http://z.x/same", page("same")) for i in range(100, 110)] + [(110, "http://z.x/t", page("other"))]
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {r["page_id"]: r["text"] for r in pagediff.main_text(spark.createDataFrame([*rows, rows[3]], "page_id long, url string, html string")).collect()}
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert [got[i] for i in range(len(own))] == own
+    assert got[90] == "Shared top\nalone\nShared end" and got[91] == ""
+    assert {got[i] for i in range(100, 110)} == {"same"} and got[110] == "other"
 
 
 def test_language_id(spark):
