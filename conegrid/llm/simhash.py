@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -97,13 +97,14 @@ class BKTree:
         return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.int64), *found])
 
 
-def spanning_links(fps: np.ndarray, members: int, radius: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, members: int, radius: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the first `members` fingerprints, and of the visitors
-    after them to members. agree(i, places), if given, tells which of those places i is linked to.
+    after them to members. agree(i, places), if given, tells which of those places i is linked to; part, if given, holds
+    the components that are known already.
 
     A place whose component i has joined is not looked at again, so a shard of mutual copies costs a
     comparison of each with the others' fingerprints, and no more than a link a copy."""
-    tree, part, out = BKTree(fps[:members]), np.arange(len(fps)), []
+    tree, part, out = BKTree(fps[:members]), np.arange(len(fps)) if part is None else part.copy(), []
     for i in range(1, len(fps)):
         near = tree.within(fps[i], radius)
         near = near[(near < i) & (part[near] != part[i])]
@@ -218,30 +219,72 @@ class ShingleSets:
 
 
 def similar_links(shards: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) between members of each shard of (shard, node, fp, text): the BK-tree proposes
-    fingerprints within the radius, and the shingle sets' Jaccard similarity decides."""
+    """Links (a, b) between members of each shard of (shard, node, fp, label, visitor, text), and from
+    its visitors to its members: the BK-tree proposes fingerprints within the radius, and the shingle
+    sets' Jaccard similarity decides. Nodes of one label are linked already."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a: list[int] = []
         b: list[int] = []
         for g in _runs(batches, "shard"):
-            node = g["node"].tolist()
+            node, members = g["node"].tolist(), int((~g["visitor"].to_numpy(bool)).sum())  # sorted: members first
             sets = ShingleSets([np.unique(shingle_hashes(t, k)) for t in g["text"]], similarity)
-            for x, y in spanning_links(g["fp"].to_numpy(np.int64).view(np.uint64), len(g), radius, sets.similar):
+            for x, y in spanning_links(g["fp"].to_numpy(np.int64).view(np.uint64), members, radius, sets.similar, g["label"].to_numpy()):
                 a.append(node[x])
                 b.append(node[y])
         yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(run, "a long, b long")
+    return shards.repartition("shard").sortWithinPartitions("shard", "visitor", "node").mapInPandas(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 26, limit: int = LIMIT, levels: int = 3) -> DataFrame:
+def hot_links(hot: DataFrame, found: DataFrame, search: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """`found` and the links that it lacks between the members of hot shards (shard, node, fp, n), with
+    never more than `limit` rows in a search.
+
+    Members are searched in blocks, then one member of every component that a shard has; what is in
+    none of a shard's largest component then meets all its members, block by block. A pair that is not
+    compared is of one component already, so nothing is lost."""
+    for step in range(2):
+        known = labelled(hot, found)
+        active = known if step == 0 else known.groupBy("shard", "label").agg(F.min_by(F.struct("node", "fp"), "node").alias("x")).select("shard", "label", "x.node", "x.fp")
+        active = materialize(active.select("shard", "label", "node", "fp"))
+        size = active.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+        cut = active.join(size, "shard").withColumn("block", _block("n", limit, step))
+        found = materialize(found.unionAll(search(cut.select(F.xxhash64("shard", "block").alias("shard"), "node", "fp", "label", F.lit(False).alias("visitor")))))
+    known = materialize(labelled(hot, found))
+    sizes = known.groupBy("shard", "label").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("shard").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), (F.sum("m") - F.max("m")).alias("rest"))
+    left = known.join(materialize(largest.where("rest > 0")), "shard")
+    half = max(1, limit // 2)
+    blocks = lambda n: F.ceil(F.col(n) / _block_rows(half))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    members = left.withColumn("i", _block("n", half, 2)).withColumn("j", every("rest")).withColumn("visitor", F.lit(False))
+    visitors = left.where("label <> largest").withColumn("j", _block("rest", half, 3)).withColumn("i", every("n")).withColumn("visitor", F.lit(True))
+    pairs = members.unionByName(visitors).select(F.xxhash64("shard", "i", "j").alias("shard"), "node", "fp", "label", "visitor")
+    return found.unionAll(search(pairs))
+
+
+def _block_rows(limit: int) -> int:
+    """Rows that a block is meant to have: hashing deals unevenly, so fewer than the limit."""
+    return max(1, limit - int(6 * limit**0.5)) if limit > 144 else max(1, limit // 4)
+
+
+def _block(n: str, limit: int, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(n) / _block_rows(limit)))
+
+
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` with the label of each node's component."""
+    return rows.join(connected_components(found), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 26, limit: int = LIMIT) -> DataFrame:
     """doc_id, component_id: groups linked by Jaccard similarity of k-word shingle sets.
 
     At 0.8 fingerprints differ in up to about twenty bits, too many for blocks of equal bits; so a
     shard here is a band of minimum hashes that two such texts share with a chance of over 0.99 in
-    some band (1 - (1 - 0.8**3)**8 = 0.997). Equal texts are one node. A shard over the limit is
-    dealt out again by six further minimum hashes at once, up to `levels` times.
+    some band (1 - (1 - 0.8**3)**8 = 0.997). Equal texts are one node. A shard over the limit is cut
+    by rows into blocks that meet each other as far as they are not linked yet.
     """
     schema = "doc_id long, content long, fp long, mins array<long>"
 
@@ -260,24 +303,22 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     nodes = sketches.groupBy("content").agg(F.min_by(F.struct("doc_id", "fp", "mins"), "doc_id").alias("x")).select("content", F.col("x.doc_id").alias("node"), "x.fp", "x.mins")
     nodes = materialize(nodes)
     bands = [F.xxhash64(F.lit(b), *[F.get("mins", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
-    shards = nodes.select("node", "fp", "mins", F.explode(F.array(*bands)).alias("shard"))
-    chosen = None
-    for level in range(levels + 1):
-        # shards of just the same members (copies that share every band) are searched once
-        members = shards.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-        sizes = materialize(members.where("n > 1").groupBy("n", "s", "x").agg(F.min("shard").alias("shard")).select("shard", "n"))
-        last = level == levels or sizes.where(F.col("n") > limit).isEmpty()
-        here = shards.join(sizes if last else sizes.where(F.col("n") <= limit), "shard").select("shard", "node", "fp")
-        chosen = here if chosen is None else chosen.unionAll(here)
-        if last:
-            break
-        more = [F.xxhash64("shard", F.get("mins", F.lit((level * 6 + j) * 5 % len(_MULTIPLY)))) for j in range(6)]
-        hot = shards.join(sizes.where(F.col("n") > limit), "shard", "left_semi")
-        shards = materialize(hot.select("node", "fp", "mins", F.explode(F.array(*more)).alias("shard")).dropDuplicates(["shard", "node"]))
-    chosen = materialize(chosen)
+    shards = nodes.select("node", "fp", F.explode(F.array(*bands)).alias("shard"))
+    # shards of just the same members (copies that share every band) are searched once
+    members = shards.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    sizes = materialize(members.where("n > 1").groupBy("n", "s", "x").agg(F.min("shard").alias("shard")).select("shard", "n"))
+    chosen = materialize(shards.join(sizes, "shard").select("shard", "node", "fp", "n"))
     # only the texts of nodes that share a shard travel, once a node; then once a shard
-    texts = named.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    parts = connected_components(similar_links(chosen.join(texts, chosen["node"] == texts["doc_id"]).select("shard", "node", "fp", "text"), k, similarity, radius))
+    texts = named.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
+
+    def search(rows: DataFrame) -> DataFrame:
+        return similar_links(rows.join(texts, rows["node"] == texts["_id"]).select("shard", "node", "fp", "label", "visitor", "text"), k, similarity, radius)
+
+    found = search(chosen.where(F.col("n") <= limit).withColumn("label", F.col("node")).withColumn("visitor", F.lit(False)))
+    hot = chosen.where(F.col("n") > limit)
+    if not hot.isEmpty():
+        found = hot_links(hot, materialize(found), search, limit)
+    parts = connected_components(found)
     groups = nodes.join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
     return sketches.join(groups, "content").select("doc_id", "component_id")
 

@@ -85,6 +85,33 @@ def test_similar_groups_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
 
 
+def test_hot_shards_are_cut_by_rows(spark, monkeypatch):
+    words, rng = [f"w{i}" for i in range(200)], np.random.default_rng(4)
+    texts = []
+    for i in range(60):  # near copies: each has words of its own near the end
+        w = [f"{x}q" if i % 3 == 2 else x for x in words[:40]] + words[40:]
+        at = 160 + int(rng.integers(30))
+        texts.append(" ".join([*w[:at], f"own{i}", *w[at + 1 :]]))
+    limit, found, most = 12, simhash.similar_links, []
+
+    def spy(shards, *rest):
+        most.append(shards.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return found(shards, *rest)
+
+    monkeypatch.setattr(simhash, "similar_links", spy)
+    frame = docs(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, limit=limit).collect()}
+    assert max(most) <= limit and len(most) > 1
+    sets = [{*simhash.shingle_hashes(t, 5).tolist()} for t in texts]
+    fps = [simhash.majority_bits(simhash.shingle_hashes(t, 5)) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 26 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert got == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("leaf", [256, 2])
 def test_shard_search_matches_brute_force(monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF", leaf)
