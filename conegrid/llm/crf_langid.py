@@ -159,12 +159,40 @@ def fit(docs: DataFrame, may_learn: Column, max_docs: int = 2_000, shards: int =
     return languages, weights, own[:-1].reshape(k, k) / own[-1]
 
 
+def familiar_features(docs: DataFrame, may_learn: Column, max_docs: int = 2_000) -> np.ndarray:
+    """Which feature buckets occur in a hundredth, and two at least, of the documents that `fit` learns from.
+
+    Learned text has most of its features among these, whatever the number of languages; text of
+    another script or language, or noise, has not, even where it is labelled as a learned language."""
+    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, seen = 0, np.zeros(1 << BITS, np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                words = [w for w in map(letters, t.split()) if w]
+                if words:
+                    n += 1
+                    seen[np.unique(word_features(words)[0])] += 1
+        i = np.flatnonzero(seen)
+        yield pd.DataFrame({"i": [-1, *i.tolist()], "n": [n, *seen[i].tolist()]})
+
+    parts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInPandas(count, "i long, n long")
+    found = parts.groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # at most a row a bucket
+    total, out = int(found.loc[found["i"] < 0, "n"].sum()), np.zeros(1 << BITS, bool)
+    out[found.loc[(found["i"] >= 0) & (found["n"] >= min(total, max(2, total / 100))), "i"].to_numpy(np.int64)] = True
+    return out
+
+
 class _Emissions(dict):
-    """Token to place in a table of emission scores; bounded: rare later tokens are forgotten."""
+    """Token to place in a table of emission scores, and of the share of familiar features if these are
+    given; bounded: rare later tokens are forgotten."""
 
-    def __init__(self, weights: np.ndarray, limit: int = 600_000):
+    def __init__(self, weights: np.ndarray, familiar: np.ndarray | None = None, limit: int = 600_000):
         super().__init__()
-        self.weights, self.limit, self.rows, self.words = weights, limit, np.zeros((0, weights.shape[1]), np.float32), {}
+        self.weights, self.familiar, self.limit, self.words = weights, familiar, limit, {}
+        self.rows = np.zeros((0, weights.shape[1] + (familiar is not None)), np.float32)
 
     def add(self, tokens: list[list[str]]) -> None:
         if len(self) > self.limit:
@@ -179,40 +207,49 @@ class _Emissions(dict):
                 fresh.append(w)
             self[t] = self.words[w] if w else -1
         if fresh:
-            self.rows = np.concatenate([self.rows, emissions(fresh, self.weights).astype(np.float32)])
+            new = emissions(fresh, self.weights).astype(np.float32)
+            if self.familiar is not None:
+                b, o = word_features(fresh)
+                new = np.column_stack([new, (np.bincount(o, self.familiar[b]) / np.bincount(o)).astype(np.float32)])
+            self.rows = np.concatenate([self.rows, new])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """`docs` with lang_pred and score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], familiar: np.ndarray | None = None) -> DataFrame:
+    """`docs` with lang_pred and score, and, if familiar features are given, a text's mean share of
+    them over its words."""
     languages, weights, transitions = model
-    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), transitions))
+    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), transitions, familiar))
+    columns = ["lang_pred", "score", *["familiar"] * (familiar is not None)]
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf(", ".join(f"{c} {'string' if c == 'lang_pred' else 'double'}" for c in columns))
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        w, step = shared.value
-        table = _Emissions(w)
+        w, step, seen = shared.value
+        table, k = _Emissions(w, seen), len(languages)
         for texts in batches:
-            out: list[tuple[str, float]] = []
+            out: list[tuple] = []
             for lo in range(0, len(texts), 256):
                 tokens = [t.split() if isinstance(t, str) else [] for t in texts.iloc[lo : lo + 256]]
                 if not languages:
-                    out += [("und", 0.0)] * len(tokens)
+                    out += [("und", 0.0, 0.0)[: len(columns)]] * len(tokens)
                     continue
                 table.add(tokens)
                 rows = [np.array([table[x] for x in t], np.int64) for t in tokens]
                 rows = [r[r >= 0] for r in rows]
                 n = [len(r) for r in rows]
-                means = np.zeros((len(n), len(languages)))
+                means, share = np.zeros((len(n), k)), np.zeros(len(n))
                 if sum(n):
                     places, mask = chains(n)
-                    chance, _ = forward_backward(table.rows[np.concatenate(rows)][places].astype(np.float64), mask, step) if len(languages) > 1 else (mask[:, :, None].astype(float), None)
+                    flat = table.rows[np.concatenate(rows)]
+                    if seen is not None:
+                        share = np.bincount(np.repeat(np.arange(len(n)), n), flat[:, k], len(n)) / np.maximum(1, n)
+                    chance, _ = forward_backward(flat[:, :k][places].astype(np.float64), mask, step) if k > 1 else (mask[:, :, None].astype(float), None)
                     owner = np.repeat(np.arange(len(n)), [-(-x // CHAIN) for x in n])
                     means = _sum_by(chance.sum(1), owner, len(n)) / np.maximum(1, n)[:, None]
                 best = means.argmax(1)
-                out += [(languages[b], float(min(1.0, m[b]))) if x else ("und", 0.0) for b, m, x in zip(best, means, n, strict=True)]
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                out += [((languages[b], float(min(1.0, m[b])), f) if x else ("und", 0.0, 0.0))[: len(columns)] for b, m, x, f in zip(best, means, n, share.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=columns)
 
-    return docs.withColumn("_p", label("text")).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    return docs.withColumn("_p", label("text")).select("*", *[f"_p.{c}" for c in columns]).drop("_p")
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:

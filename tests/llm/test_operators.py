@@ -236,6 +236,20 @@ def test_language_id(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "aa"
 
 
+@pytest.mark.parametrize("languages", [1, 2])
+def test_pipeline_rejects_what_is_no_learned_language(spark, languages):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    parts = [["an", "der", "ing", "tion", "th", "es", "on"], ["que", "lla", "os", "ci", "ar", "mo", "ez"]]
+    prose = lambda a: " ".join("".join(rng.choice(a, rng.integers(1, 4))) for _ in range(60))
+    noise = lambda a: " ".join("".join(rng.choice(list(a), rng.integers(3, 9))) for _ in range(60))
+    rows = [(i, prose(parts[i % languages]), f"l{i % languages}") for i in range(200)]
+    odd = [(900, noise("abcdefghijklmnopqrstuvwxyz"), "l0"), (901, noise("абвгдежзиклмн"), None), (902, None, "l0"), (903, "12 !!", None)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string"), "").collect()}
+    assert got == {i: x for i, _, x in rows}
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(3)
     s, t = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
