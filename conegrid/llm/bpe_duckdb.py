@@ -13,6 +13,7 @@ strings. Repeated rows give repeated results; an empty table gives no rows; othe
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -23,27 +24,32 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .words import SegmentCache
+from .words import segments
 
+BATCH = 4_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: For words up to SHORT bytes: one contraction a step, a lighter plan.
-SHORT = 48
+#: For words up to SHORT bytes: one contraction a step. A row's key is its word and place in one number, and
+#: so is a word's least pair (token made, place, place of the second token), so every step joins plain numbers.
+SHORT = 63
 ENCODE_SHORT = """
-with recursive t(w, pos, tok, step) as (
-    select w, pos, tok, 0 from byte_rows
+with recursive t(k, tok, step) as (
+    select w << 6 | pos, tok::bigint, 0 from byte_rows
     union all
     (with near as (
-        select w, pos, tok, step, lead(tok) over win as nxt, lag(pos) over win as prv from t
-        window win as (partition by w order by pos)),
-    pair as (select near.*, m.made from near left join merges m on near.tok = m.a and near.nxt = m.b),
-    best as (select w, min(made::bigint << 32 | pos) as least_pair from pair where made is not null group by w)
-    select p.w, p.pos, case when p.pos = (least_pair & 4294967295) then p.made else p.tok end, p.step + 1
-    from pair p join best on p.w = best.w where p.prv is null or p.prv <> (least_pair & 4294967295))
+        select k, tok, lead(tok) over win as next_tok, lead(k) over win as next_k from t window win as (order by k)),
+    best as (
+        select k >> 6 as w, min((m.made << 12) | ((k & 63) << 6) | (next_k & 63)) as least_pair
+        from near join pairs m on ((tok << 20) | next_tok) = m.ab where next_k >> 6 = k >> 6 group by k >> 6)
+    select k, case when (k & 63) = ((least_pair >> 6) & 63) then least_pair >> 12 else tok end, step + 1
+    from t join best on k >> 6 = w where (k & 63) <> (least_pair & 63))
 )
-select t.w, t.pos, t.tok from t join (select w, max(step) as step from t group by w) l on t.w = l.w and t.step = l.step
+select t.k, t.tok
+from t join (select k >> 6 as w, max(step) as step from t group by k >> 6) l on t.k >> 6 = l.w and t.step = l.step
 """
-#: For longer words: all disjoint places of a pair in one step where that is safe.
+#: For longer words: all disjoint places of a pair in one step where that is safe. The steps of a run are
+#: bounded, so that their rows are; what is not finished then starts the next run.
+STEPS = 32
 ENCODE = """
 with recursive t(w, pos, tok, step) as (
     select w, pos, tok, 0 from byte_rows
@@ -64,9 +70,9 @@ with recursive t(w, pos, tok, step) as (
     from pair p semi join least_rank l on p.w = l.w
     left join chosen here on p.w = here.w and p.k = here.k
     left join chosen before on p.w = before.w and p.k = before.k + 1
-    where before.k is null)
+    where before.k is null and p.step < ?)
 )
-select t.w, t.pos, t.tok from t join (select w, max(step) as step from t group by w) l on t.w = l.w and t.step = l.step
+select t.w, t.pos, t.tok, t.step from t join (select w, max(step) as step from t group by w) l on t.w = l.w and t.step = l.step
 """
 
 
@@ -86,9 +92,10 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})  # nothing is spilled to a local folder
         self.con.register("m_in", merge_rows(self.ranks))
         self.con.execute("create table merges as select * from m_in")
+        self.con.execute("create table pairs as select (a::bigint << 20) | b as ab, made::bigint as made from merges")
         self.con.register("v_in", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([t.hex() for t in self.ranks], pa.string())}))
         self.con.execute("create table vocabulary as select * from v_in")
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -99,61 +106,131 @@ class Coder:
         w = np.repeat(np.arange(len(words)), n)
         return pa.table({"w": w.astype(np.int32), "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "tok": self.first[flat]})
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word (one pattern match each)."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        for query, todo in ((ENCODE_SHORT, [i for i, w in enumerate(words) if 0 < len(w) <= SHORT]), (ENCODE, [i for i, w in enumerate(words) if len(w) > SHORT])):
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (one pattern match each), as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(words)
+        for run, todo in ((self._short, [i for i, w in enumerate(words) if 0 < len(w) <= SHORT]), (self._long, [i for i, w in enumerate(words) if len(w) > SHORT])):
             lo = 0
             while lo < len(todo):
                 hi, size = lo, 0
-                while hi < len(todo) and (hi == lo or size + len(words[todo[hi]]) < 200_000):
+                while hi < len(todo) and (hi == lo or size + len(words[todo[hi]]) < 250_000):
                     size += len(words[todo[hi]])
                     hi += 1
-                for i, ids in zip(todo[lo:hi], self._encode(query, [words[i] for i in todo[lo:hi]]), strict=True):
-                    out[i] = ids
+                w, tok = run(self.rows([words[i] for i in todo[lo:hi]]))
+                flat, cuts = tok.astype("<u4").tobytes(), (4 * np.searchsorted(w, np.arange(hi - lo + 1))).tolist()
+                for i, start, stop in zip(todo[lo:hi], cuts, cuts[1:], strict=False):
+                    out[i] = flat[start:stop]
                 lo = hi
         return out
 
-    def _encode(self, query: str, words: list[bytes]) -> list[np.ndarray]:
-        self.con.register("byte_rows", self.rows(words))
-        got = self.con.execute(query).fetchnumpy()
-        order = np.lexsort((got["pos"], got["w"]))
-        cuts = np.searchsorted(got["w"][order], np.arange(1, len(words)))
-        return np.split(np.asarray(got["tok"])[order].astype(np.int32), cuts)
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+    def _short(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        self.con.register("byte_rows", rows)
+        got = self.con.execute(ENCODE_SHORT).fetchnumpy()
+        order = np.argsort(got["k"], kind="stable")
+        return np.asarray(got["k"])[order] >> 6, np.asarray(got["tok"])[order]
+
+    def _long(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        done: list[tuple[np.ndarray, ...]] = []
+        while len(rows):
+            self.con.register("byte_rows", rows)
+            got = self.con.execute(ENCODE, [STEPS]).fetchnumpy()
+            w, pos, tok = (np.asarray(got[c]).astype(np.int32) for c in ("w", "pos", "tok"))
+            more = np.asarray(got["step"]) >= STEPS
+            done.append((w[~more], pos[~more], tok[~more]))
+            rows = pa.table({"w": w[more], "pos": pos[more], "tok": tok[more]})
+        w, pos, tok = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.lexsort((pos, w))
+        return w[order], tok[order]
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids, put together by an ordered aggregation."""
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
-        self.con.register("id_rows", pa.table({"w": np.repeat(np.arange(len(ids)), n).astype(np.int32), "pos": np.arange(len(flat)), "tok": flat}))
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        word = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
+        self.con.register("id_rows", pa.table({"w": word, "pos": np.arange(len(flat), dtype=np.int32), "tok": flat}))
         got = dict(self.con.execute("select w, string_agg(bytes, '' order by pos) from id_rows join vocabulary using (tok) group by w").fetchall())
         return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
 
 
-_workers: dict[tuple[str, str], SegmentCache] = {}
+class Known:
+    """A growing table of strings with their ids and decoded bytes, in two generations: what was not
+    asked for while the younger one filled up is forgotten. A place holds until the next call of age()."""
+
+    def __init__(self, limit: int):
+        self.limit, self.place, self.ids, self.decoded, self.old = limit, {}, [], [], ({}, [], [])
+
+    def missing(self, strings: set[str]) -> list[str]:
+        """Those of the strings that have no entry, after taking over those of the older generation."""
+        places, ids, decoded = self.old
+        absent = strings - self.place.keys()
+        for s in absent & places.keys():
+            at = places.pop(s)
+            self.add(s, ids[at], decoded[at])
+        return sorted(absent - self.place.keys())
+
+    def add(self, s: str, ids: bytes, decoded: bytes) -> None:
+        self.place[s] = len(self.ids)
+        self.ids.append(ids)
+        self.decoded.append(decoded)
+
+    def age(self) -> None:
+        if len(self.ids) > self.limit:
+            self.old = self.place, self.ids, self.decoded
+            self.place, self.ids, self.decoded = {}, [], []
+
+
+class Worker:
+    """Encodes and decodes texts in one Python worker, from the matches and segments that it knows."""
+
+    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+        self.coder, self.matches = Coder(path, pattern), Known(limit)
+        self.segments = {lead: Known(limit) for lead in ("", " ")}
+
+    def learn(self, lead: str, strings: set[str]) -> None:
+        """Make these segments known, given without their leading character."""
+        known, matches = self.segments[lead], self.matches
+        new = known.missing(strings)
+        found = list(map(self.coder.pattern.findall, new if not lead else [lead + s for s in new]))
+        fresh = matches.missing(set().union(*found))
+        ids = self.coder.encode([m.encode() for m in fresh])
+        for m, i, d in zip(fresh, ids, self.coder.decode(ids), strict=True):
+            matches.add(m, i, d)
+        for s, cut in zip(new, found, strict=True):
+            at = [matches.place[m] for m in cut]
+            known.add(s, b"".join([matches.ids[i] for i in at]), b"".join([matches.decoded[i] for i in at]))
+        matches.age()
+
+    def batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each text."""
+        cut = [segments(t) for t in texts]
+        first, rest = [s.pop(0) for s in cut], cut
+        self.learn("", set(first))
+        self.learn(" ", set().union(*rest))
+        heads, tails, out = self.segments[""], self.segments[" "], []
+        for head, tail in zip(first, rest, strict=True):
+            h, t = heads.place[head], [*map(tails.place.__getitem__, tail)]
+            out.append((heads.ids[h] + b"".join(map(tails.ids.__getitem__, t)), heads.decoded[h] + b"".join(map(tails.decoded.__getitem__, t))))
+        heads.age()
+        tails.age()
+        return out
 
 
-def _worker(path: str, pattern: str) -> SegmentCache:
-    """Segments to (id bytes, decoded bytes), once per Python worker."""
-    if (path, pattern) not in _workers:
-        coder = Coder(path, pattern)
+_workers: dict[tuple[str, str], Worker] = {}
 
-        def encode(new: list[str]) -> list[tuple[bytes, bytes]]:
-            cut = [coder.pattern.findall(s) for s in new]
-            distinct = sorted(set().union(*cut)) if cut else []
-            ids = dict(zip(distinct, coder.encode([p.encode() for p in distinct]), strict=True))
-            whole = [np.concatenate([ids[p] for p in c]) if c else np.zeros(0, np.int32) for c in cut]
-            return list(zip([x.astype("<u4").tobytes() for x in whole], coder.decode(whole), strict=True))
 
-        _workers[path, pattern] = SegmentCache(encode)
+def _worker(path: str, pattern: str) -> Worker:
+    if (path, pattern) not in _workers:
+        _workers[path, pattern] = Worker(path, pattern)
     return _workers[path, pattern]
 
 
 def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[tuple[bytes, bytes]]:
     """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
-    cache = _worker(path, pattern)
-    parts = cache.batch([t if isinstance(t, str) else "" for t in texts])
-    return [(b"".join([s[0] for s in p]), b"".join([s[1] for s in p])) for p in parts]
+    worker = _worker(path, pattern)
+    gc.disable()  # a batch makes millions of strings and no cycles: collections would only walk over them
+    try:
+        return worker.batch([t if isinstance(t, str) else "" for t in texts])
+    finally:
+        gc.enable()
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
@@ -161,8 +238,9 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            # whole texts, about BATCH characters at a time
+            place = (pdf["text"].str.len().fillna(0).cumsum() // BATCH).to_numpy()
+            for _, part in pdf.groupby(place):
                 got = encode_texts(part["text"].tolist(), vocabulary_path, pattern)
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64").tolist(), "n_tokens": [len(i) // 4 for i, _ in got],

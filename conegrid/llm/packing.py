@@ -38,7 +38,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 def _worker(path: str) -> tuple:
-    """(encoder of plain texts, of any text) for a vocabulary file, once per Python worker.
+    """(encoder of plain texts, of any text, its tables) for a vocabulary file, once per Python worker.
 
     The ids are those of the tokenizers library on this file. Distinct segments go through the
     tiktoken merger loaded with the file's own vocabulary, which is several times quicker on short
@@ -63,13 +63,13 @@ def _worker(path: str) -> tuple:
             first, *rest = segments(text)
             return heads[first] + b"".join(map(tails.__getitem__, rest))
 
-        _workers[path] = plain, lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        _workers[path] = plain, lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (heads, tails)
     return _workers[path]
 
 
 def token_ids(texts: list[str | None], path: str, end_id: int = 0) -> list[np.ndarray]:
     """Each text's ids and the end id, as unsigned 32-bit arrays."""
-    plain, whole = _worker(path)
+    plain, whole, _ = _worker(path)
     tail = np.array([end_id], "<u4").tobytes()
     texts = [t if isinstance(t, str) else "" for t in texts]
     return [np.frombuffer((whole if SPECIAL in t else plain)(t) + tail, "<u4") for t in texts]
@@ -126,5 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
                         yield flush()
         if held:
             yield flush()
+        for table in _worker(tokenizer_path)[2]:  # a worker outlives its task: leave no segments behind
+            table.clear()
 
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)

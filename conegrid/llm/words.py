@@ -1,8 +1,8 @@
-"""Text pieces shared by the operators: ASCII words, and per-worker caches of encoded segments."""
+"""Text pieces shared by the operators: ASCII words, segments, and a cache of encoded segments."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import regex
 
@@ -28,30 +28,10 @@ def segments(text: str) -> list[str]:
     return _SOLO_SPACE.split(text) if _SPACE_AFTER_SPACE.search(text) or text[:1] == " " else text.split(" ")
 
 
-class SegmentCache:
-    """Encoded segments of one Python worker; bounded: once full, a batch's new entries go again."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
-
-    def batch(self, texts: list[str]) -> Iterable[list]:
-        """Each text's list of encoded segments, in order."""
-        cut = [segments(t) for t in texts]
-        heads = {s[0] for s in cut}
-        new = sorted({" " + w for w in set().union(*(s[1:] for s in cut))} - self.known.keys() | heads - self.known.keys())
-        known = self.known
-        known.update(zip(new, self.encode(new), strict=True))
-        for s in cut:
-            yield [known[s[0]], *[known[" " + w] for w in s[1:]]]
-        if len(known) > self.limit:
-            for w in new:
-                del known[w]
-
-
 class Encoded(dict):
     """Segments encoded when first met, kept up to a limit; later new ones are encoded each time."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, limit: int = 300_000):
         super().__init__()
         self.encode, self.lead, self.limit = encode, lead, limit
 

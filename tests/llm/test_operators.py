@@ -293,6 +293,23 @@ def test_bpe_round_trip(spark):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_long_matches_and_forgetting(monkeypatch):
+    import base64
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe_duckdb, "STEPS", 3)
+    rng, worker = np.random.default_rng(8), bpe_duckdb.Worker(path, P.PATTERN, limit=5)
+    words = ["".join(rng.choice(list("abcé"), n)) for n in (1, 2, 3, 62, 63, 64, 65, 400)]
+    texts = ["=" * 300 + "x" * 3000, "", *[" ".join(rng.choice(words, 6)) for _ in range(40)]]
+    for lo in range(0, len(texts), 7):  # a limit of five: entries are forgotten between batches
+        for t, (ids, decoded) in zip(texts[lo : lo + 7], worker.batch(texts[lo : lo + 7]), strict=False):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and decoded == t.encode()
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert simhash.near_duplicates(none).count() == 0
