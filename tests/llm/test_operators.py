@@ -164,6 +164,37 @@ def test_quality_rules_counts(spark):
         assert got[i]["base_failed"] == (len(w) < 10 or 100 * repeat > 20 * len(w))
 
 
+def test_quality_rules_ratio_by_brute_force(spark):
+    buckets, rng = 64, np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[:25] if i % 2 else words[10:], 12 + i)) for i in range(60)] + [None, "", "short", " ".join(["zz qq"] * 9)]
+    frame = spark.createDataFrame([(i, t, "x", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, kept string, llr double")
+    trusted = [i for i in range(60) if i % 2]
+    labels = spark.createDataFrame([(i,) for i in [*trusted, 1, None, 999]], "doc_id long")
+    whole = lambda h: h - (1 << 64) if h >> 63 else h
+    digest = lambda n, seed: xxhash.xxh64_intdigest(n.to_bytes(8, "little", signed=True), seed)
+
+    def grams(t):
+        h = [whole(xxhash.xxh64_intdigest(w, 42)) for w in (t or "").encode().split()]
+        return [x % buckets for x in h] + [whole(digest(b, digest(a, 42))) % buckets for a, b in zip(h, h[1:])]
+
+    held = {i for i in trusted if whole(digest(i, 42)) is not None and whole(xxhash.xxh64_intdigest((5).to_bytes(4, "little"), digest(i, 42))) % 5 == 0}
+    assert 2 <= len(held) < len(trusted)
+    raw = Counter(g for t in texts for g in grams(t))
+    ratio_over = lambda ids: (lambda c: [math.log((c[b] + 5) / (c.total() + 5 * buckets)) - math.log((raw[b] + 5) / (raw.total() + 5 * buckets)) for b in range(buckets)])(Counter(g for i in ids for g in grams(texts[i])))
+    mean = lambda r, t: sum(r[g] for g in grams(t)) / max(1, len(grams(t)))
+    for threshold in (0.01, None):
+        r = ratio_over([i for i in trusted if threshold is not None or i not in held])
+        x = np.array([mean(r, texts[i]) for i in sorted(held)])
+        least = threshold if threshold is not None else x.mean() - 0.5 * x.std()
+        got = {row["doc_id"]: row for row in target_llr.judge(frame, labels, buckets=buckets, threshold=threshold, deviations=0.5, filter_bits=8).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            assert got[i]["llr"] == pytest.approx(mean(r, t), abs=1e-9)
+            assert got[i]["kept"] == (not got[i]["base_failed"] and mean(r, t) >= least)
+    assert 5 < sum(row["kept"] for row in got.values()) < 55
+
+
 def test_language_model_base_and_mass(spark):
     texts = [f"common words {i % 7} again" for i in range(60)] + [None, ""]
     got = hpylm.train_and_score(docs(spark, texts), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).toPandas().drop_duplicates("doc_id").set_index("doc_id")
