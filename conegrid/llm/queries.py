@@ -80,7 +80,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crf_langid import identify
 
     ship_package(spark)
-    return identify(table(spark, sf_dir, "documents"), _remainder(4) == 2)
+    found = identify(table(spark, sf_dir, "documents"), _remainder(4) == 2)
+    return found.withColumn("span_langs", F.to_json("span_langs")).withColumn("span_words", F.to_json("span_words"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,35 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(chance[0], total / total.sum(1, keepdims=True))
 
 
+def test_forward_backward_joins_stretches(monkeypatch):
+    """A text cut into stretches has the chances and expected pairs of one whole chain."""
+    rng = np.random.default_rng(4)
+    lengths, k = [11, 3, 0, 4, 8, 1], 3
+    flat, t = rng.normal(size=(sum(lengths), k)) * 2, rng.normal(size=(k, k))
+    monkeypatch.setattr(crf_langid, "CHAIN", 16)
+    places, mask, turn = crf_langid.chains(lengths)
+    want, want_pairs = crf_langid.forward_backward(flat[places], mask, t, turn)
+    assert not turn.any()
+    monkeypatch.setattr(crf_langid, "CHAIN", 4)
+    places, mask, turn = crf_langid.chains(lengths)
+    got, got_pairs = crf_langid.forward_backward(flat[places], mask, t, turn)
+    assert turn.max() == 2 and np.allclose(got[mask], np.concatenate([w[:n] for w, n in zip(want, [x for x in lengths if x])]))
+    assert np.allclose(got_pairs, want_pairs)
+
+
+def test_code_switched_words_get_their_labels(spark):
+    rng = np.random.default_rng(9)
+    word = lambda a: "".join(rng.choice(list(a), 5))
+    mono = [(i, " ".join(word("abcde" if i % 2 else "vwxyz") for _ in range(40)), "aa" if i % 2 else "zz") for i in range(60)]
+    mixed = " ".join([*(word("abcde") for _ in range(70)), *(word("vwxyz") for _ in range(30)), "12", *(word("abcde") for _ in range(9))])
+    frame = spark.createDataFrame([*mono, (900, mixed, None), (901, None, None)], "doc_id long, text string, lang string")
+    found = crf_langid.predict(frame.withColumn("score", F.lit("own")), crf_langid.fit(frame, F.lit(True)))
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got[900]["score"] == "own" and got[900]["_language"]["span_langs"] == ["aa", "zz", "aa"]
+    assert got[900]["_language"]["span_words"] == [70, 30, 9] and got[900]["_language"]["lang_pred"] == "aa"
+    assert got[901]["_language"]["span_langs"] == [] and got[0]["_language"]["span_words"] == [40]
+
+
 def test_top_k_with_ties(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(150)] + [(200 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)]
