@@ -31,7 +31,7 @@ from .components import connected_components
 from .words import ascii_words
 
 LIMIT = 20_000
-#: Values of a BK subtree that are compared at once, without a tree.
+#: Values of a BK subtree that are compared at once where the radius is so wide that few edges are ruled out.
 LEAF = 256
 BANDS, ROWS = 8, 3
 _MULTIPLY = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,45 +69,59 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 class BKTree:
-    """64-bit fingerprints under Hamming distance: a subtree's children are keyed by their integer
-    distance to its pivot; a subtree of at most LEAF values is kept flat and compared at once."""
+    """64-bit fingerprints under Hamming distance: a node's children are keyed by their integer distance
+    to it. A subtree of at most `leaf` values is kept flat and compared at once; with leaf 1 every value
+    is a node."""
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = values
+    def __init__(self, values: np.ndarray, leaf: int = 1) -> None:
+        self.values, self.leaf = values, leaf
         self.top = self._grow(np.arange(len(values)))
 
-    def _grow(self, places: np.ndarray) -> np.ndarray | tuple[np.uint64, dict]:
-        if len(places) <= LEAF:
-            return places
-        pivot = self.values[places[0]]
-        d = np.bitwise_count(self.values[places] ^ pivot)
-        # the pivot and its equals are a leaf of their own: every other child is smaller than its parent
-        return pivot, {int(x): places[d == 0] if x == 0 else self._grow(places[d == x]) for x in np.unique(d)}
+    def _grow(self, places: np.ndarray) -> np.ndarray | tuple[int, np.ndarray, dict]:
+        """A node (its value, the places of that value, its children), or the places of a flat subtree."""
+        todo, made = [(places, None, 0)], None
+        while todo:  # without recursion: a tree may be deep
+            places, parent, edge = todo.pop()
+            if len(places) <= self.leaf:
+                node = places
+            else:
+                value = self.values[places[0]]
+                d = np.bitwise_count(self.values[places] ^ value)
+                node = (int(value), places[d == 0], {})
+                todo += [(places[d == x], node, int(x)) for x in np.unique(d[d > 0])]
+            if parent is None:
+                made = node
+            else:
+                parent[2][edge] = node
+        return made
 
     def within(self, value: np.uint64, radius: int) -> np.ndarray:
-        """Places of all values within the radius."""
-        stack, found = [self.top], []
+        """Places of all values within the radius, by the edges that can lead to them."""
+        stack, found, own = [self.top], [], int(value)
         while stack:
             at = stack.pop()
             if isinstance(at, tuple):
-                d = int(np.bitwise_count(at[0] ^ value))
-                stack += [c for e, c in at[1].items() if d - radius <= e <= d + radius]
-            else:
+                d = (at[0] ^ own).bit_count()
+                if d <= radius:
+                    found.append(at[1])
+                stack += [at[2][e] for e in at[2].keys() & range(d - radius, d + radius + 1)]
+            elif len(at):
                 found.append(at[np.bitwise_count(self.values[at] ^ value) <= radius])
         return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.int64), *found])
 
 
-def spanning_links(fps: np.ndarray, members: int, radius: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, members: int, radius: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None, part: np.ndarray | None = None,
+                   leaf: int = 1) -> list[tuple[int, int]]:
     """A spanning forest of the links among the first `members` fingerprints, and of the visitors
     after them to members. agree(i, places), if given, tells which of those places i is linked to; part, if given, holds
     the components that are known already.
 
     A place whose component i has joined is not looked at again, so a shard of mutual copies costs a
     comparison of each with the others' fingerprints, and no more than a link a copy."""
-    tree, part, out = BKTree(fps[:members]), np.arange(len(fps)) if part is None else part.copy(), []
+    tree, part, out = BKTree(fps[:members], leaf), np.arange(len(fps)) if part is None else part.copy(), []
     for i in range(1, len(fps)):
         near = tree.within(fps[i], radius)
-        near = near[(near < i) & (part[near] != part[i])]
+        near = np.sort(near[(near < i) & (part[near] != part[i])])
         step = 1
         while len(near):
             head, near = near[:step], near[step:]
@@ -229,7 +243,7 @@ def similar_links(shards: DataFrame, k: int, similarity: float, radius: int) ->
         for g in _runs(batches, "shard"):
             node, members = g["node"].tolist(), int((~g["visitor"].to_numpy(bool)).sum())  # sorted: members first
             sets = ShingleSets([np.unique(shingle_hashes(t, k)) for t in g["text"]], similarity)
-            for x, y in spanning_links(g["fp"].to_numpy(np.int64).view(np.uint64), members, radius, sets.similar, g["label"].to_numpy()):
+            for x, y in spanning_links(g["fp"].to_numpy(np.int64).view(np.uint64), members, radius, sets.similar, g["label"].to_numpy(), LEAF):
                 a.append(node[x])
                 b.append(node[y])
         yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
