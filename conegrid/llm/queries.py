@@ -116,37 +116,44 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 
 OP3_SQL = """
 WITH conv AS (
-    SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns,
-           sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) AS said
-    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY floor(conv_id / 64) ORDER BY turns[1].role NULLS FIRST, turns[1].text NULLS FIRST, conv_id) - 1 AS i FROM conv),
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+           sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) AS said,
+           list(mark ORDER BY turn NULLS FIRST, mark) AS key
+    FROM (SELECT *, md5(coalesce('1' || role, '0') || chr(1) || coalesce('1' || text, '0')) AS mark FROM conversations)
+    WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY key, conv_id) - 1 AS i, count(*) OVER () AS n FROM conv),
 pairs AS (
     SELECT CASE WHEN a.said >= b.said THEN a.conv_id ELSE b.conv_id END AS chosen_id,
            CASE WHEN a.said >= b.said THEN b.conv_id ELSE a.conv_id END AS rejected_id,
            CASE WHEN a.said >= b.said THEN a.turns ELSE b.turns END AS c,
-           CASE WHEN a.said >= b.said THEN b.turns ELSE a.turns END AS r
-    FROM ranked a JOIN ranked b ON floor(a.conv_id / 64) = floor(b.conv_id / 64) AND a.i % 2 = 0 AND b.i = a.i + 1),
+           CASE WHEN a.said >= b.said THEN b.turns ELSE a.turns END AS o
+    FROM ranked a JOIN ranked b ON b.i = a.i + 1 AND (a.i % 2 = 0 OR b.i = b.n - 1)),
+last AS (
+    SELECT *, (SELECT max(i) FROM range(1, len(c) + 1) t(i) WHERE c[i].role = 'assistant') AS lc,
+           (SELECT max(i) FROM range(1, len(o) + 1) t(i) WHERE o[i].role = 'assistant') AS lo FROM pairs),
+branched AS (
+    SELECT chosen_id, rejected_id, c,
+           CASE WHEN c[1] IS NOT DISTINCT FROM o[1] OR lc IS NULL OR lo IS NULL THEN o ELSE list_concat(c[1:lc - 1], o[lo:]) END AS r FROM last),
 cut AS (
     SELECT *, (SELECT coalesce(min(i), least(len(c), len(r)) + 1) FROM range(1, least(len(c), len(r)) + 1) t(i)
-               WHERE c[i] IS DISTINCT FROM r[i]) - 1 AS k FROM pairs),
+               WHERE c[i] IS DISTINCT FROM r[i]) - 1 AS k FROM branched),
 turn AS (
-    SELECT chosen_id, side, i, t.role AS role, '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) AS piece
-    FROM (SELECT chosen_id, 'p' AS side, unnest(c[1:k]) AS t, generate_subscripts(c[1:k], 1) AS i FROM cut
-          UNION ALL SELECT chosen_id, 'c', unnest(c[k + 1:]), generate_subscripts(c[k + 1:], 1) FROM cut
-          UNION ALL SELECT chosen_id, 'r', unnest(r[k + 1:]), generate_subscripts(r[k + 1:], 1) FROM cut)),
-placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY chosen_id, side ORDER BY i) AS stop FROM turn),
+    SELECT chosen_id, rejected_id, side, i, t.role AS role, '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) AS piece
+    FROM (SELECT chosen_id, rejected_id, 'p' AS side, unnest(c[1:k]) AS t, generate_subscripts(c[1:k], 1) AS i FROM cut
+          UNION ALL SELECT chosen_id, rejected_id, 'c', unnest(c[k + 1:]), generate_subscripts(c[k + 1:], 1) FROM cut
+          UNION ALL SELECT chosen_id, rejected_id, 'r', unnest(r[k + 1:]), generate_subscripts(r[k + 1:], 1) FROM cut)),
+placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY chosen_id, rejected_id, side ORDER BY i) AS stop FROM turn),
 text AS (
-    SELECT chosen_id, side, string_agg(piece, '' ORDER BY i) AS body,
+    SELECT chosen_id, rejected_id, side, string_agg(piece, '' ORDER BY i) AS body,
            '[' || coalesce(string_agg('[' || (stop - length(piece) + length(coalesce(role, '')) + 5)::BIGINT || ',' || (stop - 1)::BIGINT || ']', ',' ORDER BY i)
                FILTER (WHERE role = 'assistant'), '') || ']' AS mask
-    FROM placed GROUP BY chosen_id, side)
+    FROM placed GROUP BY chosen_id, rejected_id, side)
 SELECT cut.chosen_id, cut.rejected_id, k::BIGINT AS prefix_turns, coalesce(p.body, '') AS prompt,
        coalesce(c.body, '') AS chosen_completion, coalesce(c.mask, '[]') AS chosen_mask,
        coalesce(r.body, '') AS rejected_completion, coalesce(r.mask, '[]') AS rejected_mask
-FROM cut LEFT JOIN text p ON p.chosen_id = cut.chosen_id AND p.side = 'p'
-LEFT JOIN text c ON c.chosen_id = cut.chosen_id AND c.side = 'c'
-LEFT JOIN text r ON r.chosen_id = cut.chosen_id AND r.side = 'r'
+FROM cut LEFT JOIN text p ON p.chosen_id = cut.chosen_id AND p.rejected_id = cut.rejected_id AND p.side = 'p'
+LEFT JOIN text c ON c.chosen_id = cut.chosen_id AND c.rejected_id = cut.rejected_id AND c.side = 'c'
+LEFT JOIN text r ON r.chosen_id = cut.chosen_id AND r.rejected_id = cut.rejected_id AND r.side = 'r'
 """
 
 
