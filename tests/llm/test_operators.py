@@ -112,14 +112,37 @@ def test_hot_shards_are_cut_by_rows(spark, monkeypatch):
     assert got == dict(enumerate(want))
 
 
-@pytest.mark.parametrize("leaf", [256, 2])
-def test_shard_search_matches_brute_force(monkeypatch, leaf):
-    monkeypatch.setattr(simhash, "LEAF", leaf)
+def test_bk_tree_has_a_node_a_value_and_follows_few_edges():
+    rng = np.random.default_rng(11)
+    values = np.unique(rng.integers(0, 1 << 63, 400, np.uint64))
+    values = np.concatenate([values, values[:50] ^ np.uint64(5), values[:20] ^ np.uint64(1 << 40)])
+    tree, nodes, stack = simhash.BKTree(values), 0, []
+    parent, depth = tree.top, 0
+    while isinstance(parent, tuple):  # children are keyed by their distance to the parent
+        for edge, child in parent[2].items():
+            places = child[1] if isinstance(child, tuple) else child
+            assert {int(np.bitwise_count(values[p] ^ np.uint64(parent[0]))) for p in places} == {edge}
+        stack, depth = list(parent[2].values()), depth + 1
+        parent = next((c for c in stack if isinstance(c, tuple)), None)
+    assert depth >= 2
+    stack = [tree.top]
+    while stack:
+        at = stack.pop()
+        nodes += 1
+        assert len(at[1] if isinstance(at, tuple) else at) == 1
+        stack += at[2].values() if isinstance(at, tuple) else []
+    assert nodes == len(values)
+    for v in values[:60]:
+        assert sorted(tree.within(v, 2).tolist()) == np.flatnonzero(np.bitwise_count(values ^ v) <= 2).tolist()
+
+
+@pytest.mark.parametrize("leaf", [256, 2, 1])
+def test_shard_search_matches_brute_force(leaf):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.choice(60, 30)) for _ in range(4)]
     sets = [np.unique(np.concatenate([rng.permutation(sets[i % 4])[: rng.integers(20, 30)], rng.choice(200, rng.integers(0, 4))])).astype("u8") for i in range(150)] + [np.zeros(0, "u8")] * 2
     fps = np.array([simhash.majority_bits(s * np.uint64(0x9E3779B97F4A7C15)) for s in sets], np.uint64)
-    got = simhash.spanning_links(fps, len(sets), 26, simhash.ShingleSets(sets, 0.8).similar)
+    got = simhash.spanning_links(fps, len(sets), 26, simhash.ShingleSets(sets, 0.8).similar, leaf=leaf)
     part, want = list(range(len(sets))), list(range(len(sets)))
     for x, y in got:
         part = [part[x] if p == part[y] else p for p in part]
@@ -131,15 +154,33 @@ def test_shard_search_matches_brute_force(monkeypatch, leaf):
     assert len(set(want)) == len(set(part)) == len({*zip(part, want, strict=True)}) < 140
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
 def test_preference_prefix_and_mask(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (2, 1, "assistant", "go"), (3, 0, None, None), (4, 0, None, None)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["chosen_id"]: r for r in preference.format_pairs(preference.pair_neighbours(turns)).collect()}
-    one = got[1]
-    assert (one["rejected_id"], one["prefix_turns"], one["prompt"]) == (2, 1, "<|user|>\nhi\n")
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (200, 0, "user", "hi"), (200, 1, "assistant", "go"), (3, 0, None, None), (4, 0, None, None), (None, 0, "user", "x")]
+    got = [r for r in preference.format_pairs(preference.pair_neighbours(spark.createDataFrame(rows, TURNS))).collect()]
+    by = {frozenset((r["chosen_id"], r["rejected_id"])): r for r in got}
+    assert by.keys() == {frozenset((1, 200)), frozenset((3, 4))}  # equal openings meet, however far their ids
+    one = by[frozenset((1, 200))]
+    assert (one["chosen_id"], one["prefix_turns"], one["prompt"]) == (1, 1, "<|user|>\nhi\n")
     assert [one["chosen_completion"][a:b] for a, b in one["chosen_mask"]] == ["hello"]
     assert [one["rejected_completion"][a:b] for a, b in one["rejected_mask"]] == ["go"]
-    assert got[3]["prefix_turns"] == 1 and got[3]["chosen_completion"] == ""
+    assert by[frozenset((3, 4))]["prefix_turns"] == 1 and by[frozenset((3, 4))]["chosen_completion"] == ""
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7])
+def test_preference_pairs_every_conversation(spark, n):
+    """Different openings: the rejected side is a branch, so every pair shares a prefix; none is left over."""
+    rows = [(10**9 * i, t, "user" if t % 2 == 0 else "assistant", f"c{i} t{t} " + "x" * i) for i in range(n) for t in range(5)]
+    rows += rows[:1]  # a repeated row is a repeated turn
+    got = preference.format_pairs(preference.pair_neighbours(spark.createDataFrame(rows, TURNS).withColumn("pair", F.lit("own")))).collect()
+    assert {i for r in got for i in (r["chosen_id"], r["rejected_id"])} == ({10**9 * i for i in range(n)} if n > 1 else set())
+    assert len(got) == (n + 1) // 2 * (n > 1)
+    for r in got:
+        c, o = r["chosen_id"] // 10**9, r["rejected_id"] // 10**9
+        assert r["prefix_turns"] == 3 + (c == 0) and r["prompt"].count("<|") == r["prefix_turns"] and c > o
+        assert r["chosen_completion"].startswith(f"<|assistant|>\nc{c} t3") and r["rejected_completion"].startswith(f"<|assistant|>\nc{o} t3")
 
 
 def test_quality_classifier_learns(spark):
@@ -208,7 +249,15 @@ def test_language_model_base_and_mass(spark):
     assert (got.score < 0).all()
     model = hpylm.fit(docs(spark, texts).withColumn("held", F.lit(False)))
     mass = model.words.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "lp"))).first()[0] + 10**model.unknown
-    assert mass == pytest.approx(1, abs=0.05)  # all known words and the unknown one
+    assert mass == pytest.approx(1, abs=1e-9)  # all known words and the unknown one
+
+
+def test_spelling_by_join_equals_the_broadcast_one(spark):
+    words = spark.createDataFrame([(w.encode(), i) for i, w in enumerate(["", "a", "abc", "abd", "é" * 30, "xyz"])], "word binary, n long").withColumn("h", F.xxhash64("word"))
+    rows, root = hpylm.fit_spelling(words.where("word <> cast('xyz' as binary)"), 0.6, 1.0, 1, 2)
+    sent, joined = ({r["h"]: r["ls"] for r in hpylm.spell(words, rows, root, 2, limit).collect()} for limit in (10**6, 0))
+    assert sent.keys() == joined.keys() and len(sent) == 6
+    assert all(sent[h] == pytest.approx(joined[h], abs=1e-12) for h in sent)
 
 
 def test_page_text(spark):
@@ -337,6 +386,25 @@ def test_top_k_with_ties(spark):
     assert got == want
 
 
+def test_top_k_small_blocks_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk_hist, "BLOCK", 64)
+    monkeypatch.setattr(topk_hist, "WAVE", 3)
+    rng = np.random.default_rng(6)
+    rows = [(10 * i, [float(x) for x in rng.normal(size=3) * 1e5]) for i in range(40)] + [(7, [1.0, 2.0]), (100, [3.0])]
+    v = topk_hist.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = [tuple(r) for r in topk_hist.exact_top_k(v, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect() if r["query_id"] != 100]
+    q = {i: [math.floor(1024 * y) for y in x] for i, x in rows[:40]}
+    score = lambda a, b: sum(x * y for x, y in zip(q[a], q[b]))
+    assert max(score(a, a) for a in q) > 2**53
+    want = []
+    for a in sorted(i for i in q if i % 20 == 0 and i != 100):
+        best = sorted((-score(a, b), b) for b in q if b != a)[:5]
+        want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best)]
+    assert got == want
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk_hist.exact_top_k(topk_hist.integer_vectors(none, "vec_id", "embedding"), F.lit(True)).count() == 0
+
+
 def test_bpe_round_trip(spark):
     import base64
 
