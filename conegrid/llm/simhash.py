@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import connected_components
+from .idfilter import with_ids, without_ids
 from .words import ascii_words
 
 LIMIT = 20_000
@@ -292,29 +293,33 @@ def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(connected_components(found), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
+#: The columns whose hash names a row: repeated rows share it, other texts under the same doc_id do not.
+ROW = ("doc_id", "text")
+
+
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 26, limit: int = LIMIT) -> DataFrame:
-    """doc_id, component_id: groups linked by Jaccard similarity of k-word shingle sets.
+    """doc_id, row, component_id, first_row: every row's group, named by its least doc_id; groups linked by Jaccard similarity of k-word shingle sets.
 
     At 0.8 fingerprints differ in up to about twenty bits, too many for blocks of equal bits; so a
     shard here is a band of minimum hashes that two such texts share with a chance of over 0.99 in
     some band (1 - (1 - 0.8**3)**8 = 0.997). Equal texts are one node. A shard over the limit is cut
     by rows into blocks that meet each other as far as they are not linked yet.
     """
-    schema = "doc_id long, content long, fp long, mins array<long>"
+    schema = "row long, doc_id long, content long, fp long, mins array<long>"
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for r, i, t in zip(pdf["row"].tolist(), pdf["doc_id"].tolist(), pdf["text"], strict=True):
                 h = shingle_hashes(t, k)
                 content = xxhash.xxh64_intdigest(b" ".join(ascii_words(t)), 7)
                 mins = (np.unique(h) * _MULTIPLY[:, None]).min(1) if len(h) else np.zeros(len(_MULTIPLY), np.uint64)
-                rows.append((int(i), np.uint64(content).astype(np.int64), np.uint64(majority_bits(h)).astype(np.int64), mins.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "content", "fp", "mins"])
+                rows.append((r, int(i), np.uint64(content).astype(np.int64), np.uint64(majority_bits(h)).astype(np.int64), mins.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "content", "fp", "mins"])
 
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = docs.where("doc_id is not null").select(F.xxhash64(*ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(named.mapInPandas(sketch, schema))
-    nodes = sketches.groupBy("content").agg(F.min_by(F.struct("doc_id", "fp", "mins"), "doc_id").alias("x")).select("content", F.col("x.doc_id").alias("node"), "x.fp", "x.mins")
+    nodes = sketches.groupBy("content").agg(F.min_by(F.struct("row", "fp", "mins"), "row").alias("x")).select("content", F.col("x.row").alias("node"), "x.fp", "x.mins")
     nodes = materialize(nodes)
     bands = [F.xxhash64(F.lit(b), *[F.get("mins", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
     shards = nodes.select("node", "fp", F.explode(F.array(*bands)).alias("shard"))
@@ -323,29 +328,32 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     sizes = materialize(members.where("n > 1").groupBy("n", "s", "x").agg(F.min("shard").alias("shard")).select("shard", "n"))
     chosen = materialize(shards.join(sizes, "shard").select("shard", "node", "fp", "n"))
     # only the texts of nodes that share a shard travel, once a node; then once a shard
-    texts = named.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
+    wanted = materialize(chosen.select(F.col("node").alias("row")).distinct())
+    texts = with_ids(named.select("row", "text"), wanted, "row").dropDuplicates(["row"])
 
     def search(rows: DataFrame) -> DataFrame:
-        return similar_links(rows.join(texts, rows["node"] == texts["_id"]).select("shard", "node", "fp", "label", "visitor", "text"), k, similarity, radius)
+        return similar_links(rows.join(texts, rows["node"] == texts["row"]).select("shard", "node", "fp", "label", "visitor", "text"), k, similarity, radius)
 
     found = search(chosen.where(F.col("n") <= limit).withColumn("label", F.col("node")).withColumn("visitor", F.lit(False)))
     hot = chosen.where(F.col("n") > limit)
     if not hot.isEmpty():
         found = hot_links(hot, materialize(found), search, limit)
     parts = connected_components(found)
-    groups = nodes.join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
-    return sketches.join(groups, "content").select("doc_id", "component_id")
+    groups = nodes.join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
+    members = materialize(sketches.select("row", "doc_id", "content").join(groups, "content").select("row", "doc_id", "component"))
+    firsts = members.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return members.join(firsts, "component").select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document, that of the least doc_id, of each similar group; rows without a
-    doc_id cannot be named by a group and stay."""
-    first = similar_groups(docs, k, similarity).where("doc_id = component_id").select("doc_id")
-    counts = first.groupBy("doc_id").agg(F.count("*").alias("n"))
-    counts = materialize(counts)
-    stay = docs.join(counts.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = counts.where("n > 1")
-    if repeated.isEmpty():
-        return stay
-    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(repeated, "doc_id", "left_anti").unionByName(again)
+    """`docs` with one document of each similar group, that of the least doc_id. Texts under one doc_id
+    are documents of their own unless they are similar; of equal rows one stays. Rows without a doc_id
+    cannot be named by a group and stay. Only texts that go, or occur twice, are shuffled."""
+    groups = similar_groups(docs, k, similarity)
+    counts = materialize(groups.groupBy("row", "first_row").agg(F.count("*").alias("n")).where("row <> first_row OR n > 1"))
+    again = counts.where("row = first_row").select(F.col("row").alias("_row"))
+    rows = docs.withColumn("_row", F.xxhash64(*ROW))
+    stay = without_ids(rows, counts.select(F.col("row").alias("_row")), "_row")
+    if not again.isEmpty():
+        stay = stay.unionByName(with_ids(rows, again, "_row").dropDuplicates(["_row"]))
+    return stay.drop("_row")

@@ -85,6 +85,13 @@ def test_similar_groups_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
 
 
+def test_similar_texts_under_one_id(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, word("a", 50)), (1, word("b", 50)), (1, word("b", 50)), (2, word("c", 50)), (2, word("a", 50)), (None, word("a", 50)), (3, None), (4, ""), (5, word("b", 49))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("own"))).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["row"]) for r in kept) == sorted((i or 0, t or "", "own") for i, t in (rows[0], rows[1], rows[3], rows[5], rows[6]))
+
+
 def test_hot_shards_are_cut_by_rows(spark, monkeypatch):
     words, rng = [f"w{i}" for i in range(200)], np.random.default_rng(4)
     texts = []
