@@ -44,8 +44,11 @@ def closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def is_below(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("sub"), F.lit("region:EUROPE").alias("sup")).distinct()
-    return q.is_below(edges(spark, d), pairs)
+    """Every order against every region, itself, the root and a name that is not there."""
+    order = F.concat(F.lit("order:"), "o_orderkey")
+    sups = F.concat(F.transform(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), lambda x: F.concat(F.lit("region:"), x)), F.array(order, F.lit("*"), F.lit("nobody")))
+    pairs = table(spark, d, "orders").select(order.alias("sub"), F.explode(sups).alias("sup")).unionByName(spark.createDataFrame([("nobody", "nobody"), ("region:ASIA", "region:ASIA")], "sub string, sup string"))
+    return q.is_below(edges(spark, d), pairs.distinct())
 
 
 def transitive_reduction(spark: SparkSession, d: str) -> DataFrame:
@@ -71,9 +74,25 @@ def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return traversal.neighbourhood(edges(spark, d), "nation:NATION_7", 2)
 
 
-def compare_graphs(spark: SparkSession, d: str) -> DataFrame:
+def _two_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Without the orders; and without what is under regions, but with each customer under its region,
+    which the first graph implies."""
     e = edges(spark, d)
-    return canonical.compare(e.where("child NOT LIKE 'order:%'"), e.where("parent NOT LIKE 'region:%'"))
+    region = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    direct = table(spark, d, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("region:"), "r_name").alias("parent"), F.concat(F.lit("cust:"), "c_custkey").alias("child"))
+    return e.where("child NOT LIKE 'order:%'"), e.where("parent NOT LIKE 'region:%'").unionByName(direct)
+
+
+def compare_graphs(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.compare(*_two_graphs(spark, d))
+
+
+def additions_fragment(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.additions(*_two_graphs(spark, d))
+
+
+def cascade_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.cascade(*_two_graphs(spark, d))
 
 
 def entailed_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +131,10 @@ def implications(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     obj = F.concat(F.lit("cust:"), "o_custkey")
     rows = orders.select(obj.alias("obj"), F.concat(F.lit("status:"), "o_orderstatus").alias("attr")).union(orders.select(obj, F.concat(F.lit("priority:"), "o_orderpriority")))
-    people = table(spark, d, "customer").select(F.concat(F.lit("cust:"), "c_custkey"), F.concat(F.lit("segment:"), "c_mktsegment"))
-    return canonical.implications(rows.union(people))
+    home = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = table(spark, d, "customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("cust:"), "c_custkey").alias("obj"), "c_mktsegment", "n_name", "r_name")
+    attrs = people.select("obj", F.explode(F.array(F.concat(F.lit("segment:"), "c_mktsegment"), F.concat(F.lit("nation:"), "n_name"), F.concat(F.lit("region:"), "r_name"))))
+    return canonical.implications(rows.union(attrs))
 
 
 def _named(df: DataFrame, pattern: str) -> DataFrame:
@@ -228,26 +249,39 @@ _GONE = f"""{_cone('c', 'region:ASIA', 'segment:BUILDING')}, r AS (SELECT '*' AS
     g AS (SELECT name FROM (SELECT name FROM c UNION SELECT unnest(['region:ASIA', 'segment:BUILDING'])) WHERE name NOT IN (SELECT name FROM r))"""
 _RECORD = "SELECT child AS name, sha256(child || chr(10) || to_json(list(parent ORDER BY parent))::VARCHAR) AS hash FROM"
 
+_TWO = """l AS (SELECT * FROM e WHERE child NOT LIKE 'order:%'), r AS (SELECT * FROM e WHERE parent NOT LIKE 'region:%' UNION SELECT 'region:' || r_name, 'cust:' || c_custkey
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    pl AS (SELECT parent AS a, child AS d FROM l UNION SELECT a, child FROM pl JOIN l ON parent = d), pr AS (SELECT parent AS a, child AS d FROM r UNION SELECT a, child FROM pr JOIN r ON parent = d)"""
+_RIGHT = "SELECT parent, child FROM r WHERE (parent, child) NOT IN (SELECT a, d FROM pl) AND NOT (parent = '*' AND child IN (SELECT child FROM l))"
+_ONLY = f"""SELECT parent, child, 'left' AS side FROM l WHERE (parent, child) NOT IN (SELECT a, d FROM pr) AND NOT (parent = '*' AND child IN (SELECT child FROM r))
+    UNION ALL SELECT parent, child, 'right' FROM ({_RIGHT})"""
+
 SQL = {
     "cone": f"{_EL}, {_cone('c', 'region:ASIA')} SELECT DISTINCT name FROM c",
     "conjunction": f"{_EL}, {_cone('c', 'region:ASIA', 'segment:BUILDING')} SELECT name FROM c GROUP BY name HAVING count(*) = 2",
     "union_of_conjunctions": f"{_E}, {_cone('c', 'region:ASIA', 'segment:BUILDING', 'nation:NATION_7')} SELECT name FROM c GROUP BY name HAVING bool_or(term = 'nation:NATION_7') OR bool_or(term = 'region:ASIA') AND bool_or(term = 'segment:BUILDING')",
     "ancestors": f"{_E}, c AS (SELECT child AS term, parent AS name FROM e WHERE child IN ('order:1', 'order:2') UNION SELECT c.term, e.parent FROM c JOIN e ON e.child = c.name) SELECT term, name FROM c",
     "closure": f"{_E}, {_CLOSURE} SELECT a AS ancestor, d AS descendant FROM p",
-    "is_below": f"{_E}, {_cone('c', 'region:EUROPE')} SELECT DISTINCT 'order:' || o_orderkey AS sub, 'region:EUROPE' AS sup, ('order:' || o_orderkey) IN (SELECT name FROM c) AS below FROM orders",
+    "is_below": f"""{_E}, {_cone('c', 'region:AFRICA', 'region:AMERICA', 'region:ASIA', 'region:EUROPE', 'region:MIDDLE EAST')},
+        o AS (SELECT DISTINCT 'order:' || o_orderkey AS sub FROM orders),
+        q AS (SELECT sub, unnest(['region:AFRICA', 'region:AMERICA', 'region:ASIA', 'region:EUROPE', 'region:MIDDLE EAST', sub, '*', 'nobody']) AS sup FROM o UNION SELECT 'nobody', 'nobody' UNION SELECT 'region:ASIA', 'region:ASIA')
+        SELECT sub, sup, ((sup, sub) IN (SELECT term, name FROM c) OR sup IN (sub, '*') AND sub <> 'nobody') AS below FROM q""",
     "transitive_reduction": f"{_E} SELECT parent, child FROM e",
-    "descendant_counts": f"{_E}, {_CLOSURE} SELECT a AS name, count(*) AS n FROM p GROUP BY a",
+    "descendant_counts": f"{_E}, {_CLOSURE} SELECT a AS name, count(*) AS n FROM p GROUP BY a UNION ALL SELECT DISTINCT child, 0 FROM e WHERE child NOT IN (SELECT parent FROM e)",
     "refinements": f"{_E}, {_CLOSURE} SELECT a AS term, count(*) AS n FROM p WHERE a IN (SELECT child FROM e WHERE parent = '*') AND d IN (SELECT d FROM p WHERE a = 'segment:BUILDING') GROUP BY a",
     "name_completion": f"{_E} SELECT DISTINCT child AS name FROM e WHERE lower(child) LIKE 'nation:%' ORDER BY 1 LIMIT 40",
     "neighbourhood": f"{_E}, b AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e), n AS (SELECT 'nation:NATION_7' AS name, 0 AS hops UNION SELECT y, hops + 1 FROM n JOIN b ON x = name WHERE hops < 2) SELECT name, min(hops)::INTEGER AS hops FROM n GROUP BY name",
-    "compare_graphs": f"{_E} SELECT parent, child, 'left' AS side FROM e WHERE child NOT LIKE 'order:%' AND parent LIKE 'region:%' UNION ALL SELECT parent, child, 'right' FROM e WHERE parent NOT LIKE 'region:%' AND child LIKE 'order:%'",
+    "compare_graphs": f"{_E}, {_TWO} {_ONLY}",
+    "additions_fragment": f"{_E}, {_TWO} {_RIGHT}",
+    "cascade_sizes": f"""{_E}, {_TWO}, x AS ({_ONLY}) SELECT 'added' AS side, (SELECT count(*) FROM x WHERE side = 'right') AS edges, (SELECT count(*) FROM (FROM pr EXCEPT FROM pl)) AS claims
+        UNION ALL SELECT 'removed', (SELECT count(*) FROM x WHERE side = 'left'), (SELECT count(*) FROM (FROM pl EXCEPT FROM pr))""",
     "entailed_claims": f"{_E}, {_CLOSURE} SELECT a AS sup, d AS sub FROM p WHERE a <> '*' AND a NOT LIKE 'order:%' AND d NOT LIKE 'order:%'",
     "records": f"{_E}, u AS (SELECT child AS name, string_agg(parent, '|' ORDER BY parent) AS up FROM e GROUP BY child), w AS (SELECT parent AS name, string_agg(child, '|' ORDER BY child) AS down FROM e GROUP BY parent) SELECT coalesce(u.name, w.name) AS name, coalesce(up, '') AS up, coalesce(down, '') AS down FROM u FULL JOIN w ON u.name = w.name",
     "interval_containment": "SELECT o_orderkey FROM orders WHERE o_totalprice::DECIMAL(18,2) BETWEEN 1000 AND 50000",
     "calendar_overlap": "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-03-31 23:59:59' AND o_orderdate + INTERVAL 10 DAY >= TIMESTAMP '1995-03-01'",
     "dominance": "SELECT p_partkey FROM part WHERE p_size <= 30 AND 25 >= CASE WHEN p_size <= 20 THEN greatest(p_size, 10) ELSE 20 END AND 10 >= least(p_size, 10)",
     "projection_ingest": "SELECT DISTINCT unnest(['sys:lang:' || lang, 'sys:src:' || source]) AS parent, 'doc:' || doc_id AS child FROM documents",
-    "implications": """WITH i AS (SELECT 'cust:' || o_custkey AS obj, 'status:' || o_orderstatus AS attr FROM orders UNION SELECT 'cust:' || o_custkey, 'priority:' || o_orderpriority FROM orders UNION SELECT 'cust:' || c_custkey, 'segment:' || c_mktsegment FROM customer),
+    "implications": """WITH i AS (SELECT 'cust:' || o_custkey AS obj, 'status:' || o_orderstatus AS attr FROM orders UNION SELECT 'cust:' || o_custkey, 'priority:' || o_orderpriority FROM orders UNION SELECT 'cust:' || c_custkey, unnest(['segment:' || c_mktsegment, 'nation:' || n_name, 'region:' || r_name]) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
         s AS (SELECT attr, count(*) AS support FROM i GROUP BY attr)
         SELECT a.attr AS premise, b.attr AS conclusion, any_value(support) AS support FROM i a JOIN i b ON a.obj = b.obj AND a.attr <> b.attr JOIN s ON s.attr = a.attr GROUP BY a.attr, b.attr HAVING count(*) = any_value(support)""",
     "put_batch": f"{_E} SELECT parent, child FROM e UNION SELECT '*', 'wealthy' UNION SELECT 'wealthy', 'cust:' || c_custkey FROM customer WHERE c_acctbal > 5000",

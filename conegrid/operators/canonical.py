@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .traversal import closure, cones
 
 
 def reduce_edges(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """The unique transitive reduction: edges that no longer path implies. pairs: the closure, if known."""
+    """The unique transitive reduction: edges that no longer path implies. pairs: the closure, if known.
+    A graph with a cycle has none and is refused (ValueError)."""
     pairs = closure(edges) if pairs is None else pairs
+    bad = pairs.where("ancestor = descendant").select("ancestor").distinct().orderBy("ancestor").limit(5).collect()  # named in the message
+    if bad:
+        raise ValueError(f"cycle through {', '.join(r[0] for r in bad)}")
     via = edges.withColumnRenamed("child", "mid").join(pairs, F.col("mid") == F.col("ancestor")).select("parent", F.col("descendant").alias("child")).distinct()
     return edges.join(via, ["parent", "child"], "left_anti")
 
@@ -21,10 +26,42 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return reduce_edges(a.select("parent", "child").union(b.select("parent", "child")).distinct())
 
 
+def news(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(parent, child): edges of `theirs` whose claim `ours` does not hold, asserted or implied. Only the
+    cones of the parents of differing edges are walked."""
+    differ = materialize(theirs.select("parent", "child").distinct().join(ours, ["parent", "child"], "left_anti"))
+    held = cones(ours, differ.select(F.col("parent").alias("term")).distinct()).select(F.col("term").alias("parent"), F.col("name").alias("child"))
+    known = ours.select("child").distinct()
+    under_root = differ.where("parent = '*'").join(known, "child", "left_semi")  # every known name is under the root
+    return differ.join(held, ["parent", "child"], "left_anti").join(under_root, ["parent", "child"], "left_anti")
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(parent, child, side): edges that only one graph asserts."""
-    key = ["parent", "child"]
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+    """(parent, child, side): edges of one graph whose claims the other does not hold."""
+    return news(b, a).withColumn("side", F.lit("left")).unionByName(news(a, b).withColumn("side", F.lit("right")))
+
+
+def additions(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(parent, child): the fragment to merge into `ours` to take over what only `theirs` claims; it
+    never removes anything."""
+    return news(ours, theirs)
+
+
+def cascade(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(side, edges, claims): how many edges differ, and how many claims of the whole order differ with them."""
+    mine, other = closure(ours), closure(theirs)
+    key = ["ancestor", "descendant"]
+    size = lambda side, e, c: e.agg(F.count("*").alias("edges")).crossJoin(c.agg(F.count("*").alias("claims"))).select(F.lit(side).alias("side"), "edges", "claims")  # noqa: E731  # one row each
+    return size("added", news(ours, theirs), other.join(mine, key, "left_anti")).unionAll(size("removed", news(theirs, ours), mine.join(other, key, "left_anti")))
+
+
+def unrelated(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(name): names of both graphs that have parents below the root in each, but no ancestor in common:
+    a warning before a merge that the two may mean different things."""
+    up = lambda e, n: cones(e.where("parent <> '*'").select(F.col("child").alias("parent"), F.col("parent").alias("child")), n)
+    both = materialize(ours.where("parent <> '*'").select(F.col("child").alias("term")).distinct().join(theirs.where("parent <> '*'").select(F.col("child").alias("term")), "term", "left_semi"))
+    shared = up(ours, both).join(up(theirs, both), ["term", "name"], "left_semi").select("term").distinct()
+    return both.join(shared, "term", "left_anti").select(F.col("term").alias("name"))
 
 
 def entailed(edges: DataFrame, scope: DataFrame) -> DataFrame:
@@ -34,8 +71,10 @@ def entailed(edges: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def descendant_counts(edges: DataFrame) -> DataFrame:
-    """(name, n): strict descendants of every name; leaves have none and are left out."""
-    return closure(edges).groupBy(F.col("ancestor").alias("name")).agg(F.count("*").alias("n"))
+    """(name, n): strict descendants of every name and of the root; leaves have 0."""
+    counts = closure(edges).groupBy(F.col("ancestor").alias("name")).agg(F.count("*").alias("n"))
+    leaves = edges.select(F.col("child").alias("name")).distinct().join(edges.select(F.col("parent").alias("name")), "name", "left_anti")
+    return counts.unionByName(leaves.withColumn("n", F.lit(0).cast("long")))
 
 
 def records(edges: DataFrame) -> DataFrame:

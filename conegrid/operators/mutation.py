@@ -29,9 +29,16 @@ def _rooted(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.unionByName(loose.select(F.lit(ROOT).alias("parent"), F.col("name").alias("child")).distinct())
 
 
-def cyclic(pairs: DataFrame) -> DataFrame:
-    """(name) of every name that is below itself in a closure (ancestor, descendant)."""
-    return pairs.where("ancestor = descendant").select(F.col("ancestor").alias("name"))
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """`edges` without the edges of `gone` (parent, child); one that is not there is refused (ValueError).
+    A name that loses its last parent goes under the root."""
+    key = ["parent", "child"]
+    absent = gone.join(edges, key, "left_anti").limit(5).collect()  # named in the message
+    if absent:
+        raise ValueError("no such edge: " + ", ".join(f"{r['parent']} > {r['child']}" for r in absent))
+    left = edges.select(*key).join(gone, key, "left_anti")
+    orphans = gone.select("child").distinct().join(left, "child", "left_anti")
+    return left.unionByName(orphans.select(F.lit(ROOT).alias("parent"), "child"))
 
 
 def put(edges: DataFrame, batch: DataFrame) -> DataFrame:
@@ -39,11 +46,7 @@ def put(edges: DataFrame, batch: DataFrame) -> DataFrame:
     root; a claim that closes a cycle is refused (ValueError); claims already implied change nothing."""
     both = edges.select("parent", "child").unionByName(batch.select("parent", "child").where("parent <> child")).distinct()
     both = materialize(_rooted(both, both.select(F.col("parent").alias("name"))))
-    pairs = closure(both)
-    bad = cyclic(pairs).limit(5).collect()  # named in the message
-    if bad:
-        raise ValueError(f"cycle through {', '.join(sorted(r[0] for r in bad))}")
-    return reduce_edges(both, pairs)
+    return reduce_edges(both)
 
 
 def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:

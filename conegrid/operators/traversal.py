@@ -43,13 +43,17 @@ def ancestors_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, root: str = "*") -> DataFrame:
     """(name, level): the longest path from the root; sorted by level and name, a topological order.
-    The graph must have no cycle; names that the root does not reach are left out."""
+    A graph with a cycle is refused (ValueError): its paths would not end, so there would be more rounds
+    than names. Names that the root does not reach are left out."""
+    most = edges.select("child").distinct().count()
     frontier, found, at = edges.sparkSession.createDataFrame([(root,)], "name string"), None, 0
     while True:
         at += 1
         frontier = materialize(frontier.join(edges, frontier["name"] == edges["parent"]).select(F.col("child").alias("name")).distinct())
         if frontier.isEmpty():
             break
+        if at > most:
+            raise ValueError("the graph has a cycle")
         step = frontier.withColumn("level", F.lit(at).cast("long"))
         found = step if found is None else found.unionByName(step)
     found = edges.sparkSession.createDataFrame([], "name string, level long") if found is None else found

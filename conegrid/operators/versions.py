@@ -3,20 +3,21 @@
 A record is a name with its sorted parents; its fingerprint is the SHA-256 of the two, and a graph's
 root is the SHA-256 over the sorted fingerprints of 4,096 groups of records, each in turn over its
 records' sorted fingerprints, so that no task or group holds them all and equal graphs have equal
-roots whatever their layout. A store is a folder: root=<root>/ with a snapshot's records, and versions/ with a row
-a commit.
+roots whatever their layout. A store is a folder: root=<root>/ with a snapshot's records, and log/ with
+a row a commit, undo or redo.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .canonical import merge
 
-VERSIONS = "number long, root string, message string, at string"
+LOG = "number long, kind string, root string, message string, steps int, at string"
 
 
 def record_hashes(edges: DataFrame) -> DataFrame:
@@ -39,39 +40,72 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("name", kind.alias("change"))
 
 
-def history(spark: SparkSession, store: str) -> DataFrame:
-    """(number, root, message, at) of all commits; none in a new store."""
-    spark.createDataFrame([], VERSIONS).write.mode("append").parquet(f"{store}/versions")
-    return spark.read.schema(VERSIONS).parquet(f"{store}/versions")
+def _log(spark: SparkSession, store: str) -> list:
+    """The store's log in order; a row a commit, undo or redo. Reading writes nothing."""
+    try:
+        rows = spark.read.schema(LOG).parquet(f"{store}/log").collect()
+    except AnalysisException:  # a new store has no log yet
+        return []
+    return sorted(rows, key=lambda r: r["number"])
+
+
+def _line(log: list) -> tuple[list, int]:
+    """(commits that undo and redo move along, place of the current one); a commit after an undo drops
+    what was undone from the line. A place of -1 is before all commits."""
+    line, at = [], -1
+    for r in log:
+        if r["kind"] == "commit":
+            line, at = [*line[: at + 1], r], at + 1
+        else:
+            at += r["steps"] if r["kind"] == "redo" else -r["steps"]
+    return line, at
+
+
+def _append(spark: SparkSession, store: str, log: list, kind: str, root: str, message: str, steps: int = 0) -> None:
+    """One more row, in a folder that only one writer can make: the other of two at once fails."""
+    number = log[-1]["number"] + 1 if log else 1
+    row = (number, kind, root, message, steps, datetime.now(timezone.utc).isoformat(timespec="seconds"))
+    spark.createDataFrame([row], LOG).coalesce(1).drop("number").write.mode("error").parquet(f"{store}/log/number={number}")
+
+
+def history(spark: SparkSession, store: str, most: int | None = None) -> DataFrame:
+    """(number, root, message, at, current): the commits of the line, newest first, at most so many."""
+    line, at = _line(_log(spark, store))
+    rows = [(r["number"], r["root"], r["message"], r["at"], i == at) for i, r in enumerate(line)][::-1]
+    return spark.createDataFrame(rows[:most], "number long, root string, message string, at string, current boolean").orderBy(F.desc("number"))
 
 
 def head(spark: SparkSession, store: str) -> tuple[int, str | None]:
-    last = history(spark, store).orderBy(F.desc("number")).limit(1).collect()
-    return (last[0]["number"], last[0]["root"]) if last else (0, None)
+    """(number, root) of the current version; (0, None) in a new store."""
+    line, at = _line(_log(spark, store))
+    return (line[at]["number"], line[at]["root"]) if at >= 0 else (0, None)
 
 
-def _point(spark: SparkSession, store: str, number: int, root: str, message: str) -> None:
-    row = (number, root, message, datetime.now(timezone.utc).isoformat(timespec="seconds"))
-    spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{store}/versions")
+def status(edges: DataFrame, store: str) -> DataFrame:
+    """(name, change): what `edges` has other than the current version."""
+    spark, (_, root) = edges.sparkSession, head(edges.sparkSession, store)
+    ours = record_hashes(edges)
+    return changed(ours.limit(0) if root is None else record_hashes(load_at(spark, store, root)), ours)
 
 
 def commit(edges: DataFrame, store: str, message: str = "") -> str:
     """Write a snapshot unless it is there, and point the store to it; an unchanged graph makes no version."""
     spark, records = edges.sparkSession, record_hashes(edges)
     root = root_of(records)
-    number, now = head(spark, store)
-    if root != now:
-        records.write.mode("overwrite").parquet(f"{store}/root={root}")  # the same content, if it was there
-        _point(spark, store, number + 1, root, message)
+    log = _log(spark, store)
+    if root != head(spark, store)[1]:
+        if root not in {r["root"] for r in log}:
+            records.write.mode("overwrite").parquet(f"{store}/root={root}")  # of a commit that failed, if it was there
+        _append(spark, store, log, "commit", root, message)
     return root
 
 
 def resolve(spark: SparkSession, store: str, prefix: str) -> str:
     """The one root that begins with `prefix`; ValueError if none or several do."""
-    found = history(spark, store).where(F.col("root").startswith(prefix)).select("root").distinct().limit(2).collect()
+    found = {r["root"] for r in _log(spark, store) if r["root"].startswith(prefix)}
     if len(found) != 1:
         raise ValueError(f"{'no' if not found else 'more than one'} version begins with {prefix!r}")
-    return found[0][0]
+    return found.pop()
 
 
 def load_at(spark: SparkSession, store: str, prefix: str) -> DataFrame:
@@ -80,14 +114,24 @@ def load_at(spark: SparkSession, store: str, prefix: str) -> DataFrame:
     return rows.select(F.explode("up").alias("parent"), F.col("name").alias("child"))
 
 
+def _step(spark: SparkSession, store: str, kind: str, steps: int) -> str:
+    log = _log(spark, store)
+    line, at = _line(log)
+    to = at + (steps if kind == "redo" else -steps)
+    if steps < 1 or not 0 <= to < len(line):
+        raise ValueError(f"nothing to {kind}")
+    _append(spark, store, log, kind, line[to]["root"], "", steps)
+    return line[to]["root"]
+
+
 def undo(spark: SparkSession, store: str, steps: int = 1) -> str:
-    """Point the store to the version `steps` before; a new row, so that it can be undone as well."""
-    number, _ = head(spark, store)
-    then = history(spark, store).where(F.col("number") == number - steps).collect()
-    if not then:
-        raise ValueError("nothing to undo")
-    _point(spark, store, number + 1, then[0]["root"], f"undo {steps}")
-    return then[0]["root"]
+    """Point the store so many commits back; ValueError where there are not so many."""
+    return _step(spark, store, "undo", steps)
+
+
+def redo(spark: SparkSession, store: str, steps: int = 1) -> str:
+    """Point the store so many undone commits forward; a commit in between leaves nothing to redo."""
+    return _step(spark, store, "redo", steps)
 
 
 def sync(edges: DataFrame, other: DataFrame) -> DataFrame:

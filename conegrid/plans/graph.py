@@ -22,8 +22,19 @@ UNION SELECT 'order:' || l_orderkey, 'line:' || l_orderkey || '-' || l_linenumbe
 """
 
 
+_written: dict[tuple[str, str, bool], DataFrame] = {}
+
+
 def edges(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame:
-    """(parent, child), each once, written to the shared folder since traversals read it every round."""
+    """(parent, child), each once, written to the shared folder once an application and data directory,
+    since traversals read it every round."""
+    key = (spark.sparkContext.applicationId, sf_dir, lines)
+    if key not in _written:
+        _written[key] = _edges(spark, sf_dir, lines)
+    return _written[key]
+
+
+def _edges(spark: SparkSession, sf_dir: str, lines: bool) -> DataFrame:
     names = ["region", "nation", "customer", "orders", *["lineitem"] * lines]
     text = EDGES_SQL + (LINES_SQL if lines else "")
     for n in names:  # the tables are handed over as arguments, not as views of the session

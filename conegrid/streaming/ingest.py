@@ -9,8 +9,10 @@ from ..sources.text import PROJECTION, projection_edges
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Start the stream; idempotent, since edges are a set and a replayed batch adds nothing new."""
-    rows = spark.readStream.schema(PROJECTION).json(source)
+    """Start the stream; idempotent, since edges are a set and a replayed batch adds nothing new. A line
+    that does not parse stops it. The table holds assertions as they came: reduce_edges gives their
+    canonical form, once, not at every batch."""
+    rows = spark.readStream.schema(PROJECTION).option("mode", "FAILFAST").json(source)
 
     def append(batch: DataFrame, _: int) -> None:
         new = projection_edges(batch)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conegrid.functions.values import contains, overlaps, period
-from conegrid.operators import canonical, queries, traversal
+from conegrid.operators import canonical, mutation, queries, traversal
 from conegrid.sources.text import read_native, read_projection, write_native
 from conegrid.streaming.ingest import ingest
 
@@ -49,6 +49,22 @@ def test_merge_is_commutative_and_idempotent(spark):
     assert canonical.compare(a, ab).collect()[0]["child"] == "X"
 
 
+def test_cycles_are_refused_and_implied_edges_are_no_news(spark):
+    left, right = graph(spark, {"a": "*", "b": "a"}), graph(spark, {"a": "b"})
+    with pytest.raises(ValueError, match="cycle through a, b"):
+        canonical.merge(left, right)
+    with pytest.raises(ValueError, match="cycle"):
+        traversal.levels(left.union(right))
+    path, short = graph(spark, {"a": "*", "b": "a", "c": "b"}), graph(spark, {"a": "*", "c": "a", "d": "c"})
+    assert {tuple(r) for r in canonical.compare(path, short).collect()} == {("a", "b", "left"), ("b", "c", "left"), ("c", "d", "right")}
+    assert {tuple(r) for r in canonical.cascade(path, short).collect()} == {("added", 1, 3), ("removed", 2, 3)}
+    assert {r["name"]: r["n"] for r in canonical.descendant_counts(path).collect()} == {"*": 3, "a": 2, "b": 1, "c": 0}
+    assert found(canonical.unrelated(graph(spark, {"pet": "*", "bat": "pet"}), graph(spark, {"tool": "*", "bat": "tool"}))) == {"bat"}
+    with pytest.raises(ValueError, match="no such edge"):
+        mutation.remove_edges(path, graph(spark, {"c": "a"}))
+    assert {tuple(r) for r in mutation.remove_edges(path, graph(spark, {"c": "b"})).collect()} == {("*", "a"), ("a", "b"), ("*", "c")}
+
+
 def test_implications(spark):
     rows = [("d1", "Flight"), ("d1", "Booked"), ("d2", "Booked"), ("d3", "Flight"), ("d3", "Booked")]
     got = canonical.implications(spark.createDataFrame(rows, "obj string, attr string")).collect()

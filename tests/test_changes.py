@@ -64,7 +64,16 @@ def test_versions(spark, tmp_path):
     second = versions.commit(mutation.remove(e, of(spark, "dog")), store, "no dog")
     assert [r["root"] for r in versions.history(spark, store).orderBy("number").collect()] == [first, second]
     assert pairs(versions.load_at(spark, store, first[:10])) == pairs(e)
-    assert versions.undo(spark, store) == first and versions.head(spark, store) == (3, first)
+    third = versions.commit(mutation.remove(e, of(spark, "dog", "cat")), store, "no cat")
+    assert versions.undo(spark, store) == second and versions.undo(spark, store) == first and versions.head(spark, store) == (1, first)
+    assert versions.redo(spark, store, 2) == third and versions.undo(spark, store, 2) == first
+    with pytest.raises(ValueError, match="undo"):
+        versions.undo(spark, store)
+    assert {tuple(r) for r in versions.status(mutation.remove(e, of(spark, "drone")), store).collect()} == {("drone", "removed")}
+    assert versions.commit(mutation.remove(e, of(spark, "cat")), store, "other line") == versions.head(spark, store)[1]
+    assert [(r["message"], r["current"]) for r in versions.history(spark, store, 2).collect()] == [("other line", True), ("zoo", False)]
+    with pytest.raises(ValueError, match="redo"):
+        versions.redo(spark, store)
     with pytest.raises(ValueError):
         versions.load_at(spark, store, "zz")
     changes = versions.changed(versions.record_hashes(e), versions.record_hashes(versions.load_at(spark, store, second)))
