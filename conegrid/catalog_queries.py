@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import contains, dominates, overlaps, period
-from .operators import canonical, mutation, queries as q, traversal, versions
+from .operators import canonical, mutation, queries as q, traversal, valued, versions
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
-from .session import table
+from .session import materialize, table
 from .sources.text import dot, manchester_frames, projection_edges
 
 _E = f"WITH RECURSIVE e AS ({EDGES_SQL})"
@@ -244,6 +244,104 @@ def dot_lines(spark: SparkSession, d: str) -> DataFrame:
     return dot(edges(spark, d))
 
 
+#: A typed part of the graph: heads under their kinds, ranges under categories of their own.
+_TYPED = [("*", "dimension"), *(("dimension", f"{k}-dimension") for k in ("linear", "calendar", "count", "dominance", "prefix")), ("linear-dimension", "price"), ("calendar-dimension", "time"),
+          ("count-dimension", "lines"), ("dominance-dimension", "box"), ("prefix-dimension", "geo"), ("*", "bargain"), ("*", "costly"), ("*", "early"), ("price", "price(..50000)"), ("bargain", "price(..50000)"),
+          ("price", "price(200000..)"), ("costly", "price(200000..)"), ("time", "time(..1993)"), ("early", "time(..1993)")]
+_valued: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, values): orders under their prices, days and counts of lines, parts under their boxes,
+    customers under codes of region and nation."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _valued:
+        orders, parts = table(spark, d, "orders"), table(spark, d, "part")
+        order = F.concat(F.lit("order:"), "o_orderkey")
+        named = lambda head, c: F.concat(F.lit(f"{head}("), c, F.lit(")"))
+        n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("string").alias("n"))
+        home = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        claims = orders.select(named("price", F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("parent"), order.alias("child"))
+        claims = claims.union(orders.select(named("time", F.date_format("o_orderdate", "yyyy-MM-dd")), order))
+        claims = claims.union(orders.join(n, "o_orderkey").select(named("lines", F.col("n")), order))
+        claims = claims.union(parts.select(named("box", F.concat(F.col("p_size").cast("string"), F.lit("x20x10cm"))), F.concat(F.lit("part:"), "p_partkey")))
+        claims = claims.union(home.select(named("geo", F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("n"), F.col("n_nationkey").cast("string"))), F.concat(F.lit("cust:"), "c_custkey")))
+        e = valued.materialise(spark.createDataFrame(_TYPED, "parent string, child string"), claims.union(edges(spark, d).where("parent LIKE 'segment:%' OR parent LIKE 'cust:%'").select("parent", "child")))
+        _valued[key] = e, materialize(valued.values(e))
+    return _valued[key]
+
+
+def canonical_units(spark: SparkSession, d: str) -> DataFrame:
+    heads = spark.createDataFrame([(h, k) for h, k, _, _ in _SPELLINGS], "head string, kind string").distinct()
+    return valued.canonical_names(spark.createDataFrame([(f"{h}({a})",) for h, _, a, _ in _SPELLINGS], "name string"), heads)
+
+
+def kind_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return valued.kinds(_typed_graph(spark, d)[0])
+
+
+def space_check(spark: SparkSession, d: str) -> DataFrame:
+    return valued.spaces(_typed_graph(spark, d)[1])
+
+
+def virtual_range_price(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["price(1000..50000)"])
+
+
+def same_head_meet(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["price(..60000)", "price(20000..)", "segment:BUILDING"])
+
+
+def empty_meet(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["price(..100)", "price(200..)"])
+
+
+def category_over_range(spark: SparkSession, d: str) -> DataFrame:
+    """The category holds a range, which holds prices, which hold orders."""
+    return valued.get(*_typed_graph(spark, d), ["bargain"])
+
+
+def overlap_price(spark: SparkSession, d: str) -> DataFrame:
+    return valued.overlapping(*_typed_graph(spark, d), "price(49000..51000)")
+
+
+def calendar_month(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["time(1995-03)"])
+
+
+def count_range(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["lines(..2)", "time(1995..1996)"])
+
+
+def dominance_fit(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["box(0.3mx250mmx100mm)"])
+
+
+def prefix_geo(spark: SparkSession, d: str) -> DataFrame:
+    return valued.get(*_typed_graph(spark, d), ["geo(r1)", "segment:BUILDING"])
+
+
+def value_pairs_below(spark: SparkSession, d: str) -> DataFrame:
+    order = F.concat(F.lit("order:"), "o_orderkey")
+    sups = F.array(*map(F.lit, ("price(..70000)", "bargain", "early", "time(1994)", "nothing", "price(0..)")))
+    return valued.is_below(*_typed_graph(spark, d), table(spark, d, "orders").select(order.alias("sub"), F.explode(sups).alias("sup")).distinct())
+
+
+_SPELLINGS = [
+    ("weight", "linear", "0.5g", "1/2000kg"), ("weight", "linear", "1lb", "45359237/100000000kg"), ("weight", "linear", "2kg..2000g", "2kg"), ("wait", "linear", "2min", "120s"), ("length", "linear", "1in..1ft", "127/5000m..381/1250m"),
+    ("heat", "linear", "-40C", "4663/20K"), ("number", "linear", "0..5", "..5"), ("count", "count", "2dz", "24"), ("count", "count", "1..5", "..5"), ("size", "dominance", "19x23x39cm", "39/100x23/100x19/100m"),
+    ("when", "calendar", "2024-02", "2024-02-01T00:00:00Z..2024-02-29T23:59:59Z"), ("when", "calendar", "..2026", "..2026-12-31T23:59:59Z"), ("place", "prefix", "u4pru", "u4pru"),
+]
+_CENTS = "(round(o_totalprice::DECIMAL(18,2) * 100))::BIGINT"
+_TAG = f"'price(' || (c // gcd(c, 100)) || CASE WHEN c % 100 = 0 THEN '' ELSE '/' || (100 // gcd(c, 100)) END || ')'"
+_T = f"""WITH o AS (SELECT 'order:' || o_orderkey AS name, {_CENTS} AS c, o_orderdate AS day, o_orderkey, o_custkey FROM orders),
+    t AS (SELECT *, {_TAG} AS tag, 'time(' || strftime(day, '%Y-%m-%dT00:00:00Z') || '..' || strftime(day, '%Y-%m-%dT23:59:59Z') || ')' AS dtag FROM o)"""
+
+
+def _priced(where: str, more: str = "") -> str:
+    return f"{_T} SELECT DISTINCT unnest([tag, name]) AS name FROM t WHERE {where}{more}"
+
+
 _ANSWER = f"{_cone('c', 'region:ASIA', 'segment:BUILDING')}, x AS (SELECT name FROM c GROUP BY name HAVING count(*) = 2)"
 _GONE = f"""{_cone('c', 'region:ASIA', 'segment:BUILDING')}, r AS (SELECT '*' AS name UNION SELECT e.child FROM r JOIN e ON e.parent = r.name WHERE e.child NOT IN ('region:ASIA', 'segment:BUILDING')),
     g AS (SELECT name FROM (SELECT name FROM c UNION SELECT unnest(['region:ASIA', 'segment:BUILDING'])) WHERE name NOT IN (SELECT name FROM r))"""
@@ -305,6 +403,23 @@ SQL = {
     "reclassified": f"{_E}, {_cone('c', 'segment:BUILDING')} SELECT DISTINCT name FROM c",
     "provenance_standing": "WITH t AS (SELECT event_type AS subject, user_id, bool_or(event_type = 'refund') AS back FROM events WHERE user_id IN (1, 2, 3) GROUP BY ALL) SELECT subject, coalesce(bool_or(NOT back), false) AS accepted FROM (SELECT DISTINCT event_type AS subject FROM events) LEFT JOIN t USING (subject) GROUP BY subject",
     "manchester": f"{_E} SELECT child AS name, 'Class: <' || child || '>' || coalesce(chr(10) || '    SubClassOf: ' || string_agg('<' || parent || '>', ', ' ORDER BY parent) FILTER (WHERE parent <> '*'), '') AS frame FROM e GROUP BY child",
+    "canonical_units": "SELECT name, canonical FROM (VALUES " + ", ".join(f"('{h}({a})', '{h}({b})')" for h, _, a, b in _SPELLINGS) + ") v(name, canonical)",
+    "kind_resolution": "SELECT head, kind FROM (VALUES ('price', 'linear'), ('time', 'calendar'), ('lines', 'count'), ('box', 'dominance'), ('geo', 'prefix')) v(head, kind)",
+    "space_check": "SELECT head, spaces, true AS sound FROM (VALUES ('price', 'linear:count'), ('time', 'linear:time'), ('lines', 'linear:count'), ('box', 'dominance:length:3'), ('geo', 'prefix')) v(head, spaces)",
+    "virtual_range_price": _priced("c BETWEEN 100000 AND 5000000"),
+    "same_head_meet": f"{_T} SELECT DISTINCT name FROM t JOIN customer ON o_custkey = c_custkey WHERE c BETWEEN 2000000 AND 6000000 AND c_mktsegment = 'BUILDING'",
+    "empty_meet": "SELECT 'x' AS name WHERE false",
+    "category_over_range": _priced("c <= 5000000", " UNION SELECT 'price(..50000)'"),
+    "overlap_price": _priced("c BETWEEN 4900000 AND 5100000", " UNION SELECT 'price(..50000)'"),
+    "calendar_month": f"{_T} SELECT DISTINCT unnest([dtag, name]) AS name FROM t WHERE strftime(day, '%Y-%m') = '1995-03'",
+    "count_range": f"{_T} SELECT DISTINCT name FROM t JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE n <= 2 AND year(day) IN (1995, 1996)",
+    "dominance_fit": """WITH p AS (SELECT p_partkey, list_sort([p_size, 20, 10], 'DESC') AS b FROM part WHERE p_size IS NOT NULL),
+        f AS (SELECT *, 'box(' || list_aggregate(list_transform(b, lambda x: (x // gcd(x, 100)) || CASE WHEN x % 100 = 0 THEN '' ELSE '/' || (100 // gcd(x, 100)) END), 'string_agg', 'x') || 'm)' AS tag FROM p)
+        SELECT DISTINCT unnest([tag, 'part:' || p_partkey]) AS name FROM f WHERE b[1] <= 30 AND b[2] <= 25 AND b[3] <= 10""",
+    "prefix_geo": """SELECT 'cust:' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_mktsegment = 'BUILDING'
+        UNION SELECT 'order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_mktsegment = 'BUILDING'""",
+    "value_pairs_below": f"""{_T} SELECT DISTINCT name AS sub, unnest(['price(..70000)', 'bargain', 'early', 'time(1994)', 'nothing', 'price(0..)']) AS sup,
+        unnest([c <= 7000000, c <= 5000000, year(day) <= 1993, year(day) = 1994, false, true]) AS below FROM t""",
     "dot_lines": f"""{_E} SELECT '"' || child || '" -> "' || parent || '";' AS value FROM e""",
 }
 
