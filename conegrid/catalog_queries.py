@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import contains, dominates, overlaps, period
-from .operators import canonical, mutation, queries as q, traversal, valued, versions
+from .operators import browse, canonical, contexts, mutation, provenance, queries as q, traversal, valued, versions
+from .plans import vocabulary
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
 from .session import materialize, table
-from .sources.text import dot, manchester_frames, projection_edges
+from .sources.text import dot, manchester_frames, owl_classes, projection_edges
 
 _E = f"WITH RECURSIVE e AS ({EDGES_SQL})"
 _EL = f"WITH RECURSIVE e AS ({EDGES_SQL}{LINES_SQL})"
@@ -236,6 +237,20 @@ def provenance_standing(spark: SparkSession, d: str) -> DataFrame:
     return versions.standing(acts, ["1", "2", "3"])
 
 
+def provenance_acts(spark: SparkSession, d: str) -> DataFrame:
+    """How many acts each author has on each claim, after two stores with common acts unite."""
+    e = table(spark, d, "events")
+    claims = provenance.subjects(e.select(F.concat(F.lit("user:"), "user_id").alias("sub"), F.concat(F.lit("did:"), "event_type").alias("sup"), "event_id"))
+    kind = F.when(F.col("event_id") % 3 == 0, "endorse").otherwise("assert")
+    store = provenance.acts(claims.select("subject", F.col("sub").alias("author"), kind.alias("act"), F.col("event_id").cast("string").alias("basis")))
+    both = provenance.unite(store, store.where("act = 'assert'"))
+    return provenance.about(both, claims.select("sub", "sup")).groupBy("sub", "sup", "act").agg(F.count("*").alias("n"))
+
+
+def owl_lines(spark: SparkSession, d: str) -> DataFrame:
+    return owl_classes(edges(spark, d))
+
+
 def manchester(spark: SparkSession, d: str) -> DataFrame:
     return manchester_frames(edges(spark, d))
 
@@ -327,11 +342,111 @@ def value_pairs_below(spark: SparkSession, d: str) -> DataFrame:
     return valued.is_below(*_typed_graph(spark, d), table(spark, d, "orders").select(order.alias("sub"), F.explode(sups).alias("sup")).distinct())
 
 
+def answer_count(spark: SparkSession, d: str) -> DataFrame:
+    return browse.count(edges(spark, d), browse.disjuncts("region:ASIA segment:BUILDING or nation:NATION_7".split()))
+
+
+def first_page(spark: SparkSession, d: str) -> DataFrame:
+    return browse.page(q.get(edges(spark, d), ["region:ASIA"]), 50)
+
+
+def browse_position(spark: SparkSession, d: str) -> DataFrame:
+    return browse.position(edges(spark, d), ["region:ASIA", "segment:BUILDING"])
+
+
+def query_log_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return browse.query_log(e.groupBy("user_id", F.to_date("ts")).agg(F.collect_list("event_type").alias("terms")))
+
+
+def about_store(spark: SparkSession, d: str) -> DataFrame:
+    return browse.about(edges(spark, d))
+
+
+def reachable_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return browse.reachable(e, e.where("parent LIKE 'region:%'").select(F.col("child").alias("term")), _named(e, "order:%"))
+
+
+def move_note(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    moved = mutation.reclassify(e, e.where("parent = 'segment:BUILDING'").select(F.col("child").alias("name")), ["segment:MACHINERY"], ["segment:BUILDING"])
+    return browse.move_note(e, moved, "segment:BUILDING", "segment:MACHINERY")
+
+
+def query_by_graph(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.createDataFrame([("*", "region:ASIA"), ("*", "segment:BUILDING"), ("*", "nobody")], "parent string, child string")
+    return browse.get_by_graph(edges(spark, d), wanted)
+
+
+def shared_roots(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return browse.shared(e.where("parent <> 'segment:BUILDING'"), e.where("child NOT LIKE 'region:A%'"))
+
+
+def node_json(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return browse.node_json(e, canonical.descendant_counts(e))
+
+
+def overlay_query(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under languages in one layer, under quality marks in the other."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    doc = F.concat(F.lit("doc:"), "doc_id")
+    one = projection_edges(docs.select(doc.alias("item"), F.array(F.concat(F.lit("sys:lang:"), "lang")).alias("supercategories")))
+    two = projection_edges(labels.select(doc.alias("item"), F.array(F.concat(F.lit("sys:quality:"), F.col("quality").cast("string"))).alias("supercategories")))
+    return q.get(vocabulary.overlay(one, two), ["sys:lang:en", "sys:quality:1"])
+
+
+def prelude_heads(spark: SparkSession, d: str) -> DataFrame:
+    graph = vocabulary.adopt(edges(spark, d).where("parent = '*'"), vocabulary.prelude(spark))
+    return valued.kinds(graph)
+
+
+def _orders_context(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with the statuses and priorities of their orders."""
+    orders = table(spark, d, "orders")
+    return orders.select(F.col("o_custkey").cast("string").alias("obj"), F.explode(F.array(F.concat(F.lit("status:"), "o_orderstatus"), F.concat(F.lit("priority:"), "o_orderpriority"))).alias("attr"))
+
+
+def fca_extent(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.extent(_orders_context(spark, d), ["status:F", "priority:1-URGENT"])
+
+
+def fca_closure(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").where("p_size <= 2")
+    homes = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = homes.select("n_name", F.explode(F.array("r_name", F.concat(F.lit("key:"), F.pmod("n_nationkey", F.lit(5)).cast("string")))).alias("attr"))
+    return contexts.closure(rows.select(F.col("n_name").alias("obj"), "attr").union(parts.select("p_name", "p_brand")), ["key:1"])
+
+
+def fca_density(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.density(_orders_context(spark, d))
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    """Nations with the market segments in which they have customers in debt."""
+    return table(spark, d, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").cast("string").alias("obj"), F.col("c_mktsegment").alias("attr"))
+
+
+def fca_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.concepts(_nations(spark, d)).select(F.array_join("intent", "|").alias("intent"), "support")
+
+
+def fca_covers(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.covers(contexts.concepts(_nations(spark, d))).select(F.array_join("upper", "|").alias("upper"), F.array_join("lower", "|").alias("lower"))
+
+
 _SPELLINGS = [
     ("weight", "linear", "0.5g", "1/2000kg"), ("weight", "linear", "1lb", "45359237/100000000kg"), ("weight", "linear", "2kg..2000g", "2kg"), ("wait", "linear", "2min", "120s"), ("length", "linear", "1in..1ft", "127/5000m..381/1250m"),
     ("heat", "linear", "-40C", "4663/20K"), ("number", "linear", "0..5", "..5"), ("count", "count", "2dz", "24"), ("count", "count", "1..5", "..5"), ("size", "dominance", "19x23x39cm", "39/100x23/100x19/100m"),
     ("when", "calendar", "2024-02", "2024-02-01T00:00:00Z..2024-02-29T23:59:59Z"), ("when", "calendar", "..2026", "..2026-12-31T23:59:59Z"), ("place", "prefix", "u4pru", "u4pru"),
 ]
+#: Every set of segments, closed: five attributes, so 32 sets.
+_CONCEPTS = """WITH i AS (SELECT DISTINCT c_nationkey AS o, c_mktsegment AS a FROM customer WHERE c_acctbal < -900), t AS (SELECT list(DISTINCT a ORDER BY a) AS every FROM i),
+    r AS (SELECT o, list(a ORDER BY a) AS row FROM i GROUP BY o), s AS (SELECT list_filter(every, lambda x, j: (m >> (j - 1)) & 1 = 1) AS b, every FROM t, range(64) g(m) WHERE m < (1 << len(every))),
+    k AS (SELECT i, any_value(n) AS support FROM (SELECT b, count(o) AS n, list_filter(any_value(every), lambda x: len(list_filter(list(row) FILTER (WHERE o IS NOT NULL), lambda y: NOT list_contains(y, x))) IS NOT DISTINCT FROM 0 OR count(o) = 0) AS i
+        FROM s LEFT JOIN r ON list_has_all(row, b) GROUP BY b) GROUP BY i)"""
 _CENTS = "(round(o_totalprice::DECIMAL(18,2) * 100))::BIGINT"
 _TAG = f"'price(' || (c // gcd(c, 100)) || CASE WHEN c % 100 = 0 THEN '' ELSE '/' || (100 // gcd(c, 100)) END || ')'"
 _T = f"""WITH o AS (SELECT 'order:' || o_orderkey AS name, {_CENTS} AS c, o_orderdate AS day, o_orderkey, o_custkey FROM orders),
@@ -402,7 +517,29 @@ SQL = {
     "changed_records": f"{_E}, a AS ({_RECORD} e WHERE parent <> 'segment:BUILDING' GROUP BY child), b AS ({_RECORD} e WHERE child NOT LIKE 'nation:%' GROUP BY child) SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.hash IS DISTINCT FROM b.hash",
     "reclassified": f"{_E}, {_cone('c', 'segment:BUILDING')} SELECT DISTINCT name FROM c",
     "provenance_standing": "WITH t AS (SELECT event_type AS subject, user_id, bool_or(event_type = 'refund') AS back FROM events WHERE user_id IN (1, 2, 3) GROUP BY ALL) SELECT subject, coalesce(bool_or(NOT back), false) AS accepted FROM (SELECT DISTINCT event_type AS subject FROM events) LEFT JOIN t USING (subject) GROUP BY subject",
+    "provenance_acts": "SELECT 'user:' || user_id AS sub, 'did:' || event_type AS sup, CASE WHEN event_id % 3 = 0 THEN 'endorse' ELSE 'assert' END AS act, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
+    "owl_lines": f"""{_E} SELECT child AS name, '<owl:Class rdf:about="#' || child || '">' || coalesce(string_agg('<rdfs:subClassOf rdf:resource="#' || parent || '"/>', '' ORDER BY parent) FILTER (WHERE parent <> '*'), '') || '</owl:Class>' AS element FROM e GROUP BY child""",
     "manchester": f"{_E} SELECT child AS name, 'Class: <' || child || '>' || coalesce(chr(10) || '    SubClassOf: ' || string_agg('<' || parent || '>', ', ' ORDER BY parent) FILTER (WHERE parent <> '*'), '') AS frame FROM e GROUP BY child",
+    "answer_count": f"{_E}, {_cone('c', 'region:ASIA', 'segment:BUILDING', 'nation:NATION_7')} SELECT count(*) AS n FROM (SELECT name FROM c GROUP BY name HAVING bool_or(term = 'nation:NATION_7') OR bool_or(term = 'region:ASIA') AND bool_or(term = 'segment:BUILDING'))",
+    "first_page": f"{_E}, {_cone('c', 'region:ASIA')}, x AS (SELECT DISTINCT name FROM c) SELECT name, (SELECT count(*) FROM x) AS count, (SELECT count(*) FROM x) > 50 AS truncated FROM x ORDER BY name LIMIT 50",
+    "browse_position": f"""{_E}, {_ANSWER}, u AS (SELECT name AS m, name AS a FROM x UNION SELECT u.m, e.parent FROM u JOIN e ON e.child = u.a) SELECT 'here' AS kind, name, 0 AS n FROM x
+        UNION ALL SELECT 'refine', a, count(*) FROM u WHERE m <> a AND a NOT IN ('*', 'region:ASIA', 'segment:BUILDING') GROUP BY a HAVING count(*) < (SELECT count(*) FROM x) UNION ALL SELECT 'count', '', count(*) FROM x""",
+    "query_log_counts": "SELECT query, count(*) AS n FROM (SELECT string_agg(t, ' ' ORDER BY t) AS query FROM (SELECT DISTINCT user_id, ts::DATE AS day, event_type AS t FROM events) GROUP BY user_id, day) GROUP BY query",
+    "about_store": f"{_E} SELECT 'names' AS what, count(DISTINCT child) AS n FROM e UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'top', count(*) FROM e WHERE parent = '*' UNION ALL SELECT 'leaves', count(DISTINCT child) FROM e WHERE child NOT IN (SELECT parent FROM e)",
+    "reachable_counts": f"{_E}, {_CLOSURE} SELECT t.child AS term, count(p.d) AS n FROM (SELECT child FROM e WHERE parent LIKE 'region:%') t LEFT JOIN p ON p.a = t.child AND p.d LIKE 'order:%' GROUP BY t.child",
+    "move_note": f"{_E}, {_cone('c', 'segment:BUILDING')} SELECT unnest(['departed', 'arrived', 'contested']) AS what, unnest([(SELECT count(DISTINCT name) FROM c), (SELECT count(DISTINCT name) FROM c), 0]) AS n",
+    "query_by_graph": f"{_E}, {_ANSWER} SELECT name FROM x",
+    "shared_roots": f"{_E} SELECT parent, child FROM e WHERE parent = '*' AND child NOT LIKE 'region:A%'",
+    "node_json": f"""{_E}, {_CLOSURE}, n AS (SELECT a, count(*) AS n FROM p GROUP BY a), u AS (SELECT child, to_json(list(parent ORDER BY parent))::VARCHAR AS up FROM e GROUP BY child)
+        SELECT child AS name, '{{"name":' || to_json(child)::VARCHAR || ',"parents":' || up || ',"descendant_count":' || coalesce(n, 0) || '}}' AS json FROM u LEFT JOIN n ON a = child""",
+    "overlay_query": "SELECT DISTINCT 'doc:' || d.doc_id AS name FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE lang = 'en' AND quality = 1",
+    "prelude_heads": "SELECT unnest(['weight', 'length', 'duration', 'area', 'volume', 'speed', 'pressure', 'temperature', 'energy']) AS head, 'linear' AS kind UNION ALL FROM (VALUES ('count', 'count'), ('time', 'calendar'), ('geo', 'prefix'), ('size', 'dominance'))",
+    "fca_extent": "SELECT o_custkey::VARCHAR AS obj FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F') AND bool_or(o_orderpriority = '1-URGENT')",
+    "fca_closure": "WITH i AS (SELECT n_name AS obj, unnest([r_name, 'key:' || (n_nationkey % 5)]) AS attr FROM nation JOIN region ON n_regionkey = r_regionkey), x AS (SELECT obj FROM i WHERE attr = 'key:1') SELECT attr FROM (SELECT DISTINCT * FROM i) WHERE obj IN (FROM x) GROUP BY attr HAVING count(*) = (SELECT count(DISTINCT obj) FROM x)",
+    "fca_density": "WITH i AS (SELECT DISTINCT o_custkey, unnest(['status:' || o_orderstatus, 'priority:' || o_orderpriority]) AS a FROM orders) SELECT count(DISTINCT o_custkey) AS objects, count(DISTINCT a) AS attributes, count(*) AS pairs, round(count(*) / (count(DISTINCT o_custkey) * count(DISTINCT a)), 6) AS density FROM i",
+    "fca_concepts": f"{_CONCEPTS} SELECT array_to_string(i, '|') AS intent, support FROM k",
+    "fca_covers": f"""{_CONCEPTS} SELECT array_to_string(a.i, '|') AS upper, array_to_string(b.i, '|') AS lower FROM k a JOIN k b ON len(a.i) < len(b.i) AND list_has_all(b.i, a.i)
+        WHERE NOT EXISTS (SELECT 1 FROM k c WHERE len(a.i) < len(c.i) AND len(c.i) < len(b.i) AND list_has_all(c.i, a.i) AND list_has_all(b.i, c.i))""",
     "canonical_units": "SELECT name, canonical FROM (VALUES " + ", ".join(f"('{h}({a})', '{h}({b})')" for h, _, a, b in _SPELLINGS) + ") v(name, canonical)",
     "kind_resolution": "SELECT head, kind FROM (VALUES ('price', 'linear'), ('time', 'calendar'), ('lines', 'count'), ('box', 'dominance'), ('geo', 'prefix')) v(head, kind)",
     "space_check": "SELECT head, spaces, true AS sound FROM (VALUES ('price', 'linear:count'), ('time', 'linear:time'), ('lines', 'linear:count'), ('box', 'dominance:length:3'), ('geo', 'prefix')) v(head, spaces)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import shlex
 from collections.abc import Iterator
 
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.canonical import reduce_edges
+from ..session import materialize
+
 PROJECTION = "item string, supercategories array<string>"
 
 
@@ -23,23 +27,102 @@ def read_projection(spark: SparkSession, path: str) -> DataFrame:
     return projection_edges(spark.read.schema(PROJECTION).option("mode", "FAILFAST").json(path))
 
 
-def read_native(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a native text: `name parent...` a line, shell-quoted; `#` begins a comment line."""
+def _native_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(parent, child, meta) of a native text: an edge, or a name's metadata as JSON with a null parent.
+    A line that does not parse stops the read with its file and its number there."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [shlex.split(t) for t in pdf["value"] if t.strip() and not t.lstrip().startswith("#")]
-            yield pd.DataFrame([(p, r[0]) for r in rows for p in (r[1:] or ["*"])], columns=["parent", "child"])
-
-    return spark.read.text(path).mapInPandas(parse, "parent string, child string").distinct()
-
-
-def write_native(edges: DataFrame, path: str) -> None:
-    """One line a name with its sorted parents, sorted by name over all part files."""
+            rows: list[tuple] = []
+            for path, text in zip(pdf["path"], pdf["value"], strict=True):
+                for number, line in enumerate(text.split("\n"), 1):
+                    try:
+                        if line.startswith("#:meta "):
+                            name, _, body = line[7:].partition(" ") if line[7] != "'" else (shlex.split(line[7:])[0], "", line[line.index("{") :])
+                            rows.append((None, name, json.dumps(json.loads(body), sort_keys=True)))
+                        elif line.strip() and not line.lstrip().startswith("#"):
+                            name, *up = shlex.split(line)
+                            rows += [(p, name, None) for p in up or ["*"]]
+                    except ValueError as e:
+                        raise ValueError(f"{path}, line {number}: {e}") from None
+            yield pd.DataFrame(rows, columns=["parent", "child", "meta"])
+
+    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())  # a part file at a time, for line numbers
+    return whole.mapInPandas(parse, "parent string, child string, meta string")
+
+
+def read_native(spark: SparkSession, path: str, reduced: bool = False) -> DataFrame:
+    """Edges of a native text: `name parent...` a line, shell-quoted; `#` begins a comment line.
+    reduced: in canonical form, whatever the text said twice."""
+    found = _native_lines(spark, path).where("parent IS NOT NULL").select("parent", "child").distinct()
+    return reduce_edges(materialize(found)) if reduced else found
+
+
+def read_native_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(name, meta) of the `#:meta NAME JSON` lines of a native text, keys sorted."""
+    return _native_lines(spark, path).where("parent IS NULL").select(F.col("child").alias("name"), "meta").distinct()
+
+
+def write_native(edges: DataFrame, path: str, meta: DataFrame | None = None) -> None:
+    """One line a name with its sorted parents, sorted by name over all part files, each name's metadata
+    (name, meta: JSON), if given, on the line after it."""
     quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
     lines = edges.groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("up"))
     text = F.array_join(F.concat(F.array(quote(F.col("child"))), F.transform(F.filter("up", lambda p: p != "*"), quote)), " ")
-    lines.orderBy("child").select(text.alias("value")).write.text(path)
+    rows = lines.select("child", F.lit(0).alias("i"), text.alias("value"))
+    if meta is not None:
+        rows = rows.union(meta.select(F.col("name").alias("child"), F.lit(1).alias("i"), F.concat(F.lit("#:meta "), quote(F.col("name")), F.lit(" "), "meta")))
+    rows.orderBy("child", "i").select("value").write.text(path)
+
+
+def merge_meta(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(name, meta) of both, maps of strings: a key that both have keeps our value."""
+    both = ours.withColumnRenamed("meta", "a").join(theirs.withColumnRenamed("meta", "b"), "name", "full")
+    none = F.create_map().cast("map<string,string>")
+    ours_, theirs_ = F.coalesce("a", none), F.coalesce("b", none)
+    return both.select("name", F.map_concat(F.map_filter(theirs_, lambda k, _: ~F.map_contains_key(ours_, k)), ours_).alias("meta"))
+
+
+def merge_payloads(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(name, payload) of both; ours where both have one."""
+    return ours.join(theirs.withColumnRenamed("payload", "b"), "name", "full").select("name", F.coalesce("payload", "b").alias("payload"))
+
+
+def read_manchester(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of the class frames of a Manchester text; a class without a superclass is under the root.
+    Names are `<name>` or `:name`."""
+    frames = spark.read.text(path, lineSep="Class: ").where("value LIKE '<%' OR value LIKE ':%'")
+    listed = F.regexp_extract("value", r"(?s)SubClassOf:\s*(.*?)\s*(?:\n\s*\w+:|$)", 1)
+    name = r"<([^>]*)>|:([^\s,]+)"
+    local = lambda c: F.regexp_replace(c, "^<|>$|^:", "")
+    ups = F.transform(F.regexp_extract_all(listed, F.lit(name), F.lit(0)), local)
+    return projection_edges(frames.select(local(F.regexp_extract("value", name, 0)).alias("item"), ups.alias("supercategories")))
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of a file by its ending: .od native, .owl, .omn, .jsonl a projection."""
+    readers = {"od": read_native, "owl": read_owl_classes, "omn": read_manchester, "jsonl": read_projection}
+    ending = path.rstrip("/").rpartition(".")[2].lower()
+    if ending not in readers:
+        raise ValueError(f"no reader for {path!r}; endings are {', '.join(sorted(readers))}")
+    return readers[ending](spark, path)
+
+
+def owl_classes(edges: DataFrame) -> DataFrame:
+    """(name, element): an OWL class element for every name; refuses names with a quote."""
+    safe = lambda c: F.when(c.contains('"'), F.raise_error(F.concat(F.lit("not an IRI: "), c))).otherwise(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    up = edges.groupBy(F.col("child").alias("name")).agg(F.array_sort(F.collect_set("parent")).alias("up"))
+    inside = F.transform(F.filter("up", lambda p: p != "*"), lambda p: F.concat(F.lit('<rdfs:subClassOf rdf:resource="#'), safe(p), F.lit('"/>')))
+    return up.select("name", F.concat(F.lit('<owl:Class rdf:about="#'), safe(F.col("name")), F.lit('">'), F.array_join(inside, ""), F.lit("</owl:Class>")).alias("element"))
+
+
+def write_owl(edges: DataFrame, path: str) -> None:
+    """One OWL RDF/XML document; a document is one file, so its lines pass one task in order."""
+    spark = edges.sparkSession
+    head = '<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">'
+    ends = spark.createDataFrame([(0, "", head), (2, "", "</rdf:RDF>")], "i int, name string, value string")
+    body = owl_classes(edges).select(F.lit(1).alias("i"), "name", F.col("element").alias("value"))
+    ends.union(body).orderBy("i", "name").select("value").coalesce(1).write.text(path)
 
 
 def manchester_frames(edges: DataFrame) -> DataFrame:
