@@ -35,6 +35,7 @@ LIMIT = 20_000
 #: Values of a BK subtree that are compared at once where the radius is so wide that few edges are ruled out.
 LEAF = 256
 BANDS, ROWS = 8, 3
+SALTS = 32
 _MULTIPLY = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -341,8 +342,12 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     parts = connected_components(found)
     groups = nodes.join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
     members = materialize(sketches.select("row", "doc_id", "content").join(groups, "content").select("row", "doc_id", "component"))
-    firsts = members.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    return members.join(firsts, "component").select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    firsts = members.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"))
+    # a component may hold a third of all rows: its members meet its first row in SALTS shares; one alone needs none
+    several = firsts.where("n > 1").select("component", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = members.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(SALTS)).cast("int")).join(several, ["component", "salt"], "left")
+    first = F.coalesce("first", F.struct("doc_id", "row"))
+    return met.select("doc_id", "row", first["doc_id"].alias("component_id"), first["row"].alias("first_row"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
