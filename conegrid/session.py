@@ -56,3 +56,13 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote, when nothing reads it any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files or "/conegrid-" not in files[0]:
+        return
+    head, _, rest = files[0].partition("/conegrid-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{head}/conegrid-{rest.partition('/')[0]}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
