@@ -101,6 +101,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .target_sampling import resample
+
+    ship_package(spark)
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+def op13_annulus_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .annulus_kmeans import cluster_embeddings
+
+    ship_package(spark)
+    return cluster_embeddings(table(spark, sf_dir, "embeddings"), dim=64, scale=1024, clusters=8, rounds=10, seed=3)
+
+
 OP9_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
@@ -157,9 +171,71 @@ LEFT JOIN text r ON r.chosen_id = cut.chosen_id AND r.rejected_id = cut.rejected
 """
 
 
+# A word's CRC is folded over its bytes (two hexadecimal digits each) with the table of the polynomial.
+OP11_SQL = """
+WITH tab AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)),
+doc AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents),
+aim AS (
+    SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+used AS (SELECT r, unnest(w) AS w FROM doc),
+vocab AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM used UNION SELECT w FROM aim)),
+crc AS (
+    SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2),
+                      lambda i: (strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1)),
+                  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS b
+    FROM vocab, tab),
+s AS (SELECT b, count(*) AS n FROM used JOIN crc USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM aim JOIN crc USING (w) GROUP BY b),
+gain AS (
+    SELECT i AS b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+                                   / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS g
+    FROM range(10000) q(i) LEFT JOIN s ON s.b = i LEFT JOIN t ON t.b = i),
+total AS (SELECT r, sum(g)::BIGINT AS weight FROM used JOIN crc USING (w) JOIN gain USING (b) GROUP BY r),
+scored AS (
+    SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM doc LEFT JOIN total USING (r)),
+part AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, weight, n_features) AS k, 10 * count(*) OVER () // 100 AS n
+    FROM scored WHERE n_features >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= n THEN k END AS "rank" FROM scored LEFT JOIN part USING (r)
+"""
+
+
+def op13_sql(clusters: int = 8, rounds: int = 10, dim: int = 64, seed: int = 3) -> str:
+    """The rounds written out one after another."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v AS m FROM v
+    WHERE vec_id IS NOT NULL QUALIFY c < {clusters})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS (SELECT r, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT c, k, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a{i} JOIN v USING (r)) GROUP BY c, k),
+n{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN n{i} USING (c))""")
+    last = f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} e ON e.c = a.c
+"""
+    return ",".join(steps) + last
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_preference, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_preference, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe, op11_target_sampling, op13_annulus_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference": OP3_SQL, "op9_topk": OP9_SQL}
+    return {"op3_preference": OP3_SQL, "op9_topk": OP9_SQL, "op11_target_sampling": OP11_SQL, "op13_annulus_kmeans": op13_sql()}
