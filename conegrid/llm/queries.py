@@ -108,6 +108,13 @@ def op11_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    ship_package(spark)
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op13_annulus_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .annulus_kmeans import cluster_embeddings
 
@@ -234,7 +241,7 @@ FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} e ON e.c = a.c
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_preference, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe, op11_target_sampling, op13_annulus_kmeans)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_preference, op4_quality_classifier, op5_quality_rules, op6_lm_scoring, op7_page_text, op8_language_id, op9_topk, op10_bpe, op11_target_sampling, op12_jaccard_join, op13_annulus_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
