@@ -201,7 +201,7 @@ PARSED = f"canonical string, space string, lo {RATIO}, hi {RATIO}, parts array<{
 
 def parsed(name: Column, kind: Column, units: Units = UNITS) -> Column:
     """A struct of PARSED for each term; a term without a value has an error and nulls."""
-    limit = 10**37
+    limit = 10**18  # products of two such numbers fit into 38 digits, so at_most is exact
     ratio = lambda x: None if x is None else (x.numerator, x.denominator)
 
     def row(n: str | None, k: str | None) -> tuple:
@@ -226,10 +226,8 @@ def parsed(name: Column, kind: Column, units: Units = UNITS) -> Column:
 
 
 def at_most(a: Column, b: Column) -> Column:
-    """Whether ratio a <= ratio b: by multiplication where that fits, else by division as doubles."""
-    exact = F.try_multiply(a["n"], b["d"]) <= F.try_multiply(b["n"], a["d"])
-    near = a["n"].cast("double") / a["d"].cast("double") <= b["n"].cast("double") / b["d"].cast("double")
-    return F.coalesce(exact, near)
+    """Whether ratio a <= ratio b, exactly: parsed() refuses numbers whose products would not fit."""
+    return a["n"] * b["d"] <= b["n"] * a["d"]
 
 
 def contains(outer: Column, inner: Column) -> Column:

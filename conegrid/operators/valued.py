@@ -3,18 +3,22 @@
 A head is typed by a kind node above it. Its values are the names `head(...)` that hang under it; a value
 is below every value of the head that contains it, present or only asked for. Containment is never
 stored as pairs: a walk that meets values joins them on the head with the head's values, and only values
-that can contain others (ranges, codes, tuples) look for more.
+that can contain others (ranges, codes, tuples) look for more. Ranges meet values by ranks (ranges.py), codes
+by their prefixes, so a head with all values is spread like many heads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.units import UNITS, Units, declared
 from ..session import materialize
 from .queries import names
+from .ranges import points_in_ranges
 from .traversal import ancestors_of, cones, descendants
 
 KIND_NODES = {f"{k}-dimension": k for k in T.KINDS}
@@ -34,16 +38,22 @@ def kinds(edges: DataFrame) -> DataFrame:
     return found.select("head", F.when(F.col("a") == F.col("b"), F.regexp_replace("a", "-dimension$", "")).otherwise("conflict").alias("kind"))
 
 
+def heads_in_use(edges: DataFrame) -> DataFrame:
+    """(head, kind) of the typed heads that some value names: plain items under a head are none."""
+    used = edges.select(F.regexp_extract("child", T.TERM, 1).alias("head")).where("head <> ''").distinct()
+    return kinds(edges).join(used, "head", "left_semi")
+
+
 def values(edges: DataFrame, units: Units = UNITS) -> DataFrame:
     """(name, head, kind, v): the values of every typed head, parsed."""
     stars = edges.where(F.col("child").rlike(T.TERM)).withColumn("head", F.regexp_extract("child", T.TERM, 1)).where("head = parent")
-    return stars.join(F.broadcast(kinds(edges)), "head").select(F.col("child").alias("name"), "head", "kind", T.parsed(F.col("child"), F.col("kind"), units).alias("v"))  # a row a declared head
+    return stars.join(heads_in_use(edges), "head").select(F.col("child").alias("name"), "head", "kind", T.parsed(F.col("child"), F.col("kind"), units).alias("v"))
 
 
 def canonical_names(terms: DataFrame, heads: DataFrame, units: Units = UNITS) -> DataFrame:
     """`terms` (name, ...) with canonical: a typed term's spelling, any other name as it is; a term that
     its head's kind refuses stops the query with the reason."""
-    typed = terms.withColumn("head", F.regexp_extract("name", T.TERM, 1)).join(F.broadcast(heads), "head", "left").withColumn("v", T.parsed(F.col("name"), F.col("kind"), units))
+    typed = terms.withColumn("head", F.regexp_extract("name", T.TERM, 1)).join(heads, "head", "left").withColumn("v", T.parsed(F.col("name"), F.col("kind"), units))
     spelled = F.when(F.col("kind").isNull(), F.col("name")).when(F.col("v.error").isNull(), F.col("v.canonical")).otherwise(F.raise_error(F.concat("name", F.lit(": "), "v.error")))
     return typed.withColumn("canonical", spelled).drop("head", "kind", "v")
 
@@ -61,7 +71,7 @@ def materialise(edges: DataFrame, claims: DataFrame, units: Units = UNITS) -> Da
     spelled = materialize(canonical_names(ends, heads, units))
     said = lambda c: spelled.select(F.col("name").alias(c), F.col("canonical").alias(f"{c}_c"))
     told = claims.join(said("parent"), "parent").join(said("child"), "child").select(F.col("parent_c").alias("parent"), F.col("child_c").alias("child"))
-    anchors = spelled.select(F.regexp_extract("canonical", T.TERM, 1).alias("parent"), F.col("canonical").alias("child")).join(F.broadcast(heads), F.col("parent") == F.col("head")).select("parent", "child")
+    anchors = spelled.select(F.regexp_extract("canonical", T.TERM, 1).alias("parent"), F.col("canonical").alias("child")).join(heads, F.col("parent") == F.col("head")).select("parent", "child")
     both = materialize(edges.select("parent", "child").union(told).union(anchors).distinct())
     bad = spaces(values(both, units)).where("NOT sound").orderBy("head").limit(5).collect()  # named in the message
     if bad:
@@ -77,17 +87,48 @@ def disjoint_parents(edges: DataFrame, vals: DataFrame) -> DataFrame:
     return pairs.where(~T.overlaps(F.col("a"), F.col("b"))).select(F.col("child").alias("name"), "head").distinct()
 
 
+def held_pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(term, name): every value of `outer` (term, head, v) with every other value of `inner` (name, head, v) inside it.
+
+    Ranges are joined by ranks: an end's double, moved outwards by far more than its rounding, proposes,
+    and the exact ratios decide. A code is looked up by its prefixes. Tuples are joined by their largest part, then exactly."""
+    here = {r[0] for r in outer.select(_form("v")).distinct().collect()}  # three at most
+    ratio = lambda x: x["n"].cast("double") / x["d"].cast("double")
+    near = lambda v, end, sign: ratio(v[end]) + sign * 1e-9 * F.abs(ratio(v[end]))
+    both = lambda rows, form: rows.where(_form("v") == form).withColumn("space", F.col("v.space"))
+    exact = lambda r, p: (r["term"] != p["name"]) & T.contains(r["v"], p["v"])
+    out = []
+    if "range" in here:
+        ranges = both(outer, "range").withColumns({"lo": near(F.col("v"), "lo", -1), "hi": near(F.col("v"), "hi", 1)})
+        points = both(inner, "range").withColumn("at", near(F.col("v"), "lo", 0))
+        out.append(points_in_ranges(points, ranges, ["head", "space"], "at", "lo", "hi", test=exact))
+    if "tuple" in here:
+        largest = lambda sign: ratio(F.col("v.parts")[0]) * (1 + sign * 1e-9)
+        boxes = both(outer, "tuple").withColumns({"lo": F.lit(None).cast("double"), "hi": largest(1)})
+        out.append(points_in_ranges(both(inner, "tuple").withColumn("at", largest(0)), boxes, ["head", "space"], "at", "lo", "hi", test=exact))
+    found = [x.select("r.term", "p.name") for x in out]
+    if "code" in here:
+        codes = outer.where(_form("v") == "code").select("term", "head", F.col("v.code").alias("prefix"))
+        longer = F.explode(F.transform(F.sequence(F.lit(1), F.length("v.code")), lambda n: F.substring(F.col("v.code"), F.lit(1), n)))
+        found.append(inner.where(_form("v") == "code").select("name", "head", longer.alias("prefix")).join(codes, ["head", "prefix"]).where("term <> name").select("term", "name"))
+    if not found:
+        return outer.sparkSession.createDataFrame([], "term string, name string")
+    return reduce(DataFrame.unionAll, found)
+
+
 def computed_children(vals: DataFrame, outer: DataFrame) -> DataFrame:
-    """(term, name): values inside each value of `outer` (term, head, v), itself left out; an equi-join on
-    the head with the containment as its condition, for few outer values."""
-    inner = vals.select(F.col("name"), F.col("head").alias("h"), F.col("v").alias("w"))
-    return outer.join(inner, (F.col("head") == F.col("h")) & (F.col("term") != F.col("name")) & T.contains(F.col("v"), F.col("w"))).select("term", "name")
+    """(term, name): values inside each value of `outer` (term, head, v), itself left out."""
+    return held_pairs(outer, vals.select("name", "head", "v"))
 
 
 def computed_parents(vals: DataFrame, inner: DataFrame) -> DataFrame:
     """(term, name): values that hold each value of `inner` (term, head, v), itself left out."""
-    outer = vals.select(F.col("name"), F.col("head").alias("h"), F.col("v").alias("w"))
-    return inner.join(outer, (F.col("head") == F.col("h")) & (F.col("term") != F.col("name")) & T.contains(F.col("w"), F.col("v"))).select("term", "name")
+    wide = vals.where(_wide("v")).select(F.col("name").alias("term"), "head", "v")
+    return held_pairs(wide, inner.select(F.col("term").alias("name"), "head", "v")).select(F.col("name").alias("term"), F.col("term").alias("name"))
+
+
+def _form(v: str) -> Column:
+    return F.when(F.col(f"{v}.code").isNotNull(), "code").when(F.col(f"{v}.parts").isNotNull(), "tuple").when(F.col(f"{v}.space").isNotNull(), "range")
 
 
 def _wide(v: str) -> str:
@@ -163,7 +204,7 @@ def is_below(edges: DataFrame, vals: DataFrame, pairs: DataFrame, units: Units =
     heads = materialize(kinds(edges))
     vals = materialize(vals)
     ends = pairs.select(F.col("sub").alias("name")).union(pairs.select("sup")).distinct()
-    typed = ends.withColumn("head", F.regexp_extract("name", T.TERM, 1)).join(F.broadcast(heads), "head").select("name", "head", T.parsed(F.col("name"), F.col("kind"), units).alias("v"))
+    typed = ends.withColumn("head", F.regexp_extract("name", T.TERM, 1)).join(heads, "head").select("name", "head", T.parsed(F.col("name"), F.col("kind"), units).alias("v"))
     typed = materialize(typed.where("v.error IS NULL"))
     # asked values join the present ones for the walk, under their heads
     more = typed.select(F.col("head").alias("parent"), F.col("v.canonical").alias("child"))
@@ -175,9 +216,11 @@ def is_below(edges: DataFrame, vals: DataFrame, pairs: DataFrame, units: Units =
     # one computed hop is enough, containment being transitive: from a value at or above sub into a wide one,
     # then on up by edges
     at = up.union(spelled.select(F.col("_sub").alias("term"), F.col("_sub").alias("name"))).distinct()
-    hop = at.join(every, "name").select(F.col("term"), "head", "v").alias("x")
-    wide = every.where(_wide("v")).select(F.col("name").alias("to"), F.col("head").alias("h"), F.col("v").alias("w"))
-    inside = materialize(hop.join(wide, (F.col("head") == F.col("h")) & T.contains(F.col("w"), F.col("v"))).select("term", F.col("to").alias("name")).distinct())
+    at = materialize(at)
+    hop = every.join(at.select("name").distinct(), "name", "left_semi")  # each value met on the way once
+    wide = every.where(_wide("v")).select(F.col("name").alias("term"), "head", "v")
+    held = held_pairs(wide, hop).select(F.col("term").alias("to"), "name")
+    inside = materialize(at.join(held, "name").select("term", F.col("to").alias("name")).distinct())
     above = ancestors_of(whole, inside.select(F.col("name").alias("term")).distinct()).withColumnRenamed("name", "far")
     reached = at.union(inside).union(inside.join(above, inside["name"] == above["term"]).select(inside["term"], F.col("far"))).distinct()
     present = names(whole).withColumnRenamed("name", "_sub").withColumn("_known", F.lit(True))
