@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import contains, dominates, overlaps, period
-from .operators import browse, canonical, contexts, mutation, provenance, queries as q, traversal, valued, versions
+from .functions import terms as T
+from .operators import browse, canonical, combined, contexts, mutation, provenance, queries as q, ranges, traversal, valued, versions
 from .plans import vocabulary
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
 from .session import materialize, table
@@ -328,6 +329,62 @@ def count_range(spark: SparkSession, d: str) -> DataFrame:
     return valued.get(*_typed_graph(spark, d), ["lines(..2)", "time(1995..1996)"])
 
 
+def _priced_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, values): orders under their prices, and also directly under the category of the range that
+    holds the price; some are costly although their price is not in the costly range."""
+    orders = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("child"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    price = orders.select(F.concat(F.lit("price("), F.col("p").cast("string"), F.lit(")")).alias("parent"), "child")
+    direct = orders.where("p <= 50000").select(F.lit("bargain").alias("parent"), "child").unionByName(orders.where("p >= 190000").select(F.lit("costly").alias("parent"), "child"))
+    known = [e for e in _TYPED if e[1] in ("dimension", "linear-dimension", "price", "bargain", "costly") or e[1].startswith("price(")]
+    e = valued.materialise(spark.createDataFrame(known, "parent string, child string"), price.unionByName(direct))
+    return e, materialize(valued.values(e))
+
+
+def combined_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """The direct edges from categories go where only containment of the price in the category's range implies them."""
+    return combined.reduce_edges(*_priced_graph(spark, d))
+
+
+def combined_contraction(spark: SparkSession, d: str) -> DataFrame:
+    """Prices below 20000 removed: their orders go to the range that held them."""
+    e, vals = _priced_graph(spark, d)
+    return combined.remove(e, vals, vals.where("v.hi.n < 20000 * v.hi.d AND v.lo <=> v.hi").select("name"))
+
+
+def price_bands(spark: SparkSession, d: str) -> DataFrame:
+    """(band, held): every order's price against a band of ten from each order's price upwards; one group."""
+    p = table(spark, d, "orders").select(F.lit(1).alias("g"), "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("lo"))
+    bands = p.withColumn("hi", F.col("lo") + F.lit(10).cast("decimal(18,2)"))
+    return ranges.points_in_ranges(p, bands, ["g"], "lo", "lo", "hi").select(F.col("r.o_orderkey").alias("band"), F.col("p.o_orderkey").alias("held"))
+
+
+def periods_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """(early, late): orders of one customer whose periods, from the order to its last receipt, overlap."""
+    last = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.col("l_shipdate").cast("date")).alias("hi"))
+    o = table(spark, d, "orders").join(last, "o_orderkey").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("lo"), "hi")
+    met = ranges.overlap_join(o, o, ["o_custkey"]).where("a.o_orderkey < b.o_orderkey")
+    return met.select(F.col("a.o_orderkey").alias("one"), F.col("b.o_orderkey").alias("other"))
+
+
+def periods_within(spark: SparkSession, d: str) -> DataFrame:
+    """(outer, inner): orders whose period lies within that of another order of the customer."""
+    last = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.col("l_shipdate").cast("date")).alias("hi"))
+    o = table(spark, d, "orders").join(last, "o_orderkey").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("lo"), "hi")
+    met = ranges.containment_join(o, o, ["o_custkey"]).where("r.o_orderkey <> p.o_orderkey")
+    return met.select(F.col("r.o_orderkey").alias("outer_order"), F.col("p.o_orderkey").alias("inner_order"))
+
+
+def value_containment(spark: SparkSession, d: str) -> DataFrame:
+    """(term, name): every range, code or tuple of the typed graph, and the ranges from each part's retail
+    price to a thousand more, with the values inside."""
+    _, vals = _typed_graph(spark, d)
+    parts = table(spark, d, "part").select(F.col("p_retailprice").cast("decimal(18,2)").alias("p")).where("p IS NOT NULL").distinct()
+    bands = parts.select(F.concat(F.lit("price("), F.col("p").cast("string"), F.lit(".."), (F.col("p") + 100).cast("string"), F.lit(")")).alias("name"))
+    asked = bands.select(F.lit("price").alias("head"), T.parsed(F.col("name"), F.lit("linear")).alias("v"))
+    outer = vals.where("head IN ('geo', 'time')").select(F.col("name").alias("term"), "head", "v").unionByName(asked.select(F.col("v.canonical").alias("term"), "head", "v"))
+    return valued.computed_children(vals, outer)
+
+
 def dominance_fit(spark: SparkSession, d: str) -> DataFrame:
     return valued.get(*_typed_graph(spark, d), ["box(0.3mx250mmx100mm)"])
 
@@ -453,6 +510,16 @@ _T = f"""WITH o AS (SELECT 'order:' || o_orderkey AS name, {_CENTS} AS c, o_orde
     t AS (SELECT *, {_TAG} AS tag, 'time(' || strftime(day, '%Y-%m-%dT00:00:00Z') || '..' || strftime(day, '%Y-%m-%dT23:59:59Z') || ')' AS dtag FROM o)"""
 
 
+_KNOWN = "SELECT unnest(['*', 'dimension', 'linear-dimension', '*', '*', 'price', 'bargain', 'price', 'costly']) AS parent, unnest(['dimension', 'linear-dimension', 'price', 'bargain', 'costly', 'price(..50000)', 'price(..50000)', 'price(200000..)', 'price(200000..)']) AS child"
+_PERIODS = "WITH l AS (SELECT l_orderkey, max(l_shipdate)::DATE AS hi FROM lineitem GROUP BY ALL), o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate::DATE AS lo, hi FROM orders JOIN l ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL AND hi >= o_orderdate::DATE)"
+_GEO = "(SELECT DISTINCT 'r' || n_regionkey || 'n' || n_nationkey FROM nation JOIN customer ON c_nationkey = n_nationkey)"
+
+
+def _spelled(c: str) -> str:
+    """SQL: an amount of cents as a whole number or a fraction in lowest terms."""
+    return f"({c} // gcd({c}, 100)) || CASE WHEN {c} % 100 = 0 THEN '' ELSE '/' || (100 // gcd({c}, 100)) END"
+
+
 def _priced(where: str, more: str = "") -> str:
     return f"{_T} SELECT DISTINCT unnest([tag, name]) AS name FROM t WHERE {where}{more}"
 
@@ -548,6 +615,17 @@ SQL = {
     "empty_meet": "SELECT 'x' AS name WHERE false",
     "category_over_range": _priced("c <= 5000000", " UNION SELECT 'price(..50000)'"),
     "overlap_price": _priced("c BETWEEN 4900000 AND 5100000", " UNION SELECT 'price(..50000)'"),
+    "combined_reduction": f"""{_T}, k AS ({_KNOWN}) FROM k UNION SELECT 'price', tag FROM t UNION SELECT tag, name FROM t UNION SELECT 'costly', name FROM t WHERE c >= 19000000 AND c < 20000000""",
+    "combined_contraction": f"""{_T}, k AS ({_KNOWN}) FROM k UNION SELECT 'price', tag FROM t WHERE c >= 2000000 UNION SELECT tag, name FROM t WHERE c >= 2000000
+        UNION SELECT 'price(..50000)', name FROM t WHERE c < 2000000 UNION SELECT 'costly', name FROM t WHERE c >= 19000000 AND c < 20000000""",
+    "price_bands": "WITH o AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS p FROM orders) SELECT a.o_orderkey AS band, b.o_orderkey AS held FROM o a JOIN o b ON b.p >= a.p AND b.p <= a.p + 10",
+    "periods_overlap": f"{_PERIODS} SELECT a.k AS one, b.k AS other FROM o a JOIN o b ON a.c = b.c AND a.k < b.k AND a.lo <= b.hi AND b.lo <= a.hi",
+    "periods_within": f"{_PERIODS} SELECT a.k AS outer_order, b.k AS inner_order FROM o a JOIN o b ON a.c = b.c AND a.k <> b.k AND a.lo <= b.lo AND b.hi <= a.hi",
+    "value_containment": f"""{_T}, b AS (SELECT DISTINCT (p_retailprice::DECIMAL(18,2) * 100)::BIGINT AS x FROM part WHERE p_retailprice IS NOT NULL),
+        n AS (SELECT DISTINCT c, tag FROM t), s AS (SELECT x, {_spelled("x")} AS lo, {_spelled("(x + 10000)")} AS hi FROM b)
+        SELECT 'price(' || lo || '..' || hi || ')' AS term, tag AS name FROM s JOIN n ON c BETWEEN x AND x + 10000
+        UNION ALL SELECT DISTINCT 'time(..1993-12-31T23:59:59Z)', dtag FROM t WHERE year(day) <= 1993
+        UNION ALL SELECT 'geo(' || a || ')', 'geo(' || b || ')' FROM {_GEO} x(a), {_GEO} y(b) WHERE a <> b AND starts_with(b, a)""",
     "calendar_month": f"{_T} SELECT DISTINCT unnest([dtag, name]) AS name FROM t WHERE strftime(day, '%Y-%m') = '1995-03'",
     "count_range": f"{_T} SELECT DISTINCT name FROM t JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE n <= 2 AND year(day) IN (1995, 1996)",
     "dominance_fit": """WITH p AS (SELECT p_partkey, list_sort([p_size, 20, 10], 'DESC') AS b FROM part WHERE p_size IS NOT NULL),

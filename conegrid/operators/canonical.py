@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .traversal import closure, cones
+from ..session import discard, materialize
+from .traversal import ancestors_of, closure, cones
+
+
+def refuse_cycles(edges: DataFrame) -> None:
+    """ValueError if the graph has a cycle. Edges to leaves are peeled off round by round; what can no longer be
+    peeled holds a cycle, found after as many rounds as the graph has levels."""
+    rest, n = edges.select("parent", "child"), None
+    while True:
+        left = materialize(rest.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
+        m = left.count()
+        if n is not None:
+            discard(rest)
+        if not m:
+            return
+        if m == n:
+            break
+        rest, n = left, m
+    while True:  # what only leads to cycles goes from above, so that the message names those on them
+        inner = materialize(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
+        m = inner.count()
+        if m == n:
+            raise ValueError(f"cycle through {', '.join(r[0] for r in inner.select('parent').distinct().orderBy('parent').limit(5).collect())}")
+        left, n = inner, m
+
+
+def implied(edges: DataFrame) -> DataFrame:
+    """(parent, child): what a path of two edges or more leads to, for every child with several parents, the only
+    ones whose edges may be redundant. Walked up from those parents; a cycle is refused (ValueError)."""
+    refuse_cycles(edges)
+    several = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1")
+    ends = materialize(edges.join(several, "child", "left_semi").select("child", F.col("parent").alias("term")))
+    up = ancestors_of(edges, ends.select("term").distinct())
+    return ends.join(up, "term").select(F.col("name").alias("parent"), "child").distinct()
 
 
 def reduce_edges(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The unique transitive reduction: edges that no longer path implies. pairs: the closure, if known.
     A graph with a cycle has none and is refused (ValueError)."""
-    pairs = closure(edges) if pairs is None else pairs
+    if pairs is None:
+        return edges.join(implied(edges), ["parent", "child"], "left_anti")
     bad = pairs.where("ancestor = descendant").select("ancestor").distinct().orderBy("ancestor").limit(5).collect()  # named in the message
     if bad:
         raise ValueError(f"cycle through {', '.join(r[0] for r in bad)}")

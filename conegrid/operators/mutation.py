@@ -49,9 +49,8 @@ def put(edges: DataFrame, batch: DataFrame) -> DataFrame:
     return reduce_edges(both)
 
 
-def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """`edges` without the names of `gone` (name): every path through them is contracted, so what was
-    below their parents stays below them. The order of names does not matter; unknown ones are ignored."""
+def bridge(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """`edges` without the names of `gone` (name), and an edge for each path whose inner names all go; not reduced."""
     gone = materialize(gone.where(F.col("name") != ROOT).select("name").distinct())
     here = gone.select(F.col("name").alias("child"))
     frontier = edges.join(here, "child", "left_semi").join(gone.select(F.col("name").alias("parent")), "parent", "left_anti").select("parent", "child")
@@ -66,7 +65,13 @@ def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
         bridges = out if bridges is None else bridges.unionByName(out)
         frontier = beyond.join(here, "child", "left_semi").select("parent", "child")
     kept = _both_ends(edges, gone, "left_anti")
-    return kept if bridges is None else reduce_edges(materialize(kept.unionByName(bridges).distinct()))
+    return kept if bridges is None else kept.unionByName(bridges).distinct()
+
+
+def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """`edges` without the names of `gone` (name): every path through them is contracted, so what was
+    below their parents stays below them. The order of names does not matter; unknown ones are ignored."""
+    return reduce_edges(materialize(bridge(edges, gone)))
 
 
 def cone_removal_plan(edges: DataFrame, *targets: str) -> DataFrame:

@@ -47,13 +47,15 @@ def get_any(edges: DataFrame, query: list[list[str]]) -> DataFrame:
 
 def is_below(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sub, sup, below) of (sub, sup): reflexive on known names, false for unknown ones; everything
-    known is below the root. Walks down from the sups or up from the subs, whichever are fewer."""
-    subs, sups = pairs.agg(F.countDistinct("sub"), F.countDistinct("sup")).first()
+    known is below the root. Pairs that need no walk are left out of it; it goes down from the other
+    sups or up from their subs, whichever are fewer."""
+    asked = pairs.where("sub <> sup AND sup <> '*'")
+    subs, sups = asked.agg(F.countDistinct("sub"), F.countDistinct("sup")).first()
     known = edges.select(F.col("parent").alias("name")).unionAll(edges.select(F.col("child").alias("name"))).distinct()
     if sups <= subs:
-        cone = cones(edges, pairs.select(F.col("sup").alias("term"))).select(F.col("term").alias("sup"), F.col("name").alias("sub"), F.lit(True).alias("_in"))
+        cone = cones(edges, asked.select(F.col("sup").alias("term"))).select(F.col("term").alias("sup"), F.col("name").alias("sub"), F.lit(True).alias("_in"))
     else:
-        cone = ancestors_of(edges, pairs.select(F.col("sub").alias("term"))).select(F.col("name").alias("sup"), F.col("term").alias("sub"), F.lit(True).alias("_in"))
+        cone = ancestors_of(edges, asked.select(F.col("sub").alias("term"))).select(F.col("name").alias("sup"), F.col("term").alias("sub"), F.lit(True).alias("_in"))
     found = pairs.join(cone, ["sub", "sup"], "left").join(known.select(F.col("name").alias("sub"), F.lit(True).alias("_known")), "sub", "left")
     return found.select("sub", "sup", (F.coalesce("_in", F.lit(False)) | (((F.col("sub") == F.col("sup")) | (F.col("sup") == "*")) & F.col("_known").isNotNull())).alias("below"))
 

@@ -6,7 +6,8 @@ points: a point is in one block, a range in those that it spans, and the two mee
 a range spans wholly gives only answers, so work follows the output and two blocks a range; a group with all
 rows, or one value repeated, is spread like any other. Blocks that very many ranges span are dealt into shares.
 
-Ends are of any type that Spark sorts, and closed; a null end is open. Rows with a null group join nothing; an
+Ends are of any type that Spark sorts, and closed; a null end is open; a range that ends before it begins is
+empty and joins nothing. Rows with a null group join nothing; an
 empty side gives no rows; repeated rows join each on their own.
 """
 
@@ -77,14 +78,20 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, group: list[str], at:
     return both if test is None else both.where(test(F.col("r"), F.col("p")))
 
 
+def _sound(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The rows whose range is not empty."""
+    return rows.where(F.coalesce(F.col(lo) <= F.col(hi), F.lit(True)))
+
+
 def containment_join(outer: DataFrame, inner: DataFrame, group: list[str], lo: str = "lo", hi: str = "hi", **sizes: int) -> DataFrame:
     """(r, p): every range of `outer` with every range of `inner` inside it, as structs."""
     inside = lambda r, p: r[hi].isNull() | F.coalesce(p[hi] <= r[hi], F.lit(False))
-    return points_in_ranges(inner, outer, group, lo, lo, hi, test=inside, **sizes)
+    return points_in_ranges(_sound(inner, lo, hi), outer, group, lo, lo, hi, test=inside, **sizes)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, group: list[str], lo: str = "lo", hi: str = "hi", **sizes: int) -> DataFrame:
     """(a, b): every pair of ranges with a common part, once, as structs: one of the two begins inside the other."""
+    a, b = _sound(a, lo, hi), _sound(b, lo, hi)
     first = points_in_ranges(b, a, group, lo, lo, hi, **sizes).select(F.col("r").alias("a"), F.col("p").alias("b"))
     second = points_in_ranges(a, b, group, lo, lo, hi, strict=True, **sizes).select(F.col("p").alias("a"), F.col("r").alias("b"))
     return first.unionAll(second)

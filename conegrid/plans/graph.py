@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import materialize, table
 
 ROOT = "*"
+# keys make all rows distinct but the segments', so only those are compared
 EDGES_SQL = """
 SELECT '*' AS parent, 'region:' || r_name AS child FROM region
-UNION SELECT 'region:' || r_name, 'nation:' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
-UNION SELECT 'nation:' || n_name, 'cust:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
-UNION SELECT '*', 'segment:' || c_mktsegment FROM customer
-UNION SELECT 'segment:' || c_mktsegment, 'cust:' || c_custkey FROM customer
-UNION SELECT 'cust:' || o_custkey, 'order:' || o_orderkey FROM orders
+UNION ALL SELECT 'region:' || r_name, 'nation:' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'nation:' || n_name, 'cust:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT '*', 'segment:' || c_mktsegment FROM customer
+UNION ALL SELECT 'segment:' || c_mktsegment, 'cust:' || c_custkey FROM customer
+UNION ALL SELECT 'cust:' || o_custkey, 'order:' || o_orderkey FROM orders
 """
 LINES_SQL = """
-UNION SELECT 'order:' || l_orderkey, 'line:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey FROM lineitem
+UNION ALL SELECT 'order:' || l_orderkey, 'line:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey FROM lineitem
 """
 
 

@@ -4,13 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conegrid.operators import ranges as R
-from conegrid.operators import valued
 
 INT = "g string, lo int, hi int, name string"
 
 
 def brute(a, b, test):
-    return sorted((x[3], y[3]) for x in a for y in b if x[0] is not None and x[0] == y[0] and test(x, y))
+    return sorted((x[3], y[3]) for x in a for y in b if x[0] is not None and x[0] == y[0] and below(x[1], x[2]) and below(y[1], y[2]) and test(x, y))
 
 
 def below(x, y):
@@ -25,7 +24,7 @@ def rows(prefix, seed):
     for i in range(120):
         lo = rng.randint(0, 60)
         out.append((rng.choice("aab"), lo, lo + rng.choice([0, 0, 1, 5, 40]), f"{prefix}{i}"))
-    out += [("a", None, 10, f"{prefix}low"), ("a", 50, None, f"{prefix}high"), ("a", None, None, f"{prefix}all"), (None, 1, 2, f"{prefix}none"), ("a", 7, 7, f"{prefix}tie"), ("a", 7, 7, f"{prefix}tie")]
+    out += [("a", None, 10, f"{prefix}low"), ("a", 50, None, f"{prefix}high"), ("a", None, None, f"{prefix}all"), (None, 1, 2, f"{prefix}none"), ("a", 7, 7, f"{prefix}tie"), ("a", 7, 7, f"{prefix}tie"), ("a", 30, 20, f"{prefix}empty")]
     return out
 
 
