@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import contains, dominates, overlaps, period
 from .functions import terms as T
-from .operators import browse, canonical, combined, contexts, mutation, provenance, queries as q, ranges, traversal, valued, versions
+from .functions.sql import register
+from .operators import browse, canonical, combined, contexts, deltas, indexes, mutation, provenance, queries as q, ranges, traversal, valued, versions
 from .plans import vocabulary
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
-from .session import materialize, table
+from .session import materialize, shared_dir, table
 from .sources.text import dot, manchester_frames, owl_classes, projection_edges
 
 _E = f"WITH RECURSIVE e AS ({EDGES_SQL})"
@@ -206,6 +209,55 @@ def cone_index(spark: SparkSession, d: str) -> DataFrame:
     return q.broad_cones(edges(spark, d), 64)
 
 
+def counts_by_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Descendant counts after a batch: rich customers placed under a new category, those in debt out of their segment."""
+    e = edges(spark, d)
+    debt = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("segment:"), "c_mktsegment").alias("parent"), F.concat(F.lit("cust:"), "c_custkey").alias("child"))
+    more = _wealthy(spark, d).unionByName(spark.createDataFrame([("*", "wealthy")], "parent string, child string"))
+    return deltas.update_counts(canonical.descendant_counts(e), indexes.EdgeIndex(e), more, debt)
+
+
+_INDEXED = ["region:ASIA", "segment:BUILDING", "nation:NATION_7", "cust:1", "nobody"]
+
+
+def cones_from_index(spark: SparkSession, d: str) -> DataFrame:
+    """(way, term, name): cones from the published index, and from one that is stale, so by walking."""
+    e, path = edges(spark, d), f"{shared_dir(spark)}/conegrid-{uuid4().hex}"
+    root = indexes.publish_cones(e, path)
+    fresh, stale = indexes.ConeIndex(spark, path, root), indexes.ConeIndex(spark, path, "another")
+    return fresh.cones(e, _INDEXED).withColumn("way", F.lit("index")).unionByName(stale.cones(e, _INDEXED).withColumn("way", F.lit("walk")))
+
+
+def walk_or_probe(spark: SparkSession, d: str) -> DataFrame:
+    """The nation is the smallest cone, and cheaper to probe upwards than the segment is to walk."""
+    e = edges(spark, d)
+    return indexes.planned_conjunction(indexes.EdgeIndex(e), canonical.descendant_counts(e), ["segment:BUILDING", "nation:NATION_7"], depth=4)
+
+
+def optimised_put(spark: SparkSession, d: str) -> DataFrame:
+    """(item, parent): an item for each nation, said to be of the nation and of a segment."""
+    e = edges(spark, d)
+    nation = table(spark, d, "nation").select(F.concat(F.lit("new:"), "n_name").alias("item"), F.explode(F.array(F.concat(F.lit("nation:"), "n_name"), F.lit("segment:BUILDING"))).alias("parent"))
+    return indexes.optimised_supers(e, nation)
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Written in SQL: the customers of each region by a lateral table function, whether the region's first nation by
+    name is below it, and a range that holds its key."""
+    e, path = edges(spark, d), f"{shared_dir(spark)}/conegrid-{uuid4().hex}"
+    index = indexes.ConeIndex(spark, path, indexes.publish_cones(e.where("child NOT LIKE 'order:%'"), path, threshold=1))
+    every = e.where("parent LIKE 'region:%' OR parent LIKE 'nation:%'").select("parent").distinct()
+    register(spark, index.rows([r[0] for r in every.collect()]))  # a name a region or nation
+    return spark.sql(
+        """SELECT r.r_name AS region, count(c.name) AS customers, below('nation:' || min(n.first), 'region:' || r.r_name) AS first_below,
+                  canon('key(' || r.r_regionkey || '..)', 'linear') AS spelled, holds('key(2..)', 'key(' || r.r_regionkey || ')', 'linear') AS held
+           FROM {region} r JOIN (SELECT n_regionkey, min(n_name) AS first FROM {nation} GROUP BY n_regionkey) n ON n.n_regionkey = r.r_regionkey,
+                LATERAL cone('region:' || r.r_name) c
+           WHERE c.name LIKE 'cust:%' GROUP BY r.r_name, r.r_regionkey""",
+        region=table(spark, d, "region"), nation=table(spark, d, "nation"),
+    )
+
+
 def topological_levels(spark: SparkSession, d: str) -> DataFrame:
     return traversal.levels(edges(spark, d, lines=True))
 
@@ -577,6 +629,21 @@ SQL = {
     "focus": f"{_E} SELECT 'above' AS side, parent AS name FROM e WHERE child = 'nation:NATION_7' UNION ALL SELECT 'below', child FROM e WHERE parent = 'nation:NATION_7'",
     "narrowing": f"{_E}, {_ANSWER}, u AS (SELECT name AS m, name AS a FROM x UNION SELECT u.m, e.parent FROM u JOIN e ON e.child = u.a) SELECT a AS term, count(*) AS n FROM u WHERE m <> a AND a NOT IN ('*', 'region:ASIA', 'segment:BUILDING') GROUP BY a HAVING count(*) < (SELECT count(*) FROM x)",
     "cone_index": f"{_E}, {_CLOSURE} SELECT a AS term, d AS name FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) >= 64)",
+    "counts_by_delta": f"""{_E}, m AS (SELECT parent, child FROM e WHERE NOT (parent LIKE 'segment:%' AND child IN (SELECT 'cust:' || c_custkey FROM customer WHERE c_acctbal < 0))
+        UNION ALL SELECT '*', 'wealthy' UNION ALL SELECT 'wealthy', 'cust:' || c_custkey FROM customer WHERE c_acctbal > 5000),
+        p AS (SELECT parent AS a, child AS d FROM m UNION SELECT p.a, m.child FROM p JOIN m ON m.parent = p.d)
+        SELECT a AS name, count(*) AS n FROM p GROUP BY a UNION ALL SELECT DISTINCT child, 0 FROM m WHERE child NOT IN (SELECT parent FROM m)""",
+    "cones_from_index": f"{_E}, {_cone('c', *_INDEXED)} SELECT unnest(['index', 'walk']) AS way, term, name FROM c",
+    "walk_or_probe": f"{_E}, {_cone('c', 'segment:BUILDING', 'nation:NATION_7')} SELECT name FROM c GROUP BY name HAVING count(*) = 2",
+    "optimised_put": f"""{_E}, i AS (SELECT 'new:' || n_name AS item, unnest(['nation:' || n_name, 'segment:BUILDING']) AS name FROM nation),
+        h AS (SELECT item, name FROM i UNION SELECT item, e.parent FROM h JOIN e ON e.child = h.name WHERE e.parent <> '*'),
+        j AS (SELECT DISTINCT item FROM i),
+        o AS (SELECT item, e.child AS name FROM j JOIN e ON e.parent = '*' ANTI JOIN h ON h.item = j.item AND h.name = e.child
+            UNION SELECT o.item, e.child FROM o JOIN e ON e.parent = o.name WHERE (o.item, e.child) NOT IN (SELECT item, name FROM h)),
+        x AS (SELECT item, name AS parent FROM j, (SELECT DISTINCT child AS name FROM e WHERE child NOT IN (SELECT parent FROM e)) l WHERE (item, name) NOT IN (SELECT item, name FROM o))
+        FROM x UNION ALL SELECT item, '*' FROM j WHERE item NOT IN (SELECT item FROM x)""",
+    "sql_functions": """WITH c AS (SELECT n_regionkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+        SELECT r_name AS region, n AS customers, true AS first_below, 'key(' || r_regionkey || '..)' AS spelled, r_regionkey >= 2 AS held FROM region JOIN c ON k = r_regionkey""",
     "topological_levels": f"{_EL}, l AS (SELECT '*' AS name, 0 AS level UNION SELECT e.child, level + 1 FROM l JOIN e ON e.parent = l.name) SELECT name, max(level)::BIGINT AS level FROM l WHERE name <> '*' GROUP BY name",
     "ancestor_codes": f"{_E}, {_CLOSURE} SELECT d AS name, string_agg(a, '|' ORDER BY a) AS code FROM (SELECT a, d FROM p UNION SELECT d, d FROM p) GROUP BY d",
     "code_round_trip": f"{_E} SELECT parent, child FROM e",

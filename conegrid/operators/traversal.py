@@ -7,18 +7,29 @@ executor costs a reread.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
-def cones(edges: DataFrame, starts: DataFrame) -> DataFrame:
+#: Edges, or what gives the edges (parent, child) that begin at a frontier's names.
+Edges = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def cones(edges: Edges, starts: DataFrame) -> DataFrame:
     """(term, name): the strict descendants of every term of `starts` (term); unknown terms have none."""
-    found = None
-    frontier = starts.select("term", F.col("term").alias("name")).distinct()
+    return spread(edges, starts.select("term", F.col("term").alias("name")))
+
+
+def spread(edges: Edges, frontier: DataFrame) -> DataFrame:
+    """(term, name): all that is strictly below the names of `frontier` (term, name), for their terms."""
+    found, frontier = None, frontier.select("term", "name").distinct()
     while True:
-        step = frontier.join(edges, frontier["name"] == edges["parent"]).select("term", F.col("child").alias("name")).distinct()
+        near = edges(frontier) if callable(edges) else edges
+        step = frontier.join(near, frontier["name"] == near["parent"]).select("term", F.col("child").alias("name")).distinct()
         step = materialize(step if found is None else step.join(found, ["term", "name"], "left_anti"))
         if step.isEmpty():
             return step if found is None else found
@@ -43,21 +54,25 @@ def ancestors_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, root: str = "*") -> DataFrame:
     """(name, level): the longest path from the root; sorted by level and name, a topological order.
-    A graph with a cycle is refused (ValueError): its paths would not end, so there would be more rounds
-    than names. Names that the root does not reach are left out."""
-    most = edges.select("child").distinct().count()
-    frontier, found, at = edges.sparkSession.createDataFrame([(root,)], "name string"), None, 0
-    while True:
+    A graph with a cycle below the root is refused (ValueError). Names that the root does not reach are left out.
+
+    A round takes the names whose parents all have a level; one that takes none while names are left is a cycle."""
+    session = edges.sparkSession
+    reached = cones(edges, session.createDataFrame([(root,)], "term string")).select("name").union(session.createDataFrame([(root,)], "name string"))
+    rest = materialize(edges.select("parent", "child").distinct().join(reached.withColumnRenamed("name", "parent"), "parent", "left_semi"))
+    placed, found, at, left = session.createDataFrame([(root,)], "parent string"), None, 0, rest.count()
+    while left:
         at += 1
-        frontier = materialize(frontier.join(edges, frontier["name"] == edges["parent"]).select(F.col("child").alias("name")).distinct())
-        if frontier.isEmpty():
-            break
-        if at > most:
+        after = rest.join(placed, "parent", "left_anti")
+        ready = rest.join(placed, "parent", "left_semi").select("child").distinct().join(after.select("child"), "child", "left_anti")
+        step = materialize(ready.select(F.col("child").alias("name"), F.lit(at).cast("long").alias("level")))
+        if step.isEmpty():
             raise ValueError("the graph has a cycle")
-        step = frontier.withColumn("level", F.lit(at).cast("long"))
         found = step if found is None else found.unionByName(step)
-    found = edges.sparkSession.createDataFrame([], "name string, level long") if found is None else found
-    return found.groupBy("name").agg(F.max("level").alias("level"))
+        # edges of names placed before are done with; the others wait for their parents
+        rest = materialize(after)
+        placed, left = step.select(F.col("name").alias("parent")), rest.count()
+    return session.createDataFrame([], "name string, level long") if found is None else found
 
 
 def closure(edges: DataFrame) -> DataFrame:
