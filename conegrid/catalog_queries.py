@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions.values import contains, dominates, overlaps, period
 from .functions import terms as T
 from .functions.sql import register
+from .operators.dominance import dominance_join
+from .operators.group_store import GroupStore
 from .operators import browse, canonical, combined, contexts, deltas, indexes, mutation, provenance, queries as q, ranges, traversal, valued, versions
 from .plans import vocabulary
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
@@ -217,6 +219,23 @@ def counts_by_delta(spark: SparkSession, d: str) -> DataFrame:
     return deltas.update_counts(canonical.descendant_counts(e), indexes.EdgeIndex(e), more, debt)
 
 
+def diff_by_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(name, change) between two versions of a store, the second made by a batch: customers in debt leave their segment."""
+    store = GroupStore(spark, f"{shared_dir(spark)}/conegrid-{uuid4().hex}", digits=2)
+    debt = table(spark, d, "customer").where("c_acctbal < -900").select(F.concat(F.lit("segment:"), "c_mktsegment").alias("parent"), F.concat(F.lit("cust:"), "c_custkey").alias("child"))
+    before = store.commit(edges(spark, d))
+    return store.diff(before, store.commit_batch(spark.createDataFrame([("*", "added")], "parent string, child string"), debt))
+
+
+def dominance_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(nation, part): which parts fit into a box that a nation's number gives; sides in any order."""
+    size = lambda *sides: F.reverse(F.array_sort(F.array(*[F.col(s).cast("double") if isinstance(s, str) else F.lit(float(s)) for s in sides])))
+    boxes = table(spark, d, "nation").withColumn("twice", F.col("n_nationkey") * 2).select(F.lit(1).alias("g"), "n_name", size("n_nationkey", "twice", 12).alias("at"))
+    parts = table(spark, d, "part").where("p_size IS NOT NULL").select(F.lit(1).alias("g"), "p_partkey", size("p_size", 20, 10).alias("at"))
+    fits = lambda r, p: F.forall(F.arrays_zip(r["at"].alias("r"), p["at"].alias("p")), lambda x: x["p"] <= x["r"])
+    return dominance_join(boxes, parts, ["g"], "at", fits).select(F.col("r.n_name").alias("nation"), F.col("p.p_partkey").alias("part"))
+
+
 _INDEXED = ["region:ASIA", "segment:BUILDING", "nation:NATION_7", "cust:1", "nobody"]
 
 
@@ -341,7 +360,9 @@ def _typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def canonical_units(spark: SparkSession, d: str) -> DataFrame:
     heads = spark.createDataFrame([(h, k) for h, k, _, _ in _SPELLINGS], "head string, kind string").distinct()
-    return valued.canonical_names(spark.createDataFrame([(f"{h}({a})",) for h, _, a, _ in _SPELLINGS], "name string"), heads)
+    fixed = spark.createDataFrame([(f"{h}({a})",) for h, _, a, _ in _SPELLINGS], "name string")
+    parts = table(spark, d, "part").where("p_size > 0").select(F.concat(F.lit("weight("), F.col("p_size").cast("string"), F.lit("g.."), F.col("p_size").cast("string"), F.lit("kg)")).alias("name"))
+    return valued.canonical_names(fixed.union(parts).distinct(), heads)
 
 
 def kind_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -397,6 +418,21 @@ def combined_reduction(spark: SparkSession, d: str) -> DataFrame:
     return combined.reduce_edges(*_priced_graph(spark, d))
 
 
+def typed_union(spark: SparkSession, d: str) -> DataFrame:
+    return combined.get_any(*_typed_graph(spark, d), [["price(..5000)"], ["time(1995-03)", "segment:BUILDING"], ["nobody"]])
+
+
+def typed_refinements(spark: SparkSession, d: str) -> DataFrame:
+    """What narrows the customers and orders of a segment right below the prices: the ranges, and the prices outside them."""
+    return combined.refinements(*_typed_graph(spark, d), ["segment:BUILDING"], "price")
+
+
+def typed_entailed(spark: SparkSession, d: str) -> DataFrame:
+    """Claims among categories, ranges and orders; between a range and an order only containment makes them."""
+    e, vals = _typed_graph(spark, d)
+    return combined.entailed(e, vals, q.names(e).where("name LIKE 'order:%' OR name IN ('bargain', 'costly', 'early', 'price(..50000)')"))
+
+
 def combined_contraction(spark: SparkSession, d: str) -> DataFrame:
     """Prices below 20000 removed: their orders go to the range that held them."""
     e, vals = _priced_graph(spark, d)
@@ -509,7 +545,8 @@ def overlay_query(spark: SparkSession, d: str) -> DataFrame:
 
 def prelude_heads(spark: SparkSession, d: str) -> DataFrame:
     graph = vocabulary.adopt(edges(spark, d).where("parent = '*'"), vocabulary.prelude(spark))
-    return valued.kinds(graph)
+    brands = table(spark, d, "part").select(F.lit("length").alias("parent"), F.concat(F.lit("brand:"), "p_brand").alias("child")).distinct()
+    return valued.kinds(graph.unionByName(brands))  # what hangs below a head is a head of its kind
 
 
 def _orders_context(spark: SparkSession, d: str) -> DataFrame:
@@ -633,6 +670,9 @@ SQL = {
         UNION ALL SELECT '*', 'wealthy' UNION ALL SELECT 'wealthy', 'cust:' || c_custkey FROM customer WHERE c_acctbal > 5000),
         p AS (SELECT parent AS a, child AS d FROM m UNION SELECT p.a, m.child FROM p JOIN m ON m.parent = p.d)
         SELECT a AS name, count(*) AS n FROM p GROUP BY a UNION ALL SELECT DISTINCT child, 0 FROM m WHERE child NOT IN (SELECT parent FROM m)""",
+    "diff_by_groups": "SELECT 'cust:' || c_custkey AS name, 'changed' AS change FROM customer WHERE c_acctbal < -900 UNION ALL SELECT 'added', 'added'",
+    "dominance_pairs": """WITH b AS (SELECT n_name AS nation, list_sort([n_nationkey, n_nationkey * 2, 12]) AS s FROM nation), p AS (SELECT p_partkey AS part, list_sort([p_size, 20, 10]) AS t FROM part WHERE p_size IS NOT NULL)
+        SELECT nation, part FROM b JOIN p ON t[1] <= s[1] AND t[2] <= s[2] AND t[3] <= s[3]""",
     "cones_from_index": f"{_E}, {_cone('c', *_INDEXED)} SELECT unnest(['index', 'walk']) AS way, term, name FROM c",
     "walk_or_probe": f"{_E}, {_cone('c', 'segment:BUILDING', 'nation:NATION_7')} SELECT name FROM c GROUP BY name HAVING count(*) = 2",
     "optimised_put": f"""{_E}, i AS (SELECT 'new:' || n_name AS item, unnest(['nation:' || n_name, 'segment:BUILDING']) AS name FROM nation),
@@ -667,14 +707,15 @@ SQL = {
     "node_json": f"""{_E}, {_CLOSURE}, n AS (SELECT a, count(*) AS n FROM p GROUP BY a), u AS (SELECT child, to_json(list(parent ORDER BY parent))::VARCHAR AS up FROM e GROUP BY child)
         SELECT child AS name, '{{"name":' || to_json(child)::VARCHAR || ',"parents":' || up || ',"descendant_count":' || coalesce(n, 0) || '}}' AS json FROM u LEFT JOIN n ON a = child""",
     "overlay_query": "SELECT DISTINCT 'doc:' || d.doc_id AS name FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE lang = 'en' AND quality = 1",
-    "prelude_heads": "SELECT unnest(['weight', 'length', 'duration', 'area', 'volume', 'speed', 'pressure', 'temperature', 'energy']) AS head, 'linear' AS kind UNION ALL FROM (VALUES ('count', 'count'), ('time', 'calendar'), ('geo', 'prefix'), ('size', 'dominance'))",
+    "prelude_heads": "SELECT unnest(['weight', 'length', 'duration', 'area', 'volume', 'speed', 'pressure', 'temperature', 'energy']) AS head, 'linear' AS kind UNION ALL FROM (VALUES ('count', 'count'), ('time', 'calendar'), ('geo', 'prefix'), ('size', 'dominance')) UNION ALL SELECT DISTINCT 'brand:' || p_brand, 'linear' FROM part WHERE p_brand IS NOT NULL",
     "fca_extent": "SELECT o_custkey::VARCHAR AS obj FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F') AND bool_or(o_orderpriority = '1-URGENT')",
     "fca_closure": "WITH i AS (SELECT n_name AS obj, unnest([r_name, 'key:' || (n_nationkey % 5)]) AS attr FROM nation JOIN region ON n_regionkey = r_regionkey), x AS (SELECT obj FROM i WHERE attr = 'key:1') SELECT attr FROM (SELECT DISTINCT * FROM i) WHERE obj IN (FROM x) GROUP BY attr HAVING count(*) = (SELECT count(DISTINCT obj) FROM x)",
     "fca_density": "WITH i AS (SELECT DISTINCT o_custkey, unnest(['status:' || o_orderstatus, 'priority:' || o_orderpriority]) AS a FROM orders) SELECT count(DISTINCT o_custkey) AS objects, count(DISTINCT a) AS attributes, count(*) AS pairs, round(count(*) / (count(DISTINCT o_custkey) * count(DISTINCT a)), 6) AS density FROM i",
     "fca_concepts": f"{_CONCEPTS} SELECT array_to_string(i, '|') AS intent, support FROM k",
     "fca_covers": f"""{_CONCEPTS} SELECT array_to_string(a.i, '|') AS upper, array_to_string(b.i, '|') AS lower FROM k a JOIN k b ON len(a.i) < len(b.i) AND list_has_all(b.i, a.i)
         WHERE NOT EXISTS (SELECT 1 FROM k c WHERE len(a.i) < len(c.i) AND len(c.i) < len(b.i) AND list_has_all(c.i, a.i) AND list_has_all(b.i, c.i))""",
-    "canonical_units": "SELECT name, canonical FROM (VALUES " + ", ".join(f"('{h}({a})', '{h}({b})')" for h, _, a, b in _SPELLINGS) + ") v(name, canonical)",
+    "canonical_units": "SELECT name, canonical FROM (VALUES " + ", ".join(f"('{h}({a})', '{h}({b})')" for h, _, a, b in _SPELLINGS) + """) v(name, canonical)
+        UNION SELECT 'weight(' || p_size || 'g..' || p_size || 'kg)', 'weight(' || (p_size // gcd(p_size, 1000)) || CASE WHEN p_size % 1000 = 0 THEN '' ELSE '/' || (1000 // gcd(p_size, 1000)) END || 'kg..' || p_size || 'kg)' FROM part WHERE p_size > 0""",
     "kind_resolution": "SELECT head, kind FROM (VALUES ('price', 'linear'), ('time', 'calendar'), ('lines', 'count'), ('box', 'dominance'), ('geo', 'prefix')) v(head, kind)",
     "space_check": "SELECT head, spaces, true AS sound FROM (VALUES ('price', 'linear:count'), ('time', 'linear:time'), ('lines', 'linear:count'), ('box', 'dominance:length:3'), ('geo', 'prefix')) v(head, spaces)",
     "virtual_range_price": _priced("c BETWEEN 100000 AND 5000000"),
@@ -685,6 +726,13 @@ SQL = {
     "combined_reduction": f"""{_T}, k AS ({_KNOWN}) FROM k UNION SELECT 'price', tag FROM t UNION SELECT tag, name FROM t UNION SELECT 'costly', name FROM t WHERE c >= 19000000 AND c < 20000000""",
     "combined_contraction": f"""{_T}, k AS ({_KNOWN}) FROM k UNION SELECT 'price', tag FROM t WHERE c >= 2000000 UNION SELECT tag, name FROM t WHERE c >= 2000000
         UNION SELECT 'price(..50000)', name FROM t WHERE c < 2000000 UNION SELECT 'costly', name FROM t WHERE c >= 19000000 AND c < 20000000""",
+    "typed_union": f"""{_T} SELECT DISTINCT unnest([tag, name]) AS name FROM t WHERE c <= 500000
+        UNION SELECT name FROM t JOIN customer ON o_custkey = c_custkey WHERE strftime(day, '%Y-%m') = '1995-03' AND c_mktsegment = 'BUILDING'""",
+    "typed_refinements": f"""{_T}, b AS (SELECT c, tag FROM t JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')
+        SELECT term, n FROM (SELECT 'price(..50000)' AS term, count(*) AS n FROM b WHERE c <= 5000000 UNION ALL SELECT 'price(200000..)', count(*) FROM b WHERE c >= 20000000
+            UNION ALL SELECT tag, count(*) FROM b WHERE c > 5000000 AND c < 20000000 GROUP BY tag) WHERE n > 0""",
+    "typed_entailed": f"""{_T} SELECT unnest(['bargain', 'price(..50000)']) AS sup, name AS sub FROM t WHERE c <= 5000000 UNION ALL SELECT 'costly', name FROM t WHERE c >= 20000000
+        UNION ALL SELECT 'early', name FROM t WHERE year(day) <= 1993 UNION ALL SELECT 'bargain', 'price(..50000)'""",
     "price_bands": "WITH o AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS p FROM orders) SELECT a.o_orderkey AS band, b.o_orderkey AS held FROM o a JOIN o b ON b.p >= a.p AND b.p <= a.p + 10",
     "periods_overlap": f"{_PERIODS} SELECT a.k AS one, b.k AS other FROM o a JOIN o b ON a.c = b.c AND a.k < b.k AND a.lo <= b.hi AND b.lo <= a.hi",
     "periods_within": f"{_PERIODS} SELECT a.k AS outer_order, b.k AS inner_order FROM o a JOIN o b ON a.c = b.c AND a.k <> b.k AND a.lo <= b.lo AND b.hi <= a.hi",

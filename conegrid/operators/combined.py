@@ -1,4 +1,5 @@
-"""Changes in the combined order: reduction, placing and contraction where containment of values counts.
+"""Changes and reads in the combined order: reduction, placing, contraction, unions, refinements and excerpts
+where containment of values counts.
 
 Containment is computed, never asserted, so it enters a change as hops from each value's nearest
 containers; hops take part in every path and are never results themselves. The edge from a head to its
@@ -7,16 +8,21 @@ value (the anchor) is schema: it is a step of paths too, but no path makes it re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.units import UNITS, Units
 from ..session import materialize
+from .canonical import entailed as asserted_claims
 from .canonical import implied
 from .mutation import _rooted, bridge
+from .mutation import excerpt as mutation_excerpt
+from .queries import absorb, facets, names
 from .traversal import ancestors_of
-from .valued import _wide, disjoint_parents, held_pairs, materialise, values
+from .valued import _wide, disjoint_parents, get, held_pairs, materialise, values
 
 
 def nearest_containers(vals: DataFrame, inner: DataFrame | None = None) -> DataFrame:
@@ -84,3 +90,44 @@ def remove(edges: DataFrame, vals: DataFrame, gone: DataFrame) -> DataFrame:
     hops = nearest_containers(kept, lost)
     bridged = materialize(bridge(edges.select("parent", "child").unionByName(hops).distinct(), gone))
     return reduce_edges(bridged, kept)
+
+
+def whole(edges: DataFrame, vals: DataFrame) -> DataFrame:
+    """(parent, child): the asserted edges and the hops of containment, whose paths are the combined order."""
+    return materialize(edges.select("parent", "child").unionByName(nearest_containers(vals)).distinct())
+
+
+def get_any(edges: DataFrame, vals: DataFrame, query: list[list[str]], units: Units = UNITS) -> DataFrame:
+    """(name) in any of the conjunctions, whose typed terms need not be present; none: nothing."""
+    parts = [get(edges, vals, terms, units) for terms in absorb(query)]
+    return reduce(DataFrame.union, parts).distinct() if parts else names(edges).limit(0)
+
+
+def refinements(edges: DataFrame, vals: DataFrame, terms: list[str], category: str, units: Units = UNITS) -> DataFrame:
+    """(term, n): what lies right below a category and narrows the answer to `terms` without emptying it. Below
+    a value these are its own items and the values that it holds nearest."""
+    both = whole(edges, vals)
+    members = materialize(get(edges, vals, terms, units))
+    anchors = F.col("parent") == F.regexp_extract("child", T.TERM, 1)
+    inner = both.where(F.col("parent") == category)
+    if T.split_term(category) is None:  # a head shows the values that no other one holds, its other children as they are
+        held = both.where(~anchors & F.col("child").rlike(T.TERM) & F.col("parent").rlike(T.TERM)).select("child").distinct()
+        inner = inner.where(~anchors).unionByName(inner.where(anchors).join(held, "child", "left_anti"))
+    return facets(both, members, inner.select(F.col("child").alias("term")).distinct())
+
+
+def entailed(edges: DataFrame, vals: DataFrame, scope: DataFrame) -> DataFrame:
+    """(sup, sub): claims of the combined order with both ends in `scope` (name)."""
+    return asserted_claims(whole(edges, vals), scope)
+
+
+def excerpt(edges: DataFrame, vals: DataFrame, answer: DataFrame, context: bool = False) -> DataFrame:
+    """The graph of an answer (name): its asserted edges, reduced as they were; with `context` also everything above it
+    in the combined order. A typed value brings its head, so that it keeps its meaning."""
+    chosen = answer.select("name").distinct()
+    if context:
+        chosen = chosen.union(ancestors_of(whole(edges, vals), chosen.select(F.col("name").alias("term"))).select("name")).distinct()
+    chosen = materialize(chosen)
+    heads = vals.join(chosen, "name", "left_semi").select(F.col("head").alias("name")).distinct()
+    kinds = ancestors_of(edges, heads.select(F.col("name").alias("term"))).select("name")
+    return mutation_excerpt(edges, chosen.union(heads).union(kinds).distinct())

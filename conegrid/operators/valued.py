@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.units import UNITS, Units, declared
 from ..session import materialize
+from .dominance import dominance_join
 from .queries import names
 from .ranges import points_in_ranges
 from .traversal import ancestors_of, cones, descendants
@@ -91,7 +92,7 @@ def held_pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """(term, name): every value of `outer` (term, head, v) with every other value of `inner` (name, head, v) inside it.
 
     Ranges are joined by ranks: an end's double, moved outwards by far more than its rounding, proposes,
-    and the exact ratios decide. A code is looked up by its prefixes. Tuples are joined by their largest part, then exactly."""
+    and the exact ratios decide. A code is looked up by its prefixes, tuples are joined on a grid of cells."""
     here = {r[0] for r in outer.select(_form("v")).distinct().collect()}  # three at most
     ratio = lambda x: x["n"].cast("double") / x["d"].cast("double")
     near = lambda v, end, sign: ratio(v[end]) + sign * 1e-9 * F.abs(ratio(v[end]))
@@ -103,9 +104,8 @@ def held_pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
         points = both(inner, "range").withColumn("at", near(F.col("v"), "lo", 0))
         out.append(points_in_ranges(points, ranges, ["head", "space"], "at", "lo", "hi", test=exact))
     if "tuple" in here:
-        largest = lambda sign: ratio(F.col("v.parts")[0]) * (1 + sign * 1e-9)
-        boxes = both(outer, "tuple").withColumns({"lo": F.lit(None).cast("double"), "hi": largest(1)})
-        out.append(points_in_ranges(both(inner, "tuple").withColumn("at", largest(0)), boxes, ["head", "space"], "at", "lo", "hi", test=exact))
+        at = lambda rows: both(rows, "tuple").withColumn("point", F.transform("v.parts", ratio))
+        out.append(dominance_join(at(outer), at(inner), ["head", "space"], "point", exact))
     found = [x.select("r.term", "p.name") for x in out]
     if "code" in here:
         codes = outer.where(_form("v") == "code").select("term", "head", F.col("v.code").alias("prefix"))
