@@ -48,7 +48,7 @@ def corpus(seed=2):
     return [*rows, rows[12], rows[12], (None, rows[20][1]), (None, "nobody else has this text at all"), (3, "another text under a known id here")]
 
 
-@pytest.mark.parametrize("num, rows, tokens", [(90, 4000, 1 << 21), (90, 5, 1 << 21), (80, 4000, 300), (50, 4, 1 << 21)])
+@pytest.mark.parametrize("num, rows, tokens", [(90, 4000, 1 << 21), (80, 5, 300)])
 def test_components_match_brute_force(spark, num, rows, tokens):
     data = corpus()
     frame = spark.createDataFrame([(i, t, "own", "x") for i, t in data], DOCS)
@@ -74,7 +74,7 @@ def test_linked_sets_always_share_a_cell():
             assert np.intersect1d(bands.cells(np.unique(a)), bands.cells(np.unique(b))).size
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_regions_are_joined_exactly(seed):
     rng = np.random.default_rng(seed)
     base = [rng.choice(10_000, 60, replace=False) for _ in range(4)]
