@@ -214,6 +214,24 @@ SELECT doc_id, n_features, weight, score, CASE WHEN k <= n THEN k END AS "rank"
 """
 
 
+OP12_SQL = """
+WITH RECURSIVE doc AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (
+    SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                              ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM doc),
+size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN size a ON a.r = x JOIN size b ON b.r = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+near AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x AS r, y FROM near UNION SELECT reach.r, near.y FROM reach JOIN near ON near.x = reach.y),
+least AS (SELECT reach.r, min(doc.doc_id) AS component FROM reach JOIN doc ON doc.r = reach.y GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(component, doc_id), doc_id) AS component_id
+FROM doc LEFT JOIN size USING (r) LEFT JOIN least USING (r)
+"""
+
+
 def op13_sql(clusters: int = 8, rounds: int = 10, dim: int = 64, seed: int = 3) -> str:
     """The rounds written out one after another."""
     steps = [f"""
@@ -245,4 +263,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference": OP3_SQL, "op9_topk": OP9_SQL, "op11_target_sampling": OP11_SQL, "op13_annulus_kmeans": op13_sql()}
+    return {"op3_preference": OP3_SQL, "op9_topk": OP9_SQL, "op11_target_sampling": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_annulus_kmeans": op13_sql()}
