@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries inside Spark partitions.
 
 Every batch's distinct pattern matches become token-position rows; a recursive query joins adjacent
-tokens with the merge table and contracts pairs until none is left. Each step takes a word's pair of
-least rank: the leftmost one, or, where no merge with the new token can rank before it, all of its
-disjoint places from the left at once, which gives the same tokens and keeps long runs logarithmic.
+tokens with the merge table and contracts pairs until none is left. Short words lose their leftmost pair
+of least rank a step; longer ones every pair that no other merge can overtake, which gives the same tokens
+in a number of steps that hardly grows with the word.
 Decoding joins ids with the vocabulary and aggregates the bytes in position order.
 
 Null text counts as empty (no ids; the digests of no bytes). Lone surrogates cannot occur in Spark
@@ -47,42 +47,75 @@ with recursive t(k, tok, step) as (
 select t.k, t.tok
 from t join (select k >> 6 as w, max(step) as step from t group by k >> 6) l on t.k >> 6 = l.w and t.step = l.step
 """
-#: For longer words: all disjoint places of a pair in one step where that is safe. The steps of a run are
-#: bounded, so that their rows are; what is not finished then starts the next run.
-STEPS = 32
+#: For longer words: every place that nothing can overtake, in one step. `ending` and `beginning` are the least
+#: ranks of a token that ends, or begins, with the bytes of two adjacent tokens. A pair of rank `made` is contracted if no
+#: token of lesser rank can take its left or right part first, and none can take what it makes; of a run of one
+#: token, every second place from such a one on. Two adjacent tokens whose bytes no token holds are never joined, so there
+#: the word falls into parts; a part's leftmost least pair is always contracted, and a part without a pair is done.
+#: The rows of a run are bounded by its steps; what is not finished then starts the next run.
+ROWS = 3_000_000
 ENCODE = """
-with recursive t(w, pos, tok, step) as (
-    select w, pos, tok, 0 from byte_rows
+with recursive t(part, g, tok, step, done) as (
+    select part, g, tok::bigint, 0, false from byte_rows
     union all
     (with near as (
-        select w, pos, tok, step, lead(tok) over win as nxt, row_number() over win as k from t
-        window win as (partition by w order by pos)),
-    pair as (select near.*, m.made, m.alone from near left join merges m on near.tok = m.a and near.nxt = m.b),
-    least_rank as (select w, min(made) as made from pair where made is not null group by w),
+        select part, g, tok, step, lag(tok) over win as prev, lead(tok) over win as nxt, lead(tok, 2) over win as nxt2
+        from t where not done window win as (partition by part order by g)),
+    pair as (
+        select near.* exclude (part), ab, made, ending, beginning, prev is not distinct from tok and nxt is not distinct from tok as repeats
+        from near left join links on ((tok << 20) | nxt) = ab),
+    cut as (
+        select *, row_number() over win as k, lag(ending) over win as before, lead(beginning) over win as after,
+            max(case when repeats then null else g end) over (win rows unbounded preceding) as start_g,
+            coalesce(sum(case when ab is null then 1 else 0 end) over (win rows between unbounded preceding and 1 preceding), 0)::bigint as part
+        from pair window win as (order by g)),
+    around as (
+        select *, min(made) over (partition by part) as least, max(case when repeats then null else k end) over (order by g rows unbounded preceding) as start
+        from cut),
     cand as (
-        select p.w, p.k, p.alone, row_number() over (partition by p.w order by p.k) as c
-        from pair p join least_rank l on p.w = l.w and p.made = l.made),
-    chosen as (
-        select w, k from (
-            select w, k, alone, c, row_number() over (partition by w, k - c order by k) as in_run from cand)
-        where case when alone then c = 1 else in_run % 2 = 1 end)
-    select p.w, p.pos, case when here.k is not null then p.made else p.tok end, p.step + 1
-    from pair p semi join least_rank l on p.w = l.w
-    left join chosen here on p.w = here.w and p.k = here.k
-    left join chosen before on p.w = before.w and p.k = before.k + 1
-    where before.k is null and p.step < ?)
+        select part, g, k, start, start_g, repeats, made = least as is_least,
+            coalesce(after >= made, true) and (case when repeats then (k - start) % 2 = 0 and ending >= made else coalesce(before > made, true) end) as is_sure,
+            (prev << 20) | made as left_ab, (made << 20) | nxt2 as right_ab, made
+        from around where made is not null),
+    clear as (
+        select c.g, c.start_g, c.repeats
+        from cand c left join links l on c.left_ab = l.ab left join links r on c.right_ab = r.ab
+        where c.is_sure and coalesce(l.ending > c.made, true) and coalesce(r.beginning > c.made, true)),
+    heads as (select g from clear where not repeats union select min(g) from cand where is_least group by part),
+    chosen as (select g from heads union select c.g from clear c join heads h on c.start_g = h.g where c.repeats),
+    marked as (
+        select a.part, a.g, a.tok, a.step, a.made, a.least, here.g is not null as first, coalesce(lag(here.g is not null) over (order by a.g), false) as second
+        from around a left join chosen here on a.g = here.g)
+    select part, g, case when first then made else tok end, step + 1, least is null from marked where not second and step < ?)
 )
-select t.w, t.pos, t.tok, t.step from t join (select w, max(step) as step from t group by w) l on t.w = l.w and t.step = l.step
+select g, part, tok, done from t where done or step = ?
 """
 
 
 def merge_rows(ranks: dict[bytes, int]) -> pa.Table:
-    """All pairs of tokens whose bytes make a token: (a, b, made, alone). alone: some merge with the
-    made token ranks before it, so that only one place may be contracted at a time."""
-    rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    early = {a for a, _, r in rows if r < a} | {b for _, b, r in rows if r < b}
-    a, b, made = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
-    return pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "made": pa.array(made, pa.int32()), "alone": pa.array([m in early for m in made], pa.bool_())})
+    """All pairs of tokens whose bytes make a token, as (ab, made): both tokens in one number."""
+    rows = [(ranks[t[:i]] << 20 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    ab, made = map(list, zip(*rows, strict=True)) if rows else ([], [])
+    return pa.table({"ab": pa.array(ab, pa.int64()), "made": pa.array(made, pa.int64())})
+
+
+def link_rows(ranks: dict[bytes, int]) -> pa.Table:
+    """All pairs of tokens whose bytes some token holds, as (ab, made, ending, beginning): the rank of the
+    token that they are, and the least ranks of tokens that end and begin with them (null: none)."""
+    ends: dict[bytes, int] = {}
+    begins: dict[bytes, int] = {}
+    held: set[bytes] = set()
+    for t, r in ranks.items():
+        for i in range(len(t) - 1):
+            ends[t[i:]] = min(r, ends.get(t[i:], r))
+            begins[t[: len(t) - i]] = min(r, begins.get(t[: len(t) - i], r))
+            held.update(t[i:j] for j in range(i + 2, len(t) + 1))
+    rows = []
+    for s in held:
+        about = (ranks.get(s), ends.get(s), begins.get(s))
+        rows += [(ranks[s[:i]] << 20 | ranks[s[i:]], *about) for i in range(1, len(s)) if s[:i] in ranks and s[i:] in ranks]
+    columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return pa.table({c: pa.array(list(x), pa.int64()) for c, x in zip(("ab", "made", "ending", "beginning"), columns, strict=True)})
 
 
 class Coder:
@@ -94,8 +127,9 @@ class Coder:
         self.pattern = regex.compile(pattern)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})  # nothing is spilled to a local folder
         self.con.register("m_in", merge_rows(self.ranks))
-        self.con.execute("create table merges as select * from m_in")
-        self.con.execute("create table pairs as select (a::bigint << 20) | b as ab, made::bigint as made from merges")
+        self.con.execute("create table pairs as select * from m_in")
+        self.con.register("l_in", link_rows(self.ranks))
+        self.con.execute("create table links as select * from l_in")
         self.con.register("v_in", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([t.hex() for t in self.ranks], pa.string())}))
         self.con.execute("create table vocabulary as select * from v_in")
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -130,17 +164,18 @@ class Coder:
         return np.asarray(got["k"])[order] >> 6, np.asarray(got["tok"])[order]
 
     def _long(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        done: list[tuple[np.ndarray, ...]] = []
+        word, done = rows["w"].to_numpy(), []
+        rows = pa.table({"part": rows["w"], "g": np.arange(len(word), dtype=np.int64), "tok": rows["tok"]})
         while len(rows):
+            steps = max(1, ROWS // len(rows))
             self.con.register("byte_rows", rows)
-            got = self.con.execute(ENCODE, [STEPS]).fetchnumpy()
-            w, pos, tok = (np.asarray(got[c]).astype(np.int32) for c in ("w", "pos", "tok"))
-            more = np.asarray(got["step"]) >= STEPS
-            done.append((w[~more], pos[~more], tok[~more]))
-            rows = pa.table({"w": w[more], "pos": pos[more], "tok": tok[more]})
-        w, pos, tok = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.lexsort((pos, w))
-        return w[order], tok[order]
+            got = self.con.execute(ENCODE, [steps, steps]).fetchnumpy()
+            g, part, tok, ready = (np.asarray(got[c]) for c in ("g", "part", "tok", "done"))
+            done.append((g[ready], tok[ready]))
+            rows = pa.table({"part": part[~ready], "g": g[~ready], "tok": tok[~ready]})
+        g, tok = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(g, kind="stable")
+        return word[g[order]], tok[order]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids, put together by an ordered aggregation."""

@@ -448,7 +448,7 @@ def test_bpe_long_matches_and_forgetting(monkeypatch):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    monkeypatch.setattr(bpe_duckdb, "STEPS", 3)
+    monkeypatch.setattr(bpe_duckdb, "ROWS", 5_000)
     rng, worker = np.random.default_rng(8), bpe_duckdb.Worker(path, P.PATTERN, limit=5)
     words = ["".join(rng.choice(list("abcé"), n)) for n in (1, 2, 3, 62, 63, 64, 65, 400)]
     texts = ["=" * 300 + "x" * 3000, "", *[" ".join(rng.choice(words, 6)) for _ in range(40)]]
@@ -457,6 +457,26 @@ def test_bpe_long_matches_and_forgetting(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and decoded == t.encode()
 
 
+def test_bpe_very_long_words():
+    import base64
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, coder = np.random.default_rng(9), bpe_duckdb.Coder(path, P.PATTERN)
+    tokens = [t.decode() for t in ranks if t.isascii()]
+    draw = lambda pieces, n: "".join(rng.choice(pieces, n))
+    kinds = [list("abcdefghijklmnopqrstuvwxyz"), list("ab"), list("etaoin"), ["a", "aa", "aaaaaaa", "b"], ["ation", "inform", "the", "ing", "tion"], list("漢字仮名交文é")]
+    words = [draw(pieces, n) for pieces in kinds for n in (70, 150, 400)] + [draw(tokens, n) for n in (20, 40, 60, 80, 100)]
+    words += [draw(kinds[0], 50_000), "x" * 50_000, draw(kinds[4], 10_000)]
+    got = coder.encode([w.encode() for w in words])
+    for w, ids in zip(words, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc._core_bpe.encode_single_piece(w.encode())
+    assert coder.decode(got) == [w.encode() for w in words]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert simhash.near_duplicates(none).count() == 0
