@@ -12,7 +12,7 @@ from .functions import terms as T
 from .functions.sql import register
 from .operators.dominance import dominance_join
 from .operators.group_store import GroupStore
-from .operators import browse, canonical, combined, contexts, deltas, indexes, mutation, provenance, queries as q, ranges, traversal, valued, versions
+from .operators import browse, canonical, certificates, combined, contexts, deltas, indexes, mutation, provenance, queries as q, ranges, traversal, valued, versions
 from .plans import vocabulary
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
 from .session import materialize, shared_dir, table
@@ -487,6 +487,17 @@ def value_pairs_below(spark: SparkSession, d: str) -> DataFrame:
     return valued.is_below(*_typed_graph(spark, d), table(spark, d, "orders").select(order.alias("sub"), F.explode(sups).alias("sup")).distinct())
 
 
+def certified_below(spark: SparkSession, d: str) -> DataFrame:
+    """Claims about the last order and about prices that need not be present, each proven from the published graph and
+    checked against its root alone."""
+    book = certificates.publish(*_typed_graph(spark, d))
+    last = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    pairs = [("price(10..20)", "bargain"), ("price(10..60000)", "bargain")] + [(f"order:{last}", sup) for sup in ("price(..70000)", "bargain", "early", "nothing")]
+    proofs = [certificates.prove(book, *pair) for pair in pairs]
+    rows = [(p["sub"], p["sup"], certificates.verify(p, book.root)) for p in proofs]
+    return spark.createDataFrame(rows, "sub string, sup string, below boolean")
+
+
 def answer_count(spark: SparkSession, d: str) -> DataFrame:
     return browse.count(edges(spark, d), browse.disjuncts("region:ASIA segment:BUILDING or nation:NATION_7".split()))
 
@@ -750,6 +761,8 @@ SQL = {
         UNION SELECT 'order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_mktsegment = 'BUILDING'""",
     "value_pairs_below": f"""{_T} SELECT DISTINCT name AS sub, unnest(['price(..70000)', 'bargain', 'early', 'time(1994)', 'nothing', 'price(0..)']) AS sup,
         unnest([c <= 7000000, c <= 5000000, year(day) <= 1993, year(day) = 1994, false, true]) AS below FROM t""",
+    "certified_below": f"""{_T} SELECT 'order:' || o_orderkey AS sub, unnest(['price(..70000)', 'bargain', 'early', 'nothing']) AS sup, unnest([c <= 7000000, c <= 5000000, year(day) <= 1993, false]) AS below
+        FROM t WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders) UNION ALL SELECT 'price(10..20)', 'bargain', true UNION ALL SELECT 'price(10..60000)', 'bargain', false""",
     "dot_lines": f"""{_E} SELECT '"' || child || '" -> "' || parent || '";' AS value FROM e""",
 }
 

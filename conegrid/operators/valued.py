@@ -213,16 +213,22 @@ def is_below(edges: DataFrame, vals: DataFrame, pairs: DataFrame, units: Units =
     whole = materialize(edges.select("parent", "child").union(more).distinct())
     every = vals.select("name", "head", "v").union(typed.select("v.canonical", "head", "v")).dropDuplicates(["name"])
     up = ancestors_of(whole, spelled.select(F.col("_sub").alias("term")).distinct())
-    # one computed hop is enough, containment being transitive: from a value at or above sub into a wide one,
-    # then on up by edges
-    at = up.union(spelled.select(F.col("_sub").alias("term"), F.col("_sub").alias("name"))).distinct()
-    at = materialize(at)
-    hop = every.join(at.select("name").distinct(), "name", "left_semi")  # each value met on the way once
-    wide = every.where(_wide("v")).select(F.col("name").alias("term"), "head", "v")
-    held = held_pairs(wide, hop).select(F.col("term").alias("to"), "name")
-    inside = materialize(at.join(held, "name").select("term", F.col("to").alias("name")).distinct())
-    above = ancestors_of(whole, inside.select(F.col("name").alias("term")).distinct()).withColumnRenamed("name", "far")
-    reached = at.union(inside).union(inside.join(above, inside["name"] == above["term"]).select(inside["term"], F.col("far"))).distinct()
+    # containment is transitive, so a value takes one hop into all that hold it and then goes up by edges; what
+    # those reach may be under a value of another head, which takes its own hop in the next round
+    reached = materialize(up.union(spelled.select(F.col("_sub").alias("term"), F.col("_sub").alias("name"))).distinct())
+    wide, front = every.where(_wide("v")).select(F.col("name").alias("term"), "head", "v"), reached
+    while True:
+        hop = materialize(every.join(front.select("name").distinct(), "name", "left_semi"))  # each value met on the way once
+        if hop.isEmpty():
+            break
+        held = held_pairs(wide, hop).select(F.col("term").alias("to"), "name")
+        inside = front.join(held, "name").select("term", F.col("to").alias("name")).distinct()
+        inside = materialize(inside.join(reached, ["term", "name"], "left_anti"))
+        above = ancestors_of(whole, inside.select(F.col("name").alias("term")).distinct()).withColumnRenamed("name", "far")
+        far = inside.join(above, inside["name"] == above["term"]).select(inside["term"], F.col("far").alias("name")).distinct()
+        reached = reached.union(inside)
+        front = materialize(far.join(reached, ["term", "name"], "left_anti"))
+        reached = reached.union(front)
     present = names(whole).withColumnRenamed("name", "_sub").withColumn("_known", F.lit(True))
     found = spelled.join(reached.select(F.col("term").alias("_sub"), F.col("name").alias("_sup"), F.lit(True).alias("_in")), ["_sub", "_sup"], "left").join(present, "_sub", "left")
     below = (F.coalesce("_in", F.lit(False)) | (F.col("_sup") == "*")) & F.coalesce("_known", F.lit(False))
