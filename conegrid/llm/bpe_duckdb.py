@@ -128,8 +128,7 @@ class Coder:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})  # nothing is spilled to a local folder
         self.con.register("m_in", merge_rows(self.ranks))
         self.con.execute("create table pairs as select * from m_in")
-        self.con.register("l_in", link_rows(self.ranks))
-        self.con.execute("create table links as select * from l_in")
+        self.linked = False  # the links are made when a long word is first met
         self.con.register("v_in", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([t.hex() for t in self.ranks], pa.string())}))
         self.con.execute("create table vocabulary as select * from v_in")
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -164,6 +163,10 @@ class Coder:
         return np.asarray(got["k"])[order] >> 6, np.asarray(got["tok"])[order]
 
     def _long(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        if not self.linked:
+            self.con.register("l_in", link_rows(self.ranks))
+            self.con.execute("create table links as select * from l_in")
+            self.linked = True
         word, done = rows["w"].to_numpy(), []
         rows = pa.table({"part": rows["w"], "g": np.arange(len(word), dtype=np.int64), "tok": rows["tok"]})
         while len(rows):
