@@ -80,10 +80,10 @@ def _built() -> tuple[Units, dict[str, str]]:
 UNITS, ANCHORS = _built()
 
 
-def declared(names: list[str], units: Units = UNITS) -> Units:
-    """The units with those that a graph declares by unit-family(NAME) and unit(SPELL=AMOUNT); chains of
-    declarations are followed. ValueError for one that is never resolved or that redefines a unit."""
-    out, todo = dict(units), []
+def resolve(names: list[str], units: Units = UNITS) -> tuple[Units, dict[str, str]]:
+    """The units with those that a graph declares by unit-family(NAME) and unit(SPELL=AMOUNT), chains of
+    declarations followed; and, by spelling, what is wrong with those that cannot be had."""
+    out, todo, wrong = dict(units), [], {}
     for n in names:
         kind, _, body = n.rstrip(")").partition("(")
         if kind == "unit-family":
@@ -94,9 +94,17 @@ def declared(names: list[str], units: Units = UNITS) -> Units:
         known = [(spell, amount_of(value, out)) for spell, value in todo]
         done = [(spell, found) for spell, found in known if found]
         if not done:
-            raise ValueError("units never resolved: " + ", ".join(sorted(f"{a}={b}" for a, b in todo)))
+            return out, wrong | {spell: f"unit {spell}={value} is never resolved" for spell, value in todo}
         for spell, found in done:
             if out.setdefault(spell, found) != found:
-                raise ValueError(f"unit {spell} is defined twice")
+                wrong[spell] = f"unit {spell} is defined twice"
         todo = [t for t, (_, found) in zip(todo, known, strict=True) if not found]
+    return out, wrong
+
+
+def declared(names: list[str], units: Units = UNITS) -> Units:
+    """The units with those that a graph declares. ValueError for one that is never resolved or that redefines a unit."""
+    out, wrong = resolve(names, units)
+    if wrong:
+        raise ValueError("; ".join(wrong[spell] for spell in sorted(wrong)))
     return out

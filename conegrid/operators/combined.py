@@ -1,4 +1,4 @@
-"""Changes and reads in the combined order: reduction, placing, contraction, unions, refinements and excerpts
+"""Changes and reads in the combined order: reduction, placing, moves, contraction, unions, refinements and excerpts
 where containment of values counts.
 
 Containment is computed, never asserted, so it enters a change as hops from each value's nearest
@@ -22,7 +22,7 @@ from .mutation import _rooted, bridge
 from .mutation import excerpt as mutation_excerpt
 from .queries import absorb, facets, names
 from .traversal import ancestors_of
-from .valued import _wide, disjoint_parents, get, held_pairs, materialise, values
+from .valued import _wide, canonical_names, disjoint_parents, get, held_pairs, is_below, kinds, materialise, values
 
 
 def nearest_containers(vals: DataFrame, inner: DataFrame | None = None) -> DataFrame:
@@ -81,6 +81,59 @@ def put(edges: DataFrame, batch: DataFrame, units: Units = UNITS) -> DataFrame:
     return reduce_edges(rooted, vals)
 
 
+def _refuse(bad: DataFrame, why: str) -> None:
+    """ValueError if `bad` has rows; a few of them are named in the message."""
+    rows = bad.limit(5).collect()
+    if rows:
+        raise ValueError(f"{why}: " + ", ".join(" and ".join(map(str, r)) for r in rows))
+
+
+def move(edges: DataFrame, moved: DataFrame, to: list[str], from_: list[str] | None = None, units: Units = UNITS) -> tuple[DataFrame, DataFrame]:
+    """(edges, retracted): the graph with the names of `moved` (name) under all of `to` and no longer under `from_`
+    (None: any parent but those of `to`), and the edges (parent, child) that had to be taken back; an edge that the
+    new parents imply is none of these. What is left without a parent goes under the root.
+
+    All is checked before anything moves. Refused (ValueError): the root or an unknown name in `moved`; an unknown
+    name in `to` that is no value of a typed head, or in `from_`; an item that is not right under all of `from_`, also
+    where it is below it; a destination that is the item or below it; and what `put` refuses."""
+    own = edges.select("parent", "child")
+    heads = materialize(kinds(own))
+    listed = own.sparkSession.createDataFrame([(n,) for n in sorted({*to, *(from_ or [])})], "name string")
+    said = {r["name"]: r["canonical"] for r in canonical_names(listed, heads, units).collect()}  # those that the caller lists
+    to, from_ = [said[n] for n in to], None if from_ is None else [said[n] for n in from_]
+    items = materialize(canonical_names(moved.select("name").distinct(), heads, units).select(F.col("canonical").alias("child")).distinct())
+    listing = lambda column, names_: F.explode(F.array(*map(F.lit, names_)).cast("array<string>")).alias(column)
+    one = own.sparkSession.range(1)
+    known = materialize(own.select(F.col("parent").alias("name")).union(own.select("child")).distinct())
+    _refuse(items.where(F.col("child") == "*"), "the root does not move")
+    _refuse(items.join(known.withColumnRenamed("name", "child"), "child", "left_anti"), "no such name")
+    absent = one.select(listing("name", to)).join(known, "name", "left_anti").withColumn("head", F.regexp_extract("name", T.TERM, 1))
+    _refuse(absent.join(heads, "head", "left_anti").select("name"), "no such category")
+    _refuse(one.select(listing("name", from_ or [])).join(known, "name", "left_anti"), "no such category")
+    if from_ is not None:
+        loose = materialize(items.select(listing("parent", from_), "child").join(own, ["parent", "child"], "left_anti"))
+        if not loose.isEmpty():
+            vals = values(own, units)
+            deep = is_below(own, vals, loose.select(F.col("child").alias("sub"), F.col("parent").alias("sup")), units).where("below")
+            _refuse(deep.select("sub", "sup"), "below, but not right under it")
+            _refuse(loose.select("child", "parent"), "not under it")
+    new = items.select(listing("parent", to), "child")
+    mine = own.join(items, "child", "left_semi").select("parent", "child")
+    old = mine.where((F.col("parent") != "*") & ~F.col("parent").isin(to)) if from_ is None else mine.where(F.col("parent").isin(from_))
+    old = materialize(old.join(new, ["parent", "child"], "left_anti"))
+    # one walk up from the destinations tells of cycles and of old parents that the new ones imply
+    ends = items.select(F.col("child").alias("sup")).union(old.select("parent")).distinct()
+    above = materialize(is_below(own, values(own, units), ends.select(listing("sub", to), "sup"), units).where("below")) if to else None
+    if above is not None:
+        _refuse(above.join(items.select(F.col("child").alias("sup")), "sup", "left_semi").select("sub", "sup"), "would be under itself")
+        implied_ = above.where("sub <> sup").select(F.col("sup").alias("parent")).distinct()
+    rest = own.join(old, ["parent", "child"], "left_anti")
+    if from_ is None and to:
+        rest = rest.join(items.select(F.lit("*").alias("parent"), "child"), ["parent", "child"], "left_anti")
+    done = put(materialize(_rooted(rest, names(own))), new, units)
+    return done, old if above is None else old.join(implied_, "parent", "left_anti").select("parent", "child")
+
+
 def remove(edges: DataFrame, vals: DataFrame, gone: DataFrame) -> DataFrame:
     """`edges` without the names of `gone` (name): what was right below them goes below their parents and, for
     values, below their nearest remaining containers; reduced in the combined order."""

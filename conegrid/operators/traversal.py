@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 #: Edges, or what gives the edges (parent, child) that begin at a frontier's names.
@@ -52,6 +52,58 @@ def ancestors_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return cones(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts)
 
 
+def ancestors_around(edges: DataFrame, starts: DataFrame, barrier: DataFrame) -> DataFrame:
+    """(term, name): what is strictly above every term of `starts` (term) on some way that meets no name of `barrier`
+    (name); those are neither listed nor passed, but a term may be one of them. A term that is no name of the
+    graph is refused (ValueError)."""
+    known = edges.select(F.col("parent").alias("term")).union(edges.select("child"))
+    unknown = starts.select("term").distinct().join(known, "term", "left_anti").orderBy("term").limit(5).collect()  # named in the message
+    if unknown:
+        raise ValueError("no such name: " + ", ".join(r["term"] for r in unknown))
+    open_ = edges.join(barrier.select(F.col("name").alias("parent")), "parent", "left_anti")
+    return ancestors_of(open_.select("parent", "child"), starts)
+
+
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """`rows` with place, counted from 0 in the order of the columns `by`, whose values together must not repeat: sorted
+    by ranges in all tasks, then numbered from the sizes of the ranges."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    laid = materialize(laid).withColumn("_part", F.shiftright("_id", 33))
+    sizes = laid.groupBy("_part").agg(F.count("*").alias("n"))  # a row a shuffle partition
+    starts = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_from"))
+    placed = laid.join(F.broadcast(starts), "_part").withColumn("place", F.col("_from") + F.col("_id") - F.shiftleft("_part", 33))
+    return placed.select(*rows.columns, "place")
+
+
+def topological_order(edges: DataFrame) -> DataFrame:
+    """(name, place): the one topological order that a depth-first walk leaves which takes names from last to first and
+    lists what it is done with backwards; places from 0. A graph with a cycle is refused (ValueError).
+
+    Such a walk comes to a name along the greatest of all paths that end in it, wherever they begin, compared name
+    by name: without cycles, nothing that it has passed before leads there. Backwards, it leaves the names in the
+    order of these paths. A name's greatest path goes on from that of a parent, so a round takes
+    the names whose parents all have theirs; paths are as long as the graph has levels."""
+    own = edges.select("parent", "child").distinct()
+    tops = own.select(F.col("parent").alias("name")).distinct().join(own.select(F.col("child").alias("name")), "name", "left_anti")
+    step = materialize(tops.select("name", F.array("name").alias("path")))
+    found, rest, before = step, own.withColumn("path", F.lit(None).cast("array<string>")), None
+    while True:
+        told = step.select(F.col("name").alias("parent"), F.col("path").alias("_path"))
+        after = materialize(rest.join(told, "parent", "left").select("parent", "child", F.coalesce("path", "_path").alias("path")))
+        if before is not None:
+            discard(before)
+        ready = after.groupBy("child").agg(F.count_if(F.col("path").isNull()).alias("open"), F.max(F.array_append("path", F.col("child"))).alias("path")).where("open = 0")  # a path may begin another
+        step = materialize(ready.select(F.col("child").alias("name"), F.greatest(F.array("child"), "path").alias("path")))
+        if step.isEmpty():
+            break
+        found = found.unionByName(step)
+        rest, before = after.join(step.select(F.col("name").alias("child")), "child", "left_anti"), after
+    if not after.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return numbered(found, "path").select("name", "place")
+
+
 def levels(edges: DataFrame, root: str = "*") -> DataFrame:
     """(name, level): the longest path from the root; sorted by level and name, a topological order.
     A graph with a cycle below the root is refused (ValueError). Names that the root does not reach are left out.

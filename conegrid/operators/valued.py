@@ -23,11 +23,12 @@ from .ranges import points_in_ranges
 from .traversal import ancestors_of, cones, descendants
 
 KIND_NODES = {f"{k}-dimension": k for k in T.KINDS}
+UNIT_DECLARATION = "unit-declaration"
 
 
 def declared_units(edges: DataFrame) -> Units:
-    """The built-in units and those declared under `unit-declaration` (few names, read by the driver)."""
-    found = edges.where("parent = 'unit-declaration'").select("child").distinct().orderBy("child").collect()
+    """The built-in units and those declared under UNIT_DECLARATION (few names, read by the driver)."""
+    found = edges.where(F.col("parent") == UNIT_DECLARATION).select("child").distinct().orderBy("child").collect()
     return declared([r[0] for r in found]) if found else UNITS
 
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.canonical import reduce_edges
+from ..operators.canonical import merge, reduce_edges
+from ..operators.traversal import topological_order
 from ..session import materialize
 
 PROJECTION = "item string, supercategories array<string>"
@@ -88,15 +89,29 @@ def merge_payloads(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return ours.join(theirs.withColumnRenamed("payload", "b"), "name", "full").select("name", F.coalesce("payload", "b").alias("payload"))
 
 
-def read_manchester(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of the class frames of a Manchester text; a class without a superclass is under the root.
-    Names are `<name>` or `:name`."""
+def read_manchester(spark: SparkSession, path: str, context: DataFrame | None = None) -> DataFrame:
+    """Edges of the class frames of a Manchester text. Names are `<name>` or `:name`; `owl:Thing` is no parent. A
+    parent that no frame defines counts only if it is in `context` (parent, child); a class without a
+    parent that counts is under the root."""
     frames = spark.read.text(path, lineSep="Class: ").where("value LIKE '<%' OR value LIKE ':%'")
-    listed = F.regexp_extract("value", r"(?s)SubClassOf:\s*(.*?)\s*(?:\n\s*\w+:|$)", 1)
-    name = r"<([^>]*)>|:([^\s,]+)"
+    listed = F.array_join(F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*SubClassOf:([^\n]*(?:,\s*\n[^\n]*)*)"), F.lit(1)), ",")
+    name = r"<([^>]*)>|(?<!\w):([^\s,]+)"
     local = lambda c: F.regexp_replace(c, "^<|>$|^:", "")
     ups = F.transform(F.regexp_extract_all(listed, F.lit(name), F.lit(0)), local)
-    return projection_edges(frames.select(local(F.regexp_extract("value", name, 0)).alias("item"), ups.alias("supercategories")))
+    found = materialize(projection_edges(frames.select(local(F.regexp_extract("value", name, 0)).alias("item"), ups.alias("supercategories"))).where("child <> '*'"))
+    known = found.select(F.col("child").alias("parent")).union(spark.createDataFrame([("*",)], "parent string"))
+    if context is not None:
+        known = known.union(context.select("parent")).union(context.select("child"))
+    kept = found.join(known.distinct(), "parent", "left_semi").select("parent", "child")
+    loose = found.select("child").distinct().join(kept, "child", "left_anti")
+    both = kept.unionByName(loose.select(F.lit("*").alias("parent"), "child"))
+    placed = both.where("parent <> '*'").select("child").distinct()
+    return both.where("parent <> '*'").unionByName(both.where("parent = '*'").join(placed, "child", "left_anti").select("parent", "child"))
+
+
+def merge_manchester(edges: DataFrame, path: str) -> DataFrame:
+    """`edges` with a Manchester text merged in, whose parents may be names of `edges` alone."""
+    return merge(edges, read_manchester(edges.sparkSession, path, edges))
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
@@ -116,13 +131,23 @@ def owl_classes(edges: DataFrame) -> DataFrame:
     return up.select("name", F.concat(F.lit('<owl:Class rdf:about="#'), safe(F.col("name")), F.lit('">'), F.array_join(inside, ""), F.lit("</owl:Class>")).alias("element"))
 
 
+def _in_order(edges: DataFrame, lines: DataFrame, first: str, last: str) -> DataFrame:
+    """(value): the lines (name, value) in topological order between a first and a last one; written, its part files
+    read one after the other are the text."""
+    ends = edges.sparkSession.createDataFrame([(0, -1, first), (2, -1, last)], "i int, place long, value string")
+    body = lines.join(topological_order(edges), "name").select(F.lit(1).alias("i"), "place", "value")
+    return ends.union(body).where("value <> ''").orderBy("i", "place").select("value")
+
+
 def write_owl(edges: DataFrame, path: str) -> None:
-    """One OWL RDF/XML document; a document is one file, so its lines pass one task in order."""
-    spark = edges.sparkSession
+    """One OWL RDF/XML document in topological order, in part files that follow each other."""
     head = '<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">'
-    ends = spark.createDataFrame([(0, "", head), (2, "", "</rdf:RDF>")], "i int, name string, value string")
-    body = owl_classes(edges).select(F.lit(1).alias("i"), "name", F.col("element").alias("value"))
-    ends.union(body).orderBy("i", "name").select("value").coalesce(1).write.text(path)
+    _in_order(edges, owl_classes(edges).withColumnRenamed("element", "value"), head, "</rdf:RDF>").write.text(path)
+
+
+def write_manchester(edges: DataFrame, path: str) -> None:
+    """A Manchester text of the class frames in topological order, in part files that follow each other."""
+    _in_order(edges, manchester_frames(edges).withColumnRenamed("frame", "value"), "Ontology:", "").write.text(path)
 
 
 def manchester_frames(edges: DataFrame) -> DataFrame:
