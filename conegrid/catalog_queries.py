@@ -12,7 +12,7 @@ from .functions import terms as T
 from .functions.sql import register
 from .operators.dominance import dominance_join
 from .operators.group_store import GroupStore
-from .operators import browse, canonical, certificates, combined, contexts, deltas, indexes, mutation, provenance, queries as q, ranges, traversal, valued, versions
+from .operators import adoption, browse, canonical, certificates, combined, contexts, deltas, indexes, mutation, provenance, queries as q, ranges, traversal, valued, versions
 from .plans import vocabulary
 from .plans.graph import EDGES_SQL, LINES_SQL, edges
 from .session import materialize, shared_dir, table
@@ -277,6 +277,43 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def topological_order(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.topological_order(edges(spark, d))
+
+
+def ancestors_around(spark: SparkSession, d: str) -> DataFrame:
+    """What is above the customers in debt without the way through their nation."""
+    e = edges(spark, d)
+    debt = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("cust:"), "c_custkey").alias("term"))
+    return traversal.ancestors_around(e, debt, _named(e, "nation:%"))
+
+
+def _declares(spark: SparkSession, d: str, factor: str) -> DataFrame:
+    """A unit for every nation, declared with a factor of the table."""
+    unit = F.concat(F.lit("unit(u"), "n_nationkey", F.lit("="), F.expr(f"{factor} + 1"), F.lit("kg)"))
+    return table(spark, d, "nation").select(F.lit("unit-declaration").alias("parent"), unit.alias("child")).unionByName(spark.createDataFrame([("*", "unit-declaration")], "parent string, child string"))
+
+
+def merge_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Ours: customers and units. Theirs: cities under nations, those of one region under a market, and units defined otherwise."""
+    ours = edges(spark, d).where("child NOT LIKE 'order:%'").select("parent", "child").unionByName(_declares(spark, d, "n_nationkey"))
+    at = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = F.concat(F.lit("nation:"), "n_name")
+    filed = at.select(F.when(F.col("r_name") == "ASIA", "market").otherwise(F.concat(F.lit("region:"), "r_name")).alias("parent"), nation.alias("child"))
+    cities = at.select(nation.alias("parent"), F.concat(F.lit("city:"), "n_name").alias("child"))
+    tops = filed.select(F.lit("*").alias("parent"), F.col("parent").alias("child")).distinct()
+    return adoption.preview(ours, filed.unionByName(cities).unionByName(tops).unionByName(_declares(spark, d, "n_regionkey")))
+
+
+def checked_move(spark: SparkSession, d: str) -> DataFrame:
+    """(part, parent, child): a segment's customers moved to another one and to a range of prices that is new; the edges then, and those taken back."""
+    head = spark.createDataFrame([("*", "linear-dimension"), ("linear-dimension", "price")], "parent string, child string")
+    e = edges(spark, d).where("child NOT LIKE 'order:%'").select("parent", "child").unionByName(head)
+    moved = e.where("parent = 'segment:BUILDING'").select(F.col("child").alias("name"))
+    done, gone = combined.move(e, moved, ["segment:MACHINERY", "price(10.00..20)"], ["segment:BUILDING"])
+    return done.withColumn("part", F.lit("edge")).unionByName(gone.withColumn("part", F.lit("retracted")))
+
+
 def topological_levels(spark: SparkSession, d: str) -> DataFrame:
     return traversal.levels(edges(spark, d, lines=True))
 
@@ -695,6 +732,18 @@ SQL = {
         FROM x UNION ALL SELECT item, '*' FROM j WHERE item NOT IN (SELECT item FROM x)""",
     "sql_functions": """WITH c AS (SELECT n_regionkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
         SELECT r_name AS region, n AS customers, true AS first_below, 'key(' || r_regionkey || '..)' AS spelled, r_regionkey >= 2 AS held FROM region JOIN c ON k = r_regionkey""",
+    "topological_order": f"""{_E}, p AS (SELECT name, [name] AS path FROM (SELECT parent AS name FROM e UNION SELECT child FROM e) UNION ALL SELECT e.child, list_append(p.path, e.child) FROM p JOIN e ON e.parent = p.name)
+        SELECT name, row_number() OVER (ORDER BY max(path)) - 1 AS place FROM p GROUP BY name""",
+    "ancestors_around": f"""{_E}, o AS (SELECT parent, child FROM e WHERE parent NOT LIKE 'nation:%'), c AS (SELECT o.child AS term, o.parent AS name FROM o WHERE child IN (SELECT 'cust:' || c_custkey FROM customer WHERE c_acctbal < 0)
+        UNION SELECT c.term, o.parent FROM c JOIN o ON o.child = c.name) SELECT term, name FROM c""",
+    "merge_preview": """WITH n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey)
+        SELECT 'item' AS part, 'city:' || n_name AS name, 'nation:' || n_name AS other FROM n UNION ALL SELECT DISTINCT 'item', 'market', '*' FROM n WHERE r_name = 'ASIA'
+        UNION ALL SELECT unnest(['claim', 'unrelated']), 'nation:' || n_name, 'market' FROM n WHERE r_name = 'ASIA'
+        UNION ALL SELECT 'item', 'unit(u' || n_nationkey || '=' || (n_regionkey + 1) || 'kg)', 'unit-declaration' FROM n WHERE n_regionkey <> n_nationkey
+        UNION ALL SELECT 'conflict', 'u' || n_nationkey, 'unit u' || n_nationkey || ' is defined twice' FROM n WHERE n_regionkey <> n_nationkey""",
+    "checked_move": f"""{_E}, h AS (SELECT parent, child FROM e WHERE child NOT LIKE 'order:%'), m AS (SELECT child FROM h WHERE parent = 'segment:BUILDING')
+        SELECT 'edge' AS part, parent, child FROM h WHERE parent <> 'segment:BUILDING' UNION ALL SELECT 'edge', unnest(['segment:MACHINERY', 'price(10..20)']), child FROM m
+        UNION ALL SELECT 'edge', unnest(['*', 'linear-dimension', 'price']), unnest(['linear-dimension', 'price', 'price(10..20)']) UNION ALL SELECT 'retracted', 'segment:BUILDING', child FROM m""",
     "topological_levels": f"{_EL}, l AS (SELECT '*' AS name, 0 AS level UNION SELECT e.child, level + 1 FROM l JOIN e ON e.parent = l.name) SELECT name, max(level)::BIGINT AS level FROM l WHERE name <> '*' GROUP BY name",
     "ancestor_codes": f"{_E}, {_CLOSURE} SELECT d AS name, string_agg(a, '|' ORDER BY a) AS code FROM (SELECT a, d FROM p UNION SELECT d, d FROM p) GROUP BY d",
     "code_round_trip": f"{_E} SELECT parent, child FROM e",
