@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 CHAIN = 64
 BITS = 17
+#: Words that are labelled at once; a longer text is labelled alone.
+AT_ONCE = 20_000
 
 
 def letters(token: str) -> str:
@@ -220,26 +222,25 @@ def fit(docs: DataFrame, may_learn: Column, max_docs: int = 2_000, shards: int =
     return languages, weights, own[:-1].reshape(k, k) / own[-1]
 
 
-def familiar_features(docs: DataFrame, may_learn: Column, max_docs: int = 2_000) -> np.ndarray:
-    """Which feature buckets occur in a hundredth, and two at least, of the documents that `fit` learns from.
+def familiar_features(docs: DataFrame, may_learn: Column) -> np.ndarray:
+    """Which feature buckets occur in a hundredth, and two at least, of all documents with text and language that may be learned from.
 
     Learned text has most of its features among these, whatever the number of languages; text of
     another script or language, or noise, has not, even where it is labelled as a learned language."""
     usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, seen = 0, np.zeros(1 << BITS, np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                words = [w for w in map(letters, t.split()) if w]
+                words = [w for w in set(map(letters, set(t.split()))) if w]
                 if words:
                     n += 1
                     seen[np.unique(word_features(words)[0])] += 1
         i = np.flatnonzero(seen)
         yield pd.DataFrame({"i": [-1, *i.tolist()], "n": [n, *seen[i].tolist()]})
 
-    parts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInPandas(count, "i long, n long")
+    parts = usable.select("text").mapInPandas(count, "i long, n long")
     found = parts.groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # at most a row a bucket
     total, out = int(found.loc[found["i"] < 0, "n"].sum()), np.zeros(1 << BITS, bool)
     out[found.loc[(found["i"] >= 0) & (found["n"] >= min(total, max(2, total / 100))), "i"].to_numpy(np.int64)] = True
@@ -250,7 +251,7 @@ class _Emissions(dict):
     """Token to place in a table of emission scores, and of the share of familiar features if these are
     given; bounded: rare later tokens are forgotten."""
 
-    def __init__(self, weights: np.ndarray, familiar: np.ndarray | None = None, limit: int = 200_000):
+    def __init__(self, weights: np.ndarray, familiar: np.ndarray | None = None, limit: int = 50_000):
         super().__init__()
         self.weights, self.familiar, self.limit, self.words = weights, familiar, limit, {}
         self.rows = np.zeros((0, weights.shape[1] + (familiar is not None)), np.float32)
@@ -275,6 +276,19 @@ class _Emissions(dict):
             self.rows = np.concatenate([self.rows, new])
 
 
+def stretches(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Where to cut texts, so that no stretch of several has more than `AT_ONCE` words (by half their letters) or 256 texts."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        n = (len(t) + 1) // 2 if isinstance(t, str) else 0
+        if i > lo and (size + n > AT_ONCE or i - lo == 256):
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if len(texts):
+        yield lo, len(texts)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], familiar: np.ndarray | None = None, into: str = "_language") -> DataFrame:
     """`docs` with a struct `into` of lang_pred, score, and the words' labels as spans in order
     (span_langs, and span_words: how many words with a letter); and, if familiar features are given,
@@ -290,8 +304,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], fa
         table, k = _Emissions(w, seen), len(languages)
         for texts in batches:
             out: list[tuple] = []
-            for lo in range(0, len(texts), 256):
-                tokens = [t.split() if isinstance(t, str) else [] for t in texts.iloc[lo : lo + 256]]
+            for lo, hi in stretches(texts):
+                tokens = [t.split() if isinstance(t, str) else [] for t in texts.iloc[lo:hi]]
                 if not languages:
                     out += [nothing] * len(tokens)
                     continue
