@@ -21,7 +21,7 @@ from .canonical import implied
 from .mutation import _rooted, bridge
 from .mutation import excerpt as mutation_excerpt
 from .queries import absorb, facets, names
-from .traversal import ancestors_of
+from .traversal import ancestors_of, even_join
 from .valued import _wide, canonical_names, disjoint_parents, get, held_pairs, is_below, kinds, materialise, values
 
 
@@ -34,7 +34,7 @@ def nearest_containers(vals: DataFrame, inner: DataFrame | None = None) -> DataF
     of tuples all containers are given."""
     inner = vals if inner is None else inner
     wide = vals.where(_wide("v")).select(F.col("name").alias("term"), "head", "v")
-    pairs = held_pairs(wide, inner.select("name", "head", "v")).join(wide.select("term", "v"), "term")
+    pairs = even_join(held_pairs(wide, inner.select("name", "head", "v")), wide.select("term", "v"), "term")  # one range may hold all
     size = lambda end, open_: F.coalesce(F.col(f"v.{end}.n").cast("double") / F.col(f"v.{end}.d").cast("double"), F.lit(open_))
     swept = Window.partitionBy("name").orderBy(F.desc("lo"), "hi", "term")
     before = swept.rowsBetween(Window.unboundedPreceding, -1)
