@@ -18,7 +18,7 @@ import json
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -29,15 +29,15 @@ from .valued import KIND_NODES, _wide
 
 #: Bounds of open ends; doubles that JSON can hold.
 _FAR = 1e300
-#: Entries of a leaf, on average, at most.
+#: Entries of a leaf, on average, at most, by an estimate of their number.
 _LEAF = 16
 #: Gives the bodies of keys that are there.
 Read = Callable[[list[str]], dict[str, str]]
 
 
 class Publication(NamedTuple):
-    entries: DataFrame  # key, hash, body
-    nodes: DataFrame  # prefix, lines
+    leaves: DataFrame  # prefix, entries (key, body), digest
+    nodes: DataFrame  # prefix, lines: what is above the leaves
     depth: int
     levels: int
     root: str
@@ -74,27 +74,37 @@ def _stars(vals: DataFrame) -> tuple[list[DataFrame], int]:
 
 
 def publish(edges: DataFrame, vals: DataFrame) -> Publication:
-    """The entries of a graph and the tree over them; equal graphs have equal roots whatever their layout."""
-    up = edges.groupBy(F.col("child").alias("name")).agg(F.array_sort(F.collect_set("parent")).alias("up"))
+    """The entries of a graph and the tree over them; equal graphs have equal roots whatever their layout.
+
+    Edges are shuffled once, to the leaf of their child; a leaf's lines follow from its entries and are stored nowhere."""
     stars, levels = _stars(vals)
-    entries = up.select(F.concat(F.lit("n\n"), "name").alias("key"), F.to_json("up").alias("body"))
+    none = F.lit(None).cast("string")
+    rows = edges.select(F.concat(F.lit("n\n"), "child").alias("key"), "parent", none.alias("body"))
     for star in stars:
-        entries = entries.unionByName(star)
-    # sorted by digest, so that a lookup reads the row groups that can hold its keys
-    entries = materialize(entries.withColumn("hash", F.sha2("key", 256)).repartitionByRange("hash").sortWithinPartitions("hash"))
-    n, depth = entries.count(), 0
+        rows = rows.unionByName(star.select("key", none.alias("parent"), "body"))
+    n, depth = rows.agg(F.approx_count_distinct("key", 0.01)).first()[0], 0  # an estimate that only the keys decide
     while _LEAF * 16**depth < n:
         depth += 1
-    mark = lambda name: F.concat(name, F.lit(":"), "digest")
-    below, nodes = entries.select("hash", F.sha2("body", 256).alias("digest")).select(F.substring("hash", 1, depth).alias("prefix"), mark("hash").alias("line")), None
-    for length in range(depth, -1, -1):
-        level = materialize(below.groupBy("prefix").agg(F.array_sort(F.collect_list("line")).alias("lines")))
-        nodes = level if nodes is None else nodes.unionByName(level)
-        digests = level.withColumn("digest", F.sha2(F.array_join("lines", "\n"), 256))
-        below = digests.select(F.substring("prefix", 1, length - 1).alias("prefix"), mark("prefix").alias("line"))
-    top = digests.select("digest").first()
+    # dealt by prefix, so entries and leaves are made where the rows lie, and a lookup reads the row groups that can hold its leaf
+    dealt = rows.withColumn("prefix", F.substring(F.sha2("key", 256), 1, depth)).repartitionByRange("prefix")
+    made = dealt.groupBy("prefix", "key").agg(F.array_sort(F.collect_set("parent")).alias("up"), F.max("body").alias("body"))
+    entry = F.struct("key", F.coalesce("body", F.to_json("up")).alias("body"))
+    held = made.groupBy("prefix").agg(F.array_sort(F.collect_list(entry)).alias("entries")).sortWithinPartitions("prefix")
+    leaves = materialize(held.withColumn("digest", F.sha2(F.array_join(_lines("entries"), "\n"), 256)))
+    below, nodes = leaves.select("prefix", "digest"), edges.sparkSession.createDataFrame([], "prefix string, lines array<string>")
+    for length in range(depth - 1, -1, -1):
+        line = F.concat("prefix", F.lit(":"), "digest")
+        level = materialize(below.groupBy(F.substring("prefix", 1, length).alias("up")).agg(F.array_sort(F.collect_list(line)).alias("lines")).withColumnRenamed("up", "prefix"))
+        nodes = nodes.unionByName(level)
+        below = level.select("prefix", F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
+    top = below.select("digest").first()
     nodes = materialize(nodes.repartitionByRange("prefix").sortWithinPartitions("prefix"))
-    return Publication(entries, nodes, depth, levels, _root(depth, levels, top[0] if top else ""))
+    return Publication(leaves, nodes, depth, levels, _root(depth, levels, top[0] if top else ""))
+
+
+def _lines(entries: str) -> Column:
+    """The lines of a leaf: each entry's digests of key and body, sorted."""
+    return F.array_sort(F.transform(entries, lambda e: F.concat(F.sha2(e["key"], 256), F.lit(":"), F.sha2(e["body"], 256))))
 
 
 class _Search:
@@ -192,20 +202,23 @@ def _may_hold(bounds: dict, v: T.Value) -> bool:
 def prove(book: Publication, sub: str, sup: str, units: Units = UNITS) -> dict:
     """A certificate of whether `sub` is below `sup`; only entries that the question touches and their paths reach the driver."""
     touched: dict[str, str | None] = {}
+    lines: dict[str, list[str]] = {}
 
     def read(keys: list[str]) -> dict[str, str]:
-        ours = {_digest(k): k for k in keys}
-        rows = book.entries.where(F.col("hash").isin(list(ours))).select("hash", "body").collect()  # a row a key at most
-        got = {ours[r["hash"]]: r["body"] for r in rows}
+        asked = F.filter("entries", lambda e: e["key"].isin(keys)).alias("asked")
+        at = book.leaves.where(F.col("prefix").isin(sorted({_digest(k)[: book.depth] for k in keys})))
+        rows = at.select("prefix", asked, _lines("entries").alias("lines")).collect()  # a row a key at most
+        lines.update({r["prefix"]: list(r["lines"]) for r in rows})
+        got = {e["key"]: e["body"] for r in rows for e in r["asked"]}
         touched.update({k: got.get(k) for k in keys})
         return got
 
     verdict = _Search(read, book.levels, units).below(sub, sup)
-    prefixes = sorted({_digest(k)[:n] for k in touched for n in range(book.depth + 1)})
-    nodes = book.nodes.where(F.col("prefix").isin(prefixes)).collect()  # the paths of those keys
+    prefixes = sorted({_digest(k)[:n] for k in touched for n in range(book.depth)})
+    nodes = book.nodes.where(F.col("prefix").isin(prefixes)).collect() if prefixes else []  # the paths of those keys
     return {
         "sub": sub, "sup": sup, "below": verdict, "depth": book.depth, "levels": book.levels,
-        "bodies": {k: b for k, b in touched.items() if b is not None}, "nodes": {r["prefix"]: list(r["lines"]) for r in nodes},
+        "bodies": {k: b for k, b in touched.items() if b is not None}, "nodes": {r["prefix"]: list(r["lines"]) for r in nodes} | lines,
     }
 
 

@@ -75,3 +75,24 @@ def test_two_hops_through_an_asserted_name(spark):
     vals = valued.values(df)
     pairs = spark.createDataFrame([("i", "light"), ("i", "g(u4)"), ("i", "g(u)"), ("i", "g(v)")], "sub string, sup string")
     assert {(r["sup"], r["below"]) for r in valued.is_below(df, vals, pairs).collect()} == {("light", True), ("g(u4)", True), ("g(u)", True), ("g(v)", False)}
+
+
+def test_entries_are_shuffled_once(spark):
+    """Entries and leaves are made where the dealt edges lie, and a leaf's lines are not stored beside its entries."""
+    edges = sorted({("*", "a"), *((f"n{i % 7}", f"m{i}") for i in range(300)), *((f"n{i % 5}", f"m{i}") for i in range(300))})
+    df = spark.createDataFrame(edges, PAIR)
+    written, plans = [], certificates.materialize
+
+    def watched(rows, *by):
+        written.append((rows.columns, rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+        return plans(rows, *by)
+
+    certificates.materialize = watched
+    try:
+        book = certificates.publish(df, valued.values(df))
+    finally:
+        certificates.materialize = plans
+    assert [n for columns, n in written if "entries" in columns] == [1] and book.depth == 2
+    assert book.nodes.where("length(prefix) >= 2").isEmpty()  # none for the leaves
+    assert sorted(e["key"] for r in book.leaves.collect() for e in r["entries"]) == sorted({f"n\n{c}" for _, c in edges})
+    assert certificates.verify(certificates.prove(book, "m1", "n1"), book.root) and not certificates.verify(certificates.prove(book, "m1", "n2"), book.root)
