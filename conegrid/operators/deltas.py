@@ -2,7 +2,7 @@
 
 A pair (ancestor, descendant) is gained only through an added edge, and lost only through a removed one, so only
 ancestors of the batch's parents and descendants of its children are walked, and an ancestor that reached the child
-before is left out with everything below it. Pairs are told apart, not summed an edge, so diamonds and overlapping
+before is left out with everything below it. Leaves with one parent are counted at it, not walked. Pairs are told apart, not summed an edge, so diamonds and overlapping
 batches count once. With an EdgeIndex a walk reads only the buckets that it meets.
 """
 
@@ -67,10 +67,19 @@ def count_changes(index: EdgeIndex, added: DataFrame, removed: DataFrame) -> Dat
     here = materialize(index.down(ends.select(F.col("parent").alias("name"))).join(ends, KEY, "left_semi").distinct())
     gone = materialize(less.join(more, KEY, "left_anti").join(here, KEY, "left_semi"))
     come = materialize(more.join(here, KEY, "left_anti").join(less, KEY, "left_anti"))
-    before = (index.down, index.up)
-    after = (_edited(index.down, gone, come), _edited(index.up, _turned(gone), _turned(come)))
-    parts = [part(*graphs, edges).groupBy(F.col("a").alias("name")).agg((F.lit(sign) * F.count("*")).alias("delta"))
-             for part, graphs, edges, sign in ((gained, (before, after), come, 1), (gained, (after, before), gone, -1)) if not edges.isEmpty()]
+    # leaves with one parent that the batch leaves alone are not walked: whoever gains or loses their parent gains or loses them
+    named = materialize(ends.select(F.col("parent").alias("name")).union(ends.select("child")).distinct())
+    turned = materialize(index.up(named, True).join(named.withColumnRenamed("name", "parent"), "parent", "left_semi"))
+    down, up = lambda f: index.down(f, False).unionByName(_turned(turned)), lambda f: index.up(f, False).unionByName(turned)
+    before, after = (down, up), (_edited(down, gone, come), _edited(up, _turned(gone), _turned(come)))
+    parts = []
+    for graphs, edges, sign in (((before, after), come, 1), ((after, before), gone, -1)):
+        if edges.isEmpty():
+            continue
+        pairs = materialize(gained(*graphs, edges))
+        ends = materialize(pairs.select(F.col("d").alias("name")).distinct())
+        leaves = index.down(ends, True).join(named.withColumnRenamed("name", "child"), "child", "left_anti").groupBy(F.col("parent").alias("d")).agg(F.count("*").alias("more"))
+        parts.append(pairs.join(leaves, "d", "left").groupBy(F.col("a").alias("name")).agg((sign * F.sum(1 + F.coalesce("more", F.lit(0)))).alias("delta")))
     if not parts:
         return added.sparkSession.createDataFrame([], "name string, delta long")
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -79,10 +88,10 @@ def count_changes(index: EdgeIndex, added: DataFrame, removed: DataFrame) -> Dat
 
 def update_counts(counts: DataFrame, index: EdgeIndex, added: DataFrame, removed: DataFrame) -> DataFrame:
     """(name, n): `counts` after the batch. New names get theirs; a name that no edge holds any more goes."""
-    changes = count_changes(index, added, removed)
+    counts, changes = materialize(counts.select("name", "n")), count_changes(index, added, removed)
     new = added.select(F.col("parent").alias("name")).union(added.select("child")).distinct()
     loose = removed.select(F.col("parent").alias("name")).union(removed.select("child")).distinct().join(new, "name", "left_anti")
     held = lambda near: near(loose).join(removed.select(*(KEY if near == index.down else [F.col("child").alias("parent"), F.col("parent").alias("child")])), KEY, "left_anti").select(F.col("parent").alias("name"))
     lost = loose.join(held(index.down), "name", "left_anti").join(held(index.up), "name", "left_anti")
-    kept = counts.select("name", "n").unionByName(new.join(counts, "name", "left_anti").select("name", F.lit(0).cast("long").alias("n"))).join(lost, "name", "left_anti")
+    kept = counts.unionByName(new.join(counts, "name", "left_anti").select("name", F.lit(0).cast("long").alias("n"))).join(lost, "name", "left_anti")
     return kept.join(changes, "name", "left").select("name", (F.col("n") + F.coalesce("delta", F.lit(0))).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .queries import broad_cones, names
-from .traversal import ancestors_of, cones
+from .traversal import ancestors_of, cones, told_leaves
 from .versions import record_hashes, root_of
 
 FORMAT = "cone-buckets-1"
@@ -25,30 +25,34 @@ def _bucket(name: str, buckets: int) -> Column:
 
 
 class EdgeIndex:
-    """Edges written twice, by parent and by child, so that a walk's round reads only its frontier's buckets.
+    """Edges written twice, by parent and by child, so that a walk's round reads only its frontier's buckets; those to
+    leaves with one parent lie in folders of their own.
 
     `touched` holds the buckets that walks have read, by direction."""
 
     def __init__(self, edges: DataFrame, buckets: int = 64) -> None:
         self.buckets, self.touched = buckets, {"down": set(), "up": set()}
-        pairs = edges.select("parent", "child")
+        pairs = materialize(told_leaves(edges))
+        turned = pairs.select(F.col("child").alias("parent"), F.col("parent").alias("child"), "alone")
         self.tables = {
-            "down": materialize(pairs.withColumn("bucket", _bucket("parent", buckets)).repartition("bucket"), "bucket"),
-            "up": materialize(pairs.select(F.col("child").alias("parent"), F.col("parent").alias("child")).withColumn("bucket", _bucket("parent", buckets)).repartition("bucket"), "bucket"),
-        }
+            side: materialize(rows.withColumn("bucket", _bucket("parent", buckets)).repartition("bucket"), "bucket", "alone")
+            for side, rows in (("down", pairs), ("up", turned))
+        }
 
-    def _near(self, side: str, frontier: DataFrame) -> DataFrame:
+    def _near(self, side: str, frontier: DataFrame, alone: bool | None = None) -> DataFrame:
         asked = [r[0] for r in frontier.select(_bucket("name", self.buckets)).distinct().collect()]  # a number a bucket
         self.touched[side].update(asked)
-        return self.tables[side].where(F.col("bucket").isin(asked)).select("parent", "child")
+        rows = self.tables[side].where(F.col("bucket").isin(asked))
+        return (rows if alone is None else rows.where(F.col("alone") == F.lit(alone))).select("parent", "child")
 
-    def down(self, frontier: DataFrame) -> DataFrame:
-        """(parent, child): the edges from the names of `frontier` (name) downwards, and others of their buckets."""
-        return self._near("down", frontier)
+    def down(self, frontier: DataFrame, alone: bool | None = None) -> DataFrame:
+        """(parent, child): the edges from the names of `frontier` (name) downwards, and others of their buckets. alone:
+        only those to leaves with one parent, or only the others."""
+        return self._near("down", frontier, alone)
 
-    def up(self, frontier: DataFrame) -> DataFrame:
+    def up(self, frontier: DataFrame, alone: bool | None = None) -> DataFrame:
         """The same upwards: (parent, child) turned round."""
-        return self._near("up", frontier)
+        return self._near("up", frontier, alone)
 
     def rows_read(self, side: str) -> int:
         """Rows in the buckets that walks have read on a side."""

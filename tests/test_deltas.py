@@ -123,3 +123,19 @@ def test_optimised_supers(spark, seed):
     for r in got.collect():
         have.setdefault(r["item"], set()).add(r["parent"])
     assert have == {i: brute_supers(edges, ps) for i, ps in batch.items()}
+
+
+def test_leaves_with_one_parent_are_not_walked(spark, monkeypatch):
+    """They are counted at their parent, unless the batch names them: as a child, as a parent, or to be removed."""
+    edges = [("*", f"t{i}") for i in range(4)] + [(f"t{(i + j) % 4}", f"m{i}") for i in range(8) for j in range(2)] + [(f"m{i}", f"x{i}-{k}") for i in range(8) for k in range(20)]
+    come, gone = [("t0", "new"), ("new", "m1"), ("m3", "m2"), ("x1-0", "y"), ("t2", "x4-1"), ("m5", "x2-2")], [("t1", "m1"), ("m2", "x2-2"), ("m6", "x6-0"), ("t3", "m7")]
+    df = spark.createDataFrame(edges, PAIR)
+    walked, plain = [], deltas.cones
+    monkeypatch.setattr(deltas, "cones", lambda near, starts, *share: (walked.append(plain(near, starts, *share)), walked[-1])[1])
+    before, after = reach(set(edges)), reach((set(edges) - set(gone)) | set(come))
+    counts = canonical.descendant_counts(df)
+    assert {r["name"]: r["n"] for r in counts.collect()} == {n: len(d) for n, d in before.items()}
+    got = deltas.update_counts(counts, indexes.EdgeIndex(df, buckets=8), spark.createDataFrame(come, PAIR), spark.createDataFrame(gone, PAIR))
+    assert {r["name"]: r["n"] for r in got.collect()} == {n: len(d) for n, d in after.items()}
+    seen = {r[0] for rows in walked for c in ("term", "name") for r in rows.select(c).collect()}
+    assert {n for n in seen if n.startswith("x")} <= {"x1-0", "x4-1", "x2-2", "x6-0"}
