@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -52,18 +53,18 @@ def _worker(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            vocabulary = json.load(f)["model"]["vocab"]
         back = _byte_alphabet()
-        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token != SPECIAL}
+        ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
         quick = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_file(path)
+        whole = cache(lambda: Tokenizer.from_file(path))  # few workers ever meet such a text, and it takes memory in each
         heads, tails = (Encoded(lambda s: array("I", quick.encode_ordinary(s)).tobytes(), lead) for lead in ("", " "))
 
         def plain(text: str) -> bytes:
             first, *rest = segments(text)
             return heads[first] + b"".join(map(tails.__getitem__, rest))
 
-        _workers[path] = plain, lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (heads, tails)
+        _workers[path] = plain, lambda t: np.array(whole().encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (heads, tails)
     return _workers[path]
 
 
